@@ -64,6 +64,24 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: 64-bit words of a bit filter: at most so many rows (some 8 MB) are broadcast, however many keys there are.
+FILTER_WORDS = 1 << 18
+
+
+def might_match(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows of df whose hash column key may occur in the single column of keys.
+
+    A bit filter of fixed size, made and applied by Spark, so that a join
+    with few keys doesn't shuffle the rows that can't match.  With very many
+    keys it lets more rows pass; the join that follows decides.
+    """
+    h = F.col(keys.columns[0])
+    place = lambda c: F.shiftrightunsigned(c, 64 - 18)
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), c.bitwiseAND(63).cast("int"))
+    bits = keys.select(place(h).alias("__w"), bit(h).alias("__b")).groupBy("__w").agg(F.bit_or("__b").alias("__b"))
+    return df.join(F.broadcast(bits), place(F.col(key)) == F.col("__w")).where(F.col("__b").bitwiseAND(bit(F.col(key))) != 0).drop("__w", "__b")
+
+
 # ---------------------------------------------------------------- bytes to words
 
 

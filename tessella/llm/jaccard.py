@@ -347,8 +347,9 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> Da
     members = common.materialize(near.select(F.col("node").alias("set_id"), F.col("root").alias("comp")).join(sets, "set_id"), "jaccard-members")
     reps = members.select("set_id", F.col("rep.doc_id").alias("rid"), F.col("rep.text_hash").alias("rhash"))
     plan = _blocks(members.select("set_id", "comp", "n_shingles"), num, den)
-    src = docs.select(F.col("doc_id").cast("bigint").alias("rid"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("rhash"), "text").alias("d")
-    r = reps.alias("r")
+    src = docs.select(F.col("doc_id").cast("bigint").alias("rid"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("rhash"), "text")
+    src = common.might_match(src, "rhash", reps.select("rhash")).alias("d")
+    r = reps.hint("merge").alias("r")
     texts = src.join(r, F.col("d.rid").eqNullSafe(F.col("r.rid")) & (F.col("d.rhash") == F.col("r.rhash"))).select("set_id", "text")
     found = links(texts.join(plan, "set_id"), n, num, den)
     linked = common.components(found, "jaccard-links")
