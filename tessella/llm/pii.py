@@ -140,7 +140,10 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def _sorted(kinds: list[str]) -> Column:
-    tagged = [F.transform(k, lambda x, i=i: F.struct(x["s"].alias("s"), F.lit(i).alias("k"), x["e"].alias("e"))) for i, k in enumerate(KINDS) if k in kinds]
+    def tag(i: int):
+        return lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("k"), x["e"].alias("e"))
+
+    tagged = [F.transform(k, tag(i)) for i, k in enumerate(KINDS) if k in kinds]
     return F.array_sort(F.concat(*tagged))
 
 
