@@ -27,7 +27,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -323,6 +323,25 @@ def links(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return texts.groupBy("comp", "a", "b").applyInArrow(run, "u bigint, v bigint")
 
 
+def _classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The profile of all rows, and of each set: set_id, low (smallest doc_id), rep (its first row), root (null: no links)."""
+    prof = common.materialize(profile(docs, n), "jaccard-profile")
+    total = prof.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(common.partitions(docs.sparkSession), int(total * 2.2 * (den - num) / den) // BUCKET_SIGNATURES)
+    sets = prof.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")).alias("rep"), F.max("n_shingles").alias("n_shingles"))
+    near = common.components(candidates(docs, n, num, den, buckets), "jaccard-near")
+    members = common.materialize(near.select(F.col("node").alias("set_id"), F.col("root").alias("comp")).join(sets, "set_id"), "jaccard-members")
+    reps = members.select("set_id", F.col("rep.doc_id").alias("rid"), F.col("rep.text_hash").alias("rhash"))
+    plan = _blocks(members.select("set_id", "comp", "n_shingles"), num, den)
+    src = docs.select(F.col("doc_id").cast("bigint").alias("rid"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("rhash"), "text")
+    src = common.might_match(src, "rhash", reps.select("rhash")).alias("d")
+    r = reps.hint("merge").alias("r")
+    texts = src.join(r, F.col("d.rid").eqNullSafe(F.col("r.rid")) & (F.col("d.rhash") == F.col("r.rhash"))).select("set_id", "text")
+    found = links(texts.join(plan, "set_id"), n, num, den)
+    linked = common.components(found, "jaccard-links").select(F.col("node").alias("set_id"), "root")
+    return prof, sets.select("set_id", "low", "rep").join(linked, "set_id", "left")
+
+
 def jaccard_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """Classes of documents linked by n-gram Jaccard similarity of num/den or more.
 
@@ -338,23 +357,25 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> Da
     a range without n-grams does not count as shared: a pair that shares no
     other range (under 1 in 10^6 at the threshold itself) can be missed.
     """
-    spark = docs.sparkSession
-    prof = common.materialize(profile(docs, n), "jaccard-profile")
-    total = prof.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(common.partitions(spark), int(total * 2.2 * (den - num) / den) // BUCKET_SIGNATURES)
-    sets = prof.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("rep"), F.max("n_shingles").alias("n_shingles"))
-    near = common.components(candidates(docs, n, num, den, buckets), "jaccard-near")
-    members = common.materialize(near.select(F.col("node").alias("set_id"), F.col("root").alias("comp")).join(sets, "set_id"), "jaccard-members")
-    reps = members.select("set_id", F.col("rep.doc_id").alias("rid"), F.col("rep.text_hash").alias("rhash"))
-    plan = _blocks(members.select("set_id", "comp", "n_shingles"), num, den)
-    src = docs.select(F.col("doc_id").cast("bigint").alias("rid"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("rhash"), "text")
-    src = common.might_match(src, "rhash", reps.select("rhash")).alias("d")
-    r = reps.hint("merge").alias("r")
-    texts = src.join(r, F.col("d.rid").eqNullSafe(F.col("r.rid")) & (F.col("d.rhash") == F.col("r.rhash"))).select("set_id", "text")
-    found = links(texts.join(plan, "set_id"), n, num, den)
-    linked = common.components(found, "jaccard-links")
-    roots = linked.join(members.select(F.col("set_id").alias("node"), "low"), "node")
-    best = roots.groupBy("root").agg(F.min("low").alias("component_id"))
-    comp = roots.select("node", "root").join(best, "root").select(F.col("node").alias("set_id"), "component_id")
-    own = sets.select("set_id", "low").join(comp, "set_id", "left").select("set_id", F.coalesce("component_id", "low").alias("component_id"))
+    prof, sets = _classes(docs, n, num, den)
+    best = sets.where("root is not null").groupBy("root").agg(F.min("low").alias("component_id"))
+    own = sets.join(best, "root", "left").select("set_id", F.coalesce("component_id", "low").alias("component_id"))
     return prof.join(own, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """The documents with one row of each class kept, the one of the smallest doc_id.
+
+    All columns stay.  Documents without words are in no class and all stay;
+    of repeated rows with words one stays; a null doc_id is kept only where
+    no document of the class has an id.
+    """
+    prof, sets = _classes(docs, n, num, den)
+    single = sets.where("root is null").select("rep")
+    first = sets.where("root is not null").groupBy("root").agg(F.min("rep").alias("rep")).select("rep")
+    keep = single.union(first).select(F.col("rep.doc_id").alias("__id"), F.col("rep.text_hash").alias("__hash"), F.lit(True).alias("__one"))
+    keep = keep.union(prof.where("n_shingles = 0").select("doc_id", "text_hash", F.lit(False)).distinct())
+    src = docs.withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    both = src.join(keep, src["doc_id"].cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__hash")))
+    ranked = both.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__hash").orderBy("__one")))
+    return ranked.where("__n = 1 or not __one").select(*docs.columns)

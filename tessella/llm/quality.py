@@ -2,8 +2,9 @@
 
 Words and word pairs are hashed into BUCKETS; two multinomials, one of the
 trusted documents and one of all documents, are counted over every text.  A
-document's score is the mean log ratio of its n-grams, and a fixed threshold
-decides.  Simple counts of words, symbols, lines and repeats stand beside it.
+document's score is the mean log ratio of its n-grams, with the document's own
+n-grams left out of both counts, so that documents inside and outside the
+trusted set are measured alike; a fixed threshold decides.  Simple counts of words, symbols, lines and repeats stand beside it.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from .common import U, Words, chunks, ngrams, space_lut_cased
 BUCKET_BITS = 16
 #: Added to each bucket's count in both multinomials.
 PRIOR = 5.0
-#: A document whose mean log ratio is lower is rejected.
-THRESHOLD = -0.12
+#: A document whose mean log ratio is lower is rejected.  While the target has few n-grams beside the prior's, ratios are noisy and the threshold is lower by up to SLACK.
+THRESHOLD, SLACK = -0.08, 0.2
 
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -55,23 +56,41 @@ def _counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "bucket bigint, target int, n bigint").groupBy("bucket", "target").agg(F.sum("n").alias("n"))
 
 
+def _flagged(docs: DataFrame, trusted: DataFrame, flag: str) -> DataFrame:
+    """docs with a boolean column flag: whether the doc_id is trusted."""
+    known = trusted.select(F.col("doc_id").alias("__id")).where("__id is not null").distinct().withColumn(flag, F.lit(True))
+    if _small(known):
+        known = F.broadcast(known)
+    return docs.join(known, docs["doc_id"] == F.col("__id"), "left").drop("__id").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+
+
 def fit(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
-    """Log ratio of each bucket.  trusted: doc_id of the target documents; all docs make up the raw corpus.
+    """Counts of each bucket: row 0 in all documents, row 1 in trusted ones.
 
-    Counts cover every whole text.  Without trusted documents all ratios are 0.
+    trusted: doc_id of the target documents.  Counts cover every whole text.
     """
-    known = trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("__t", F.lit(True))
-    if _small(known):
-        known = F.broadcast(known)
-    src = docs.select("doc_id", "text").where("text is not null").join(known, "doc_id", "left").select("text", F.coalesce("__t", F.lit(False)).alias("t"))
+    src = _flagged(docs.select("doc_id", "text").where("text is not null"), trusted, "__trusted").select("text", "__trusted")
     model = np.zeros((2, 1 << BUCKET_BITS))
     for r in _counts(src).collect():  # 2 x 2^BUCKET_BITS rows at most
         model[r.target, r.bucket] = r.n
-    target, raw = model[1], model.sum(axis=0)
-    if not target.sum():
-        return np.zeros(1 << BUCKET_BITS)
-    ratio = np.log((target + PRIOR) / (target.sum() + PRIOR * len(target))) - np.log((raw + PRIOR) / (raw.sum() + PRIOR * len(raw)))
-    return ratio
+    model[0] += model[1]
+    return model
+
+
+def log_ratio(model: np.ndarray, buckets: np.ndarray, trusted: bool) -> float:
+    """Mean log ratio of the n-grams of a document, without the document itself in the counts."""
+    if not len(buckets) or not model[1].any():
+        return 0.0
+    u, own = np.unique(buckets, return_counts=True)
+    prior = PRIOR * model.shape[1]
+    target = np.log((model[1, u] - own * trusted + PRIOR) / (model[1].sum() - len(buckets) * trusted + prior))
+    raw = np.log((model[0, u] - own + PRIOR) / (model[0].sum() - len(buckets) + prior))
+    return round(float(((target - raw) * own).sum() / len(buckets)), 9)
+
+
+def cut(model: np.ndarray, threshold: float = THRESHOLD) -> float:
+    prior = PRIOR * model.shape[1]
+    return threshold - SLACK * prior / (prior + model[1].sum())
 
 
 def _small(ids: DataFrame, limit: int = 1_000_000) -> bool:
@@ -115,11 +134,13 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
     n_repeat_words, llr (mean log ratio of words and word pairs, 0 without
     words), base_failed (under 50 words, or over half of the words in 3-word
     windows that repeat) and kept (not base_failed, and llr at least the
-    threshold).  A null text has no words and is not kept.  Columns of these
+    threshold, see cut()).  A null text has no words and is not kept.  Columns of these
     names are replaced.  Repeated rows get equal results; an empty table
     gives no rows; with no trusted documents the base rules alone decide.
     """
-    ratio = docs.sparkSession.sparkContext.broadcast(fit(docs, trusted).astype(np.float64))
+    model = fit(docs, trusted)
+    limit = cut(model, threshold)
+    load = docs.sparkSession.sparkContext.broadcast(model)
     new = {"n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "llr": "double", "base_failed": "boolean", "kept": "boolean"}
     kept = [c for c in docs.columns if c not in new]
     src = docs.select(*kept)
@@ -127,19 +148,19 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
     at = kept.index("text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ratio.value
+        table = load.value
         for batch in it:
+            flags = batch.column(len(kept)).to_pylist()
             for first, part in chunks(batch.column(at)):
                 w = Words(part, space_lut_cased())
                 rows = []
                 for i in range(len(part)):
                     f = features(w, i)
                     b = _buckets(w.hash[w.first[i] : w.first[i + 1]])
-                    # rounded, so that the order in which counts arrive can't tip a document
-                    llr = round(float(table[b].mean()), 9) if len(b) else 0.0
+                    llr = log_ratio(table, b, flags[first + i])
                     failed = f[0] < 50 or 100 * f[4] > 50 * f[0]
-                    rows.append((*f, llr, failed, not failed and llr >= threshold))
+                    rows.append((*f, llr, failed, not failed and llr >= limit))
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([*batch.slice(first, len(part)).columns, *(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.float64()), *(pa.array(c, pa.bool_()) for c in cols[6:])], [*kept, *new])
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, len(part)).columns[: len(kept)], *(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.float64()), *(pa.array(c, pa.bool_()) for c in cols[6:])], [*kept, *new])
 
-    return src.mapInArrow(run, schema)
+    return _flagged(src, trusted, "__trusted").mapInArrow(run, schema)
