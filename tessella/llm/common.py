@@ -56,7 +56,19 @@ def drop_table(df: DataFrame) -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bytes of one Arrow batch on its way to a Python worker: rows with long texts come in small batches.
+BATCH_BYTES = 8_000_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by size too; a smaller bound that the session has stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, str(2**31 - 2)).rstrip("bB") or 0) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
