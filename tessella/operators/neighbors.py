@@ -20,7 +20,7 @@ def knn(queries: DataFrame, reference: DataFrame, k: int, metric: str = "euclide
     spark = queries.sparkSession
     blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     r = reference.select(F.col("id").alias("dst"), F.col("vec").alias("__b"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("__blk"))
-    q = queries.select(F.col("id").alias("src"), F.col("vec").alias("__a")).withColumn("__blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint"))
+    q = queries.select(F.col("id").alias("src"), F.col("vec").alias("__a")).withColumn("__blk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
     p = q.join(r, "__blk")
     if not include_self:
         p = p.where("src <> dst")
