@@ -86,7 +86,9 @@ def read_counts_text(spark: SparkSession, path: str, sep: str = "\t", header: bo
         e = e.select(F.col("gene").alias("cell_id"), F.col("cell_id").alias("gene"), "count")
     if rows is not None:
         e = e.join(rows.select(F.col("name").alias("cell_id")), "cell_id", "left_semi")
-    return e.join(columns.select(F.col("name").alias("gene")), "gene", "left_semi") if columns is not None else e
+    if columns is not None:
+        e = e.join(columns.select(F.col("name").alias("gene")), "gene", "left_semi")
+    return e.select("cell_id", "gene", "count")
 
 
 def read_unlabelled_text(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
