@@ -24,7 +24,7 @@ SAMPLE_ROWS, SAMPLE_WORDS = 3000, 4000
 SLOT_BITS, ROWS, DIM, FILTERS = 20, 1 << 16, 8, 8
 WIDTHS = (1, 2, 3)
 PREFIXES = (4, 5, 6, 7, 8)
-EPOCHS, BATCH, RATE = 10, 64, 0.02
+EPOCHS, BATCH, RATE = 6, 64, 0.02
 
 
 def word_features(w: Words) -> np.ndarray:
@@ -91,8 +91,12 @@ class Model:
         return round(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))), 6)
 
 
-def train(texts: list[np.ndarray], labels: list[int], weights: list[float]) -> Model:
-    """texts: feature hashes of each text as word_features() gives them."""
+def _features(text: bytes) -> np.ndarray:
+    return word_features(Words([text], alnum_lut()))
+
+
+def train(texts: list[bytes], labels: list[int], weights: list[float]) -> Model:
+    """Fits the model to a bounded list of texts; they are held as embedding rows, four bytes a feature."""
     m = Model()
     y = np.array(labels, dtype=np.float32)
     if not len(y) or y.min() == y.max():
@@ -100,9 +104,10 @@ def train(texts: list[np.ndarray], labels: list[int], weights: list[float]) -> M
         m.c = np.float32(2.0 if len(y) and y.min() == 1 else -3.0)
         return m
     # evidence of each hash: a lower bound of its log odds, from how many texts of each class hold it
-    seen = [np.unique(t[t != 0]) for t in texts]
-    pos = np.unique(np.concatenate([s for s, v in zip(seen, y, strict=True) if v]), return_counts=True)
-    neg = np.unique(np.concatenate([s for s, v in zip(seen, y, strict=True) if not v]), return_counts=True)
+    seen = [np.unique(_features(t)) for t in texts]
+    pos = np.unique(np.concatenate([s[s != 0] for s, v in zip(seen, y, strict=True) if v]), return_counts=True)
+    neg = np.unique(np.concatenate([s[s != 0] for s, v in zip(seen, y, strict=True) if not v]), return_counts=True)
+    del seen
     allh = np.union1d(pos[0], neg[0])
     a, b = np.zeros(len(allh)), np.zeros(len(allh))
     a[np.searchsorted(allh, pos[0])] = pos[1]
@@ -122,7 +127,7 @@ def train(texts: list[np.ndarray], labels: list[int], weights: list[float]) -> M
         m.W[k][:, 0, :4] += 0.5
         m.b[k][:4] -= 0.4
     m.v[:] = np.abs(m.v)
-    rows = [m.rows(t) for t in texts]
+    rows = [m.rows(_features(t)).astype(np.int32) for t in texts]
     wts = np.array(weights, dtype=np.float32)
     names = ["E", "v"] + [("W", k) for k in range(len(WIDTHS))] + [("b", k) for k in range(len(WIDTHS))]
     get = lambda n: getattr(m, n) if isinstance(n, str) else getattr(m, n[0])[n[1]]
@@ -174,7 +179,7 @@ def _held_out(doc_id):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list:
-    """At most 2 x rows labelled texts as feature hashes, from rows that are not held out.
+    """At most 2 x rows labelled texts (bytes, label, weight), from rows that are not held out.
 
     The ids are drawn from the labels first (the smallest hashes of each
     class), so one scan of the documents with a broadcast of those ids suffices.
@@ -189,20 +194,19 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
+            keep = []
             for first, part in chunks(batch.column(1)):
-                w = Words(part, alnum_lut())
-                f = word_features(w)
-                keep = [i for i in range(len(part)) if w.first[i + 1] - w.first[i] <= SAMPLE_WORDS]
-                rows_ = batch.slice(first, len(part))
-                yield pa.RecordBatch.from_arrays([rows_.column(0).take(pa.array(keep, pa.int64())), rows_.column(2).take(pa.array(keep, pa.int64())), pa.array([np.ascontiguousarray(f[:, w.first[i] : w.first[i + 1]]).tobytes() for i in keep], pa.binary())], ["doc_id", "toxic", "feats"])
+                n = np.diff(Words(part, alnum_lut()).first)
+                keep += [first + i for i in np.flatnonzero(n <= SAMPLE_WORDS).tolist()]
+            yield batch.take(pa.array(keep, pa.int64()))
 
-    src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic")
+    src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic")
     # repeated rows of a document count once
-    got = src.mapInArrow(run, "doc_id bigint, toxic int, feats binary").dropDuplicates(["doc_id"]).collect()
+    got = src.mapInArrow(run, src.schema).dropDuplicates(["doc_id"]).collect()
     got.sort(key=lambda r: r.doc_id)
     n = {y: sum(r.toxic == y for r in got) for y in (0, 1)}
     total = sum(share.values()) or 1
-    return [(np.frombuffer(r.feats, dtype=U).reshape(1 + len(PREFIXES), -1), r.toxic, share.get(r.toxic, 0) / total * len(got) / n[r.toxic], r.doc_id) for r in got]
+    return [(r.text.encode(), r.toxic, share.get(r.toxic, 0) / total * len(got) / n[r.toxic]) for r in got]
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
