@@ -95,14 +95,12 @@ def find_hits(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     With more than AUTOMATON_BYTES of items, texts are scanned once for each
     block of items and the results united row by row.
     """
-    out = "n_words bigint, n_hit bigint, items array<bigint>, hits array<struct<start:bigint,end:bigint>>"
-    names = ["n_words", "n_hit", "items", "hits"]
-    kept = [c for c in docs.columns if c not in names]
+    new = {"n_words": "bigint", "n_hit": "bigint", "items": "array<bigint>", "hits": "array<struct<start:bigint,end:bigint>>"}
+    names = list(new)
+    kept = [c for c in docs.columns if c not in new]
     at = kept.index("text")
-    schema = docs.select(*kept).schema.simpleString()[len("struct<") : -1]
+    schema = docs.select(*kept).withColumns({n: F.lit(None).cast(t) for n, t in new.items()}).schema
     loads = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(items)]
-    kept_schema = docs.select(*kept).withColumns({n: F.lit(None).cast(t) for n, t in (x.split(" ", 1) for x in out.split(", ", 3))}).schema
-    del schema
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanners = [scanner(b, size) for b in loads]
@@ -127,7 +125,7 @@ def find_hits(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], [*kept, *names])
 
-    return docs.select(*kept).mapInArrow(run, kept_schema)
+    return docs.select(*kept).mapInArrow(run, schema)
 
 
 _scanners: dict[tuple, Scanner] = {}
@@ -149,3 +147,21 @@ def report(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     found = find_hits(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), items, size)
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+#: The same by comparing every stretch of document words with every window.
+REPORT_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL
+), win AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+), dw AS (
+  SELECT rid, n, i, array_to_string(w[i : i + n - 1], ' ') AS s FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)
+), h AS (SELECT rid, i, n, item_id FROM dw JOIN win USING (n, s)),
+hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM h) GROUP BY 1),
+it AS (SELECT rid, count(*) AS n_items, string_agg(v, ',' ORDER BY v) AS ids FROM (SELECT DISTINCT rid, item_id::VARCHAR AS v FROM h) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN it USING (rid)
+"""

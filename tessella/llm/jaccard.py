@@ -379,3 +379,16 @@ def drop_near_copies(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -
     both = src.join(keep, src["doc_id"].cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__hash")))
     ranked = both.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__hash").orderBy("__one")))
     return ranked.where("__n = 1 or not __one").select(*docs.columns)
+
+
+#: The join at 3 words and 90 % by comparing all pairs with a common n-gram, for tables with one row an id.
+JOIN_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), g AS (SELECT DISTINCT doc_id, hash(array_to_string(w[i : i + least(len(w), 3) - 1], ' ')) AS s FROM (SELECT *, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM g x JOIN g y USING (s) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM o JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * o >= 90 * (p.n + q.n - o)),
+r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(b) AS component_id FROM r JOIN d ON r.a = doc_id LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""

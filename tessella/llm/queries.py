@@ -68,5 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op7_ngram_jaccard_join": jaccard.JOIN_SQL,
     "op8_merkle_fixity": warc.FIXITY_SQL,
+    "op9_decontamination": decontam.REPORT_SQL,
 }

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import BYTE_CODE, U, Words, _powers, alnum_lut, chunks, mix
 
 #: Labelled rows of each class that training takes, by the order of a hash of doc_id; longer texts than this many words are left out of the sample.
-SAMPLE_ROWS, SAMPLE_WORDS = 3000, 4000
+SAMPLE_ROWS, SAMPLE_WORDS = 2000, 4000
 #: Hash slots of the embedding, embedding rows, dimensions, filters of each width.
 SLOT_BITS, ROWS, DIM, FILTERS = 20, 1 << 16, 8, 8
 WIDTHS = (1, 2, 3)
