@@ -47,6 +47,12 @@ def order_obs(spark: SparkSession, d: str) -> DataFrame:
     return o.join(c, o["o_custkey"] == c["c_custkey"]).select(F.col("o_orderkey").alias("cell_id"), F.col("o_orderstatus").alias("condition"), F.col("o_orderpriority").alias("replicate"), F.col("c_mktsegment").alias("cell_state"))
 
 
+def order_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Quantities by order and brand: cells and genes for designs over orders."""
+    l, p = table(spark, d, "lineitem"), table(spark, d, "part")
+    return l.join(p, l["l_partkey"] == p["p_partkey"]).groupBy(F.col("l_orderkey").alias("cell_id"), F.col("p_brand").alias("gene")).agg(F.sum("l_quantity").alias("count"))
+
+
 def embeddings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
 

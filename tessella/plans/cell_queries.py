@@ -134,13 +134,13 @@ def hvg_v_scores(spark, d):
 
 
 SEED_SQL = """, s AS (SELECT gene, sum(count) AS s, sum(count * count) AS q FROM expr GROUP BY 1),
-xy AS (SELECT e.gene, f.gene AS seed, sum(e.count * f.count) AS xy FROM expr e JOIN expr f USING (cell_id) WHERE f.gene % 50 = 1 GROUP BY 1, 2),
+xy AS (SELECT e.gene, f.gene AS seed, sum(e.count * f.count) AS xy FROM expr e JOIN expr f USING (cell_id) JOIN genes k ON k.gene = f.gene WHERE k.brand = 'Brand#11' GROUP BY 1, 2),
 r AS (SELECT xy.gene, xy.seed, xy / n - a.s / n * c.s / n AS cv, sqrt((a.q / n - (a.s / n) ** 2) * (c.q / n - (c.s / n) ** 2)) AS den FROM xy JOIN s a ON xy.gene = a.gene JOIN s c ON xy.seed = c.gene, n)"""
 
 
 @query("seed_corr_screen", f"{M}{SEED_SQL} SELECT gene, seed, round(CASE WHEN den > 0 THEN cv / den END, 6) AS r FROM r")
 def seed_corr_screen(spark, d):
-    return matrix.seed_correlation(b.expr(spark, d), "count", b.genes(spark, d).where("gene % 50 = 1"), b.n_cells(spark, d))
+    return matrix.seed_correlation(b.expr(spark, d), "count", b.genes(spark, d).where("brand = 'Brand#11'"), b.n_cells(spark, d))
 
 
 @query(
@@ -246,11 +246,11 @@ def program_block_median(spark, d):
 
 @query(
     "program_score",
-    f"""{M}, w AS (SELECT brand AS program, gene, size AS weight FROM genes WHERE gene % 10 = 0), t AS (SELECT program, sum(weight) AS tw FROM w GROUP BY 1), s AS (SELECT cell_id, program, sum(count * weight) AS s FROM expr JOIN w USING (gene) GROUP BY 1, 2)
+    f"""{M}, w AS (SELECT brand AS program, gene, size AS weight FROM genes), t AS (SELECT program, sum(weight) AS tw FROM w GROUP BY 1), s AS (SELECT cell_id, program, sum(count * weight) AS s FROM expr JOIN w USING (gene) GROUP BY 1, 2)
 SELECT o.cell_id, t.program, round(coalesce(s, 0) / tw + 0.01, 6) AS score FROM obs o CROSS JOIN t LEFT JOIN s ON s.cell_id = o.cell_id AND s.program = t.program""",
 )
 def program_score(spark, d):
-    w = b.genes(spark, d).where("gene % 10 = 0").select(F.col("brand").alias("program"), "gene", F.col("size").alias("weight"))
+    w = b.genes(spark, d).select(F.col("brand").alias("program"), "gene", F.col("size").alias("weight"))
     return groups.program_score(b.expr(spark, d), w, b.obs(spark, d), "count", 0.01)
 
 
@@ -335,14 +335,13 @@ def perplexity(spark, d):
 
 @query(
     "dense_rank_score",
-    f"""{M}, e AS (SELECT size AS set_name, gene, cell_id, count AS x FROM expr JOIN genes USING (gene) WHERE size <= 5), k AS (SELECT set_name, gene, (count(*) < any_value(n))::INT AS z FROM e, n GROUP BY 1, 2),
+    f"""{M}, e AS (SELECT brand AS set_name, gene, cell_id, count AS x FROM expr JOIN genes USING (gene)), k AS (SELECT set_name, gene, (count(*) < any_value(n))::INT AS z FROM e, n GROUP BY 1, 2),
 r AS (SELECT set_name, gene, cell_id, dense_rank() OVER (PARTITION BY set_name, gene ORDER BY x) + z AS d FROM e JOIN k USING (set_name, gene)), t AS (SELECT set_name, gene, max(d) AS top FROM r GROUP BY 1, 2),
 f AS (SELECT o.cell_id, t.set_name, avg(coalesce(d, 1) / top) AS score FROM obs o CROSS JOIN t LEFT JOIN r ON r.cell_id = o.cell_id AND r.set_name = t.set_name AND r.gene = t.gene GROUP BY 1, 2)
 SELECT cell_id, set_name, round(score, 6) AS score, round((score - avg(score) OVER (PARTITION BY set_name)) / stddev_pop(score) OVER (PARTITION BY set_name), 6) AS z FROM f""",
 )
 def dense_rank_score(spark, d):
-    s = b.genes(spark, d).where("size <= 5").select(F.col("size").alias("set_name"), "gene")
-    return ranks.dense_rank_score(b.expr(spark, d), s, b.obs(spark, d))
+    return ranks.dense_rank_score(b.expr(spark, d), b.brand_sets(spark, d), b.obs(spark, d))
 
 
 @query(

@@ -48,12 +48,12 @@ def mouse_symbol(spark, d):
     return b.genes(spark, d).select("brand").distinct().select("brand", dna.mouse_symbol(F.upper(F.replace("brand", F.lit("#"), F.lit("-")))).alias("symbol"))
 
 
-WL = "wl AS (SELECT DISTINCT substr(translate(md5(p_partkey::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 5) AS barcode FROM part WHERE p_partkey <= 40)"
+WL = "wl AS (SELECT DISTINCT substr(translate(md5(p_brand), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 5) AS barcode FROM part)"
 
 
 def _whitelist(spark, d):
-    s = F.translate(F.md5(F.col("p_partkey").cast("string").cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGT")
-    return b.table(spark, d, "part").where("p_partkey <= 40").select(F.substring(s, 1, 5).alias("barcode")).distinct()
+    s = F.translate(F.md5(F.col("p_brand").cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGT")
+    return b.table(spark, d, "part").select(F.substring(s, 1, 5).alias("barcode")).distinct()
 
 
 @query(
@@ -69,9 +69,10 @@ def barcode_correct_unique(spark, d):
 @query("read_outcomes")
 def read_outcomes(spark, d):
     r = b.reads(spark, d).select(F.substring("r1", 1, 8).alias("r2"), F.substring("tag", 1, 3).alias("r3"), F.concat("r1", F.substring("seq", 1, 6)).alias("r4"))
-    tags = r.select(F.col("r3").alias("seq"), F.col("r3").alias("barcode")).distinct().where("seq <> 'vie'")
-    allowed = lambda c, n: reads.parse_structure(r).select(F.col(c).alias("seq"), F.col(c).alias("barcode")).distinct().where(F.pmod(F.xxhash64("seq"), F.lit(n)) > 0)
-    return reads.outcome_counts(reads.read_outcome(r, tags, allowed("bc1", 10), allowed("bc2", 5)))
+    known = r.where("r3 <> 'vie'")  # barcodes seen with another index are known
+    tags = known.select(F.col("r3").alias("seq"), F.col("r3").alias("barcode")).distinct()
+    allowed = lambda c: reads.parse_structure(known).select(F.col(c).alias("seq"), F.col(c).alias("barcode")).distinct()
+    return reads.outcome_counts(reads.read_outcome(r, tags, allowed("bc1"), allowed("bc2")))
 
 
 @query("tag_search", f"{R}, {WL}, k AS (SELECT read_id, i, substr(r1, i, 5) AS s FROM reads, range(1, 29) t(i)), h AS (SELECT read_id, arg_min(barcode, i) AS tag FROM k JOIN wl ON s = barcode GROUP BY 1) SELECT tag, count(*) AS n FROM h GROUP BY 1")
@@ -126,10 +127,10 @@ def tile_matrix(spark, d):
     return reads.tiles(f, 500)
 
 
-@query("first_exon_sites", "SELECT DISTINCT p_size AS chrom, CASE WHEN p_brand < 'Brand#3' THEN p_partkey ELSE p_partkey + p_size END AS pos, CASE WHEN p_brand < 'Brand#3' THEN '+' ELSE '-' END AS strand, p_name AS gene FROM part WHERE p_partkey % 3 = 1")
+@query("first_exon_sites", "SELECT DISTINCT p_size AS chrom, CASE WHEN p_brand < 'Brand#3' THEN p_partkey ELSE p_partkey + p_size END AS pos, CASE WHEN p_brand < 'Brand#3' THEN '+' ELSE '-' END AS strand, p_name AS gene FROM part WHERE p_size = 1")
 def first_exon_sites(spark, d):
     p = b.table(spark, d, "part")
-    e = p.select(F.col("p_size").alias("chrom"), F.col("p_partkey").alias("start"), (F.col("p_partkey") + F.col("p_size")).alias("end"), F.when(F.col("p_brand") < "Brand#3", "+").otherwise("-").alias("strand"), F.col("p_name").alias("gene"), (F.col("p_partkey") % 3).alias("exon"))
+    e = p.select(F.col("p_size").alias("chrom"), F.col("p_partkey").alias("start"), (F.col("p_partkey") + F.col("p_size")).alias("end"), F.when(F.col("p_brand") < "Brand#3", "+").otherwise("-").alias("strand"), F.col("p_name").alias("gene"), F.col("p_size").alias("exon"))
     return reads.tss_positions(e)
 
 

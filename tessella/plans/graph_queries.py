@@ -63,13 +63,13 @@ def knn_by_batch(spark, d):
     return out
 
 
-GRAPH = """e AS (SELECT DISTINCT least(o_custkey, l_suppkey) AS src, greatest(o_custkey, l_suppkey) AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey <> l_suppkey AND o_custkey <= 400 AND l_suppkey <= 400),
+GRAPH = """e AS (SELECT DISTINCT least(o_custkey, l_suppkey) AS src, greatest(o_custkey, l_suppkey) AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey <> l_suppkey),
 t AS (SELECT c_custkey AS id, c_mktsegment AS t FROM customer)"""
 
 
 def _graph(spark, d):
     l, o = b.table(spark, d, "lineitem"), b.table(spark, d, "orders")
-    x = l.join(o, l["l_orderkey"] == o["o_orderkey"]).where("o_custkey <= 400 and l_suppkey <= 400")
+    x = l.join(o, l["l_orderkey"] == o["o_orderkey"])
     return neighbors.edges(x.select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst")))
 
 
@@ -167,13 +167,13 @@ def pca_softmax_accuracy(spark, d):
 
 @query(
     "project_components",
-    f"""WITH {b.EXPR}, {b.SIZES}, m AS (SELECT gene, sum(count) / any_value(n) AS mean, sqrt(sum(count * count) / any_value(n) - (sum(count) / any_value(n)) ** 2) AS sd FROM expr, n GROUP BY 1), w AS (SELECT p_partkey AS gene, p_partkey % 3 AS dim, p_size / 100.0 AS w FROM part WHERE p_partkey % 7 = 0),
+    f"""WITH {b.EXPR}, {b.SIZES}, m AS (SELECT gene, sum(count) / any_value(n) AS mean, sqrt(sum(count * count) / any_value(n) - (sum(count) / any_value(n)) ** 2) AS sd FROM expr, n GROUP BY 1), w AS (SELECT p_partkey AS gene, p_partkey % 3 AS dim, p_size / 100.0 AS w FROM part),
 x AS (SELECT DISTINCT cell_id FROM expr) SELECT cell_id, dim, round(sum((coalesce(count, 0) - mean) / sd * w), 6) AS value FROM x CROSS JOIN w JOIN m USING (gene) LEFT JOIN expr USING (cell_id, gene) WHERE sd > 0 GROUP BY 1, 2""",
 )
 def project_components(spark, d):
     e = b.expr(spark, d)
     m = matrix.moments(e, "count", b.n_cells(spark, d)).select("gene", "mean", F.sqrt("variance").alias("sd"))
-    w = b.genes(spark, d).where("gene % 7 = 0").select("gene", (F.col("gene") % 3).alias("dim"), (F.col("size") / 100).alias("w"))
+    w = b.genes(spark, d).select("gene", (F.col("gene") % 3).alias("dim"), (F.col("size") / 100).alias("w"))
     return classify.project(e, w, m, "count")
 
 
@@ -227,8 +227,8 @@ def donor_match(spark, d):
     return classify.donor_match(p.where("donor < 12"), p.where("donor >= 12"))
 
 
-@query("donor_labels", "SELECT coalesce(CASE WHEN o_custkey % 3 > 0 THEN 'd' || (o_custkey % 3) END, 'unassigned') AS donor_id, count(*) AS n FROM orders GROUP BY 1")
+@query("donor_labels", "SELECT coalesce(CASE WHEN o_orderstatus <> 'P' THEN 'd' || o_orderpriority END, 'unassigned') AS donor_id, count(*) AS n FROM orders GROUP BY 1")
 def donor_labels(spark, d):
-    o = b.table(spark, d, "orders").select(F.col("o_orderkey").alias("cell_id"), "o_custkey")
-    calls = o.where("o_custkey % 3 > 0").select("cell_id", F.concat(F.lit("d"), (F.col("o_custkey") % 3).cast("string")).alias("donor_id"))
+    o = b.table(spark, d, "orders").select(F.col("o_orderkey").alias("cell_id"), "o_orderstatus", "o_orderpriority")
+    calls = o.where("o_orderstatus <> 'P'").select("cell_id", F.concat(F.lit("d"), "o_orderpriority").alias("donor_id"))
     return classify.donor_labels(o, calls).groupBy("donor_id").agg(F.count("*").alias("n"))

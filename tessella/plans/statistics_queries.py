@@ -36,8 +36,7 @@ def ranksum_dge(spark, d):
 
 @query("ranksum_by_donor_pairs")
 def ranksum_by_donor_pairs(spark, d):
-    o = b.obs(spark, d).where("donor < 4")
-    lab = o.select("cell_id", "donor")
+    lab = b.obs(spark, d).select("cell_id", "donor")
     pairs = lab.select(F.col("donor").alias("rep1")).distinct().crossJoin(lab.select(F.col("donor").alias("rep2")).distinct()).where("rep1 < rep2")
     cells = pairs.join(lab, (F.col("donor") == F.col("rep1")) | (F.col("donor") == F.col("rep2"))).select("cell_id", "rep1", "rep2", F.when(F.col("donor") == F.col("rep1"), 1).otherwise(2).alias("grp"))
     t = stats.differential(b.expr(spark, d), cells, ["rep1", "rep2"])
@@ -172,12 +171,12 @@ def top_correlated(spark, d):
     return stats.top_correlated(corr_with_response(spark, d), 50)
 
 
-SPEAR = """x AS (SELECT brand, size % 10 AS col, sum(count) AS v FROM expr JOIN genes USING (gene) GROUP BY 1, 2), r AS (SELECT *, rank() OVER (PARTITION BY brand ORDER BY v) + (count(*) OVER (PARTITION BY brand, v) - 1) / 2.0 AS rk FROM x),
+SPEAR = """x AS (SELECT brand, (size - 1) // 5 AS col, sum(count) AS v FROM expr JOIN genes USING (gene) GROUP BY 1, 2), r AS (SELECT *, rank() OVER (PARTITION BY brand ORDER BY v) + (count(*) OVER (PARTITION BY brand, v) - 1) / 2.0 AS rk FROM x),
 z AS (SELECT brand, col, (rk - avg(rk) OVER w) / nullif(stddev_pop(rk) OVER w, 0) AS z, count(*) OVER w AS n FROM r WINDOW w AS (PARTITION BY brand)), rho AS (SELECT p.brand AS a, q.brand AS b, sum(p.z * q.z) / any_value(p.n) AS rho FROM z p JOIN z q USING (col) WHERE p.brand <> q.brand GROUP BY 1, 2)"""
 
 
 def _spearman(spark, d):
-    x = b.expr(spark, d).join(b.genes(spark, d), "gene").groupBy("brand", (F.col("size") % 10).alias("col")).agg(F.sum("count").alias("v"))
+    x = b.expr(spark, d).join(b.genes(spark, d), "gene").groupBy("brand", F.floor((F.col("size") - 1) / 5).alias("col")).agg(F.sum("count").alias("v"))
     return stats.spearman_matrix(x, "brand", "col", "v")
 
 
@@ -205,13 +204,13 @@ def auroc_topn(spark, d):
     return stats.auroc(b.table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "k"), ["k"], "l_extendedprice", F.col("l_discount") >= 0.08)
 
 
-COS = """c AS (SELECT cell_state, donor, gene, sum(count) / any_value(k) AS mean FROM expr JOIN obs USING (cell_id) JOIN (SELECT cell_state, donor, count(*) AS k FROM obs GROUP BY 1, 2) USING (cell_state, donor) WHERE donor < 5 GROUP BY 1, 2, 3),
+COS = """c AS (SELECT cell_state, donor, gene, sum(count) / any_value(k) AS mean FROM expr JOIN obs USING (cell_id) JOIN (SELECT cell_state, donor, count(*) AS k FROM obs GROUP BY 1, 2) USING (cell_state, donor) GROUP BY 1, 2, 3),
 nn AS (SELECT cell_state, donor, sqrt(sum(mean * mean)) AS l FROM c GROUP BY 1, 2)"""
 
 
 @query("centroid_cosine", f"{M}, {COS} SELECT p.cell_state AS cell_state, p.donor AS s1, q.donor AS s2, round(sum(p.mean * q.mean) / (any_value(x.l) * any_value(y.l)), 6) AS cosine FROM c p JOIN c q USING (cell_state, gene) JOIN nn x ON x.cell_state = p.cell_state AND x.donor = p.donor JOIN nn y ON y.cell_state = q.cell_state AND y.donor = q.donor WHERE p.donor < q.donor GROUP BY 1, 2, 3")
 def centroid_cosine(spark, d):
-    o = b.obs(spark, d).where("donor < 5")
+    o = b.obs(spark, d)
     k = o.groupBy("cell_state", "donor").agg(F.count("*").alias("k"))
     c = b.expr(spark, d).join(o, "cell_id").groupBy("cell_state", "donor", "gene").agg(F.sum("count").alias("s")).join(k, ["cell_state", "donor"]).withColumn("mean", F.col("s") / F.col("k"))
     return stats.cosine(c, "cell_state", "donor")
@@ -231,7 +230,7 @@ def ligand_receptor_changes(spark, d):
 @query("glm_lrt")
 def glm_lrt(spark, d):
     o = b.order_obs(spark, d)
-    l = b.table(spark, d, "lineitem").where("l_partkey <= 200").groupBy(F.col("l_orderkey").alias("cell_id"), (F.col("l_partkey") % 20).alias("gene")).agg(F.sum("l_quantity").alias("count"))
+    l = b.order_counts(spark, d)
     x = o.select("cell_id", (F.col("condition") == "F").cast("int").alias("O"), (F.col("replicate") < "3").cast("int").alias("I"), (F.col("cell_state") < "F").cast("int").alias("E"))
     models = {"m0": linear.reduced(["I", "E", "E:I"]), "m5": [t for t in linear.design_terms(["O", "I", "E"]) if len(t) < 3]}
     fits = linear.fit(l, x, ["O", "I", "E"], models)
@@ -240,12 +239,12 @@ def glm_lrt(spark, d):
 
 @query(
     "glm_one_factor",
-    """WITH y AS (SELECT l_orderkey AS cell_id, l_partkey % 20 AS gene, sum(l_quantity) AS y FROM lineitem GROUP BY 1, 2), x AS (SELECT o_orderkey AS cell_id, (o_orderstatus = 'F')::INT AS x FROM orders), n AS (SELECT count(*) AS n, sum(x) AS sx FROM x),
+    """WITH y AS (SELECT l_orderkey AS cell_id, p_brand AS gene, sum(l_quantity) AS y FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2), x AS (SELECT o_orderkey AS cell_id, (o_orderstatus = 'F')::INT AS x FROM orders), n AS (SELECT count(*) AS n, sum(x) AS sx FROM x),
 g AS (SELECT gene, sum(y) AS sy, sum(x * y) AS sxy, sum(y * y) AS qy FROM y JOIN x USING (cell_id) GROUP BY 1), f AS (SELECT gene, sxy / sx - (sy - sxy) / (n - sx) AS slope, (sy - sxy) / (n - sx) AS base FROM g, n)
 SELECT gene, round(base, 6) AS base, round(slope, 6) AS slope FROM f""",
 )
 def glm_one_factor(spark, d):
-    l = b.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("cell_id"), (F.col("l_partkey") % 20).alias("gene")).agg(F.sum("l_quantity").alias("count"))
+    l = b.order_counts(spark, d)
     x = b.table(spark, d, "orders").select(F.col("o_orderkey").alias("cell_id"), (F.col("o_orderstatus") == "F").cast("int").alias("X"))
     f = linear.fit(l, x, ["X"], {}).where("model = 'full'")
     return f.groupBy("gene").agg(F.max(F.when(F.col("term") == "1", F.col("coef"))).alias("base"), F.max(F.when(F.col("term") == "X", F.col("coef"))).alias("slope"))
@@ -253,9 +252,9 @@ def glm_one_factor(spark, d):
 
 @query("beta_binomial_abundance")
 def beta_binomial_abundance(spark, d):
-    o = b.obs(spark, d).where("donor < 10")
+    o = b.obs(spark, d)
     n = groups.tally(o, ["donor", "cell_state"], o.select("cell_state").distinct())
-    n = n.join(o.groupBy("donor").agg(F.count("*").alias("total")), "donor").withColumn("grp", F.when(F.col("donor") < 5, 1).otherwise(2))
+    n = n.join(o.groupBy("donor").agg(F.count("*").alias("total")), "donor").withColumn("grp", F.when(F.col("donor") < 13, 1).otherwise(2))
     return stats.bh(linear.beta_binomial(n, "cell_state", "grp", "n", "total"), "p")
 
 
@@ -300,9 +299,9 @@ def translated_sets(spark, d):
     return sets.translated_sets(b.brand_sets(spark, d), b.bridge(spark, d), 3).select("set_name", "gene_a", "gene_b")
 
 
-@query("translate_ordered", f"WITH {b.BRIDGE}, m AS (SELECT gene_b AS gene, min(gene_a) AS p FROM bridge WHERE gene_a <= 500 GROUP BY 1) SELECT (row_number() OVER (ORDER BY p, gene) - 1)::INT AS position, gene FROM m")
+@query("translate_ordered", f"WITH {b.BRIDGE}, m AS (SELECT gene_b AS gene, min(gene_a) AS p FROM bridge GROUP BY 1) SELECT (row_number() OVER (ORDER BY p, gene) - 1)::INT AS position, gene FROM m")
 def translate_ordered(spark, d):
-    g = b.genes(spark, d).where("gene <= 500").select(F.col("gene").alias("position"), "gene")
+    g = b.genes(spark, d).select(F.col("gene").alias("position"), "gene")
     return sets.translate_ordered(g, b.bridge(spark, d))
 
 
@@ -329,8 +328,8 @@ def prerank_permutations(spark, d):
 @query("bootstrap_fold")
 def bootstrap_fold(spark, d):
     e = b.expr(spark, d).join(_two_groups(spark, d), "cell_id").select("cell_id", "grp", "gene", F.col("count").alias("value"))
-    cells = b.table(spark, d, "part").where("p_partkey % 10 = 0").select(F.col("p_brand").alias("program"), F.col("p_partkey").alias("gene"))
-    return resample.bootstrap_fold(e, cells, "grp", rounds=11, size=3)
+    programs = b.brand_sets(spark, d).withColumnRenamed("set_name", "program")
+    return resample.bootstrap_fold(e, programs, "grp", rounds=11, size=3)
 
 
 @query("binomial_bootstrap_sd")
