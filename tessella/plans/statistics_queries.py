@@ -57,13 +57,26 @@ def markers_one_vs_rest(spark, d):
     return stats.one_vs_rest(b.expr(spark, d), b.obs(spark, d), "cell_state").drop("p")
 
 
-@query("find_markers")
+REST = f"{M}{ONE_REST}, {b.CENTERS.replace('sizes AS', 'sz AS').replace('JOIN sizes', 'JOIN sz')}, pz AS (SELECT cell_state, gene, mean, pct, (st - sx) / (n - n1) AS rest_mean, (r1 - n1 * (n + 1) / 2.0) / sqrt(n1 * (n - n1) * (n + 1) / 12.0) AS z FROM tt WHERE sx > 0)"
+
+
+@query(
+    "find_markers",
+    f"""{REST}, p AS (SELECT *, {b.two_sided_sql('z')} AS p FROM pz WHERE pct > 0.01), q AS (SELECT *, count(*) OVER (PARTITION BY cell_state ORDER BY p RANGE UNBOUNDED PRECEDING) AS rk, count(*) OVER (PARTITION BY cell_state) AS m FROM p),
+f AS (SELECT *, least(1, min(p * m / rk) OVER (PARTITION BY cell_state ORDER BY p DESC RANGE UNBOUNDED PRECEDING)) AS fdr FROM q), k AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY mean DESC, cell_state) AS k FROM centers),
+t AS (SELECT gene, max(CASE WHEN k = 1 THEN mean END) AS a, max(CASE WHEN k = 2 THEN mean END) AS c FROM k GROUP BY 1), x AS (SELECT cell_state, k.gene, log2((mean + 0.1) / (greatest(0, coalesce(CASE WHEN k = 1 THEN c ELSE a END, 0)) + 0.1)) AS fold FROM k JOIN t ON k.gene = t.gene)
+SELECT cell_state, count(*) AS n, round(min(fdr), 6) AS best FROM f JOIN x USING (cell_state, gene) WHERE fdr < 1.01 AND fold > 0 GROUP BY 1""",
+)
 def find_markers(spark, d):
     m = stats.markers(b.expr(spark, d), b.obs(spark, d), "cell_state", max_p=1.01)
     return m.groupBy("cell_state").agg(F.count("*").alias("n"), F.min("fdr").alias("best"))
 
 
-@query("fold_over_rest")
+@query(
+    "fold_over_rest",
+    f"""{REST}, ok AS (SELECT gene FROM expr GROUP BY 1 HAVING sum((count >= 10)::INT) >= 5), f AS (SELECT cell_state, gene, (mean + 0.1) / (rest_mean + 0.1) AS fold FROM pz WHERE gene IN (SELECT gene FROM ok)),
+r AS (SELECT *, row_number() OVER (PARTITION BY cell_state ORDER BY round(fold, 9) DESC, gene) AS rank FROM f) SELECT cell_state, gene, round(fold, 6) AS fold, rank FROM r WHERE rank <= 40""",
+)
 def fold_over_rest(spark, d):
     t = stats.fold_over_rest(b.expr(spark, d), b.obs(spark, d), "cell_state", "count", 0.1, 40, 10, 5, 1.01)
     return t.select("cell_state", "gene", "fold", "rank")
@@ -151,11 +164,11 @@ def _response(spark, d):
     return b.table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("cell_state")).agg(F.avg("c_acctbal").alias("y"))
 
 
-@query(
-    "corr_with_response",
-    f"""{C}, {RESP}, t AS (SELECT count(*) AS n, sum(y) AS sy, sum(y * y) AS qy FROM y), g AS (SELECT gene, sum(mean) AS s, sum(mean * mean) AS q, sum(mean * y) AS xy FROM centers JOIN y USING (cell_state) GROUP BY 1)
-SELECT gene, round(CASE WHEN sqrt((n * q - s * s) * (n * qy - sy * sy)) > 1e-12 THEN (n * xy - s * sy) / sqrt((n * q - s * s) * (n * qy - sy * sy)) END, 6) AS r FROM g, t""",
-)
+RESPONSE_SQL = f"""{C}, {RESP}, t AS (SELECT count(*) AS n, sum(y) AS sy, sum(y * y) AS qy FROM y), g AS (SELECT gene, sum(mean) AS s, sum(mean * mean) AS q, sum(mean * y) AS xy FROM centers JOIN y USING (cell_state) GROUP BY 1),
+rr AS (SELECT gene, CASE WHEN sqrt((n * q - s * s) * (n * qy - sy * sy)) > 1e-12 THEN (n * xy - s * sy) / sqrt((n * q - s * s) * (n * qy - sy * sy)) END AS r FROM g, t)"""
+
+
+@query("corr_with_response", f"{RESPONSE_SQL} SELECT gene, round(r, 6) AS r FROM rr")
 def corr_with_response(spark, d):
     return stats.response_correlation(groups.centroids(b.expr(spark, d), b.obs(spark, d), "cell_state"), _response(spark, d), "cell_state")
 
@@ -166,7 +179,7 @@ def null_correlation_histogram(spark, d):
     return stats.mean_histogram(stats.permuted_correlation(c, _response(spark, d), "cell_state", 10), "r", -1, 1, 20)
 
 
-@query("top_correlated")
+@query("top_correlated", f"{RESPONSE_SQL} SELECT gene, round(r, 6) AS r FROM rr WHERE r IS NOT NULL QUALIFY row_number() OVER (ORDER BY round(abs(r), 9) DESC, gene) <= 50")
 def top_correlated(spark, d):
     return stats.top_correlated(corr_with_response(spark, d), 50)
 
@@ -216,7 +229,13 @@ def centroid_cosine(spark, d):
     return stats.cosine(c, "cell_state", "donor")
 
 
-@query("ligand_receptor_changes")
+@query(
+    "ligand_receptor_changes",
+    """WITH v AS (SELECT o_orderstatus AS c, l_linenumber::VARCHAR AS pair, l_returnflag || '|' || l_linestatus AS cells, avg(l_quantity) AS m, avg(l_discount) AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3),
+x AS (SELECT a.pair, a.cells, a.m AS m0, e.m AS m1, a.p AS p0, e.p AS p1 FROM v a JOIN v e USING (pair, cells) WHERE a.c = 'F' AND e.c = 'O'),
+y AS (SELECT *, CASE WHEN m1 > m0 AND p1 < 0.06 AND m1 > 1 THEN 'up' WHEN m1 < m0 AND p0 < 0.06 AND m0 > 1 THEN 'down' END AS direction FROM x)
+SELECT pair, cells, round(log2((m1 + 0.5) / (m0 + 0.5)), 6) AS log2fc, direction, CASE WHEN pair < '4' THEN 'A' ELSE 'I' END AS kind FROM y WHERE direction IS NOT NULL""",
+)
 def ligand_receptor_changes(spark, d):
     l, o = b.table(spark, d, "lineitem"), b.table(spark, d, "orders")
     v = l.join(o, l["l_orderkey"] == o["o_orderkey"]).groupBy(F.col("o_orderstatus").alias("condition"), F.col("l_linenumber").cast("string").alias("pair"), F.concat_ws("|", "l_returnflag", "l_linestatus").alias("cells")).agg(F.avg("l_quantity").alias("m"), F.avg("l_discount").alias("p"))
