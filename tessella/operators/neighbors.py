@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .settle import settle
+
 
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
@@ -90,13 +92,14 @@ def smooth(neighbours: DataFrame, values: DataFrame, value: str, beta: float, ro
 
     Cells without neighbours keep their value.
     """
-    sc = values.sparkSession.sparkContext
+    if rounds > 1:
+        neighbours = settle(neighbours.select("src", "dst"))
     now = values.select("id", F.col(value).cast("double").alias("value"))
     for k in range(rounds):
         m = neighbour_mean(neighbours, now, "value")
         now = now.join(m, "id", "left").select("id", F.coalesce(beta * F.col("value") + (1 - beta) * F.col("mean"), "value").alias("value"))
-        if (k + 1) % every == 0 and k + 1 < rounds and sc.getCheckpointDir():
-            now = now.checkpoint()
+        if (k + 1) % every == 0 and k + 1 < rounds:
+            now = settle(now)
     return now
 
 
@@ -137,7 +140,7 @@ def maximum_spanning_tree(graph: DataFrame) -> DataFrame:
     Ties go to the smaller pair, so each edge has a place of its own and a
     round adds no cycle.
     """
-    g = graph.select("t1", "t2", "weight").withColumn("place", F.struct((-F.col("weight")).alias("w"), "t1", "t2"))
+    g = settle(graph.select("t1", "t2", "weight")).withColumn("place", F.struct((-F.col("weight")).alias("w"), "t1", "t2"))
     comp = g.select(F.col("t1").alias("t")).union(g.select("t2")).distinct().withColumn("c", F.col("t"))
     tree = None
     while True:
@@ -168,15 +171,13 @@ def maximum_spanning_tree(graph: DataFrame) -> DataFrame:
 
 def label_propagation(e: DataFrame, rounds: int = 10) -> DataFrame:
     """id, cluster: every cell takes the most frequent label around it, its own counting once, ties to the smallest; deterministic."""
-    adj = adjacency(e)
-    sc = e.sparkSession.sparkContext
+    adj = settle(adjacency(e))
     now = adj.select(F.col("src").alias("id")).distinct().withColumn("cluster", F.col("id"))
     for _ in range(rounds):
         votes = adj.join(now.select(F.col("id").alias("dst"), "cluster"), "dst").select(F.col("src").alias("id"), "cluster").union(now.select("id", "cluster"))
         n = votes.groupBy("id", "cluster").agg(F.count("*").alias("n"))
         now = n.groupBy("id").agg(F.max(F.struct("n", (-F.col("cluster")).alias("c"))).alias("m")).select("id", (-F.col("m.c")).alias("cluster"))
-        if sc.getCheckpointDir():
-            now = now.checkpoint()
+        now = settle(now)
     return now
 
 

@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None, digits: int = 6):
 
 
 def _load() -> None:
-    from . import cell_queries, event_queries, graph_queries, statistics_queries  # noqa: F401
+    from . import cell_queries, event_queries, graph_queries, pipelines, statistics_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

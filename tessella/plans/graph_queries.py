@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import classify, groups, matrix, neighbors, ranks
+from ..operators.settle import settle
 from . import bindings as b
 from .catalog import query
 
@@ -98,7 +99,7 @@ def state_graph_tree(spark, d):
 
 @query("label_propagation")
 def label_propagation(spark, d):
-    e = _graph(spark, d)
+    e = settle(_graph(spark, d))
     return neighbors.modularity(e, neighbors.label_propagation(e, 4))
 
 
