@@ -112,10 +112,10 @@ def modularity(spark, d):
     return neighbors.modularity(_graph(spark, d), _states(spark, d).withColumnRenamed("t", "cluster"))
 
 
-@query("graph_smoothing", f"WITH {GRAPH}, v AS (SELECT id, avg(x) AS m FROM (SELECT src AS id, c_acctbal AS x FROM e JOIN customer ON c_custkey = dst UNION ALL SELECT dst, c_acctbal FROM e JOIN customer ON c_custkey = src) GROUP BY 1) SELECT c_custkey AS id, round(coalesce(0.3 * c_acctbal + 0.7 * m, c_acctbal), 6) AS value FROM customer LEFT JOIN v ON id = c_custkey")
+@query("graph_smoothing", f"WITH {GRAPH}, v AS (SELECT id, avg(x) AS m FROM (SELECT src AS id, c_acctbal AS x FROM e JOIN customer ON c_custkey = dst UNION ALL SELECT dst, c_acctbal FROM e JOIN customer ON c_custkey = src) GROUP BY 1) SELECT c_custkey AS id, round(coalesce(0.31415926 * c_acctbal + (1 - 0.31415926) * m, c_acctbal), 6) AS value FROM customer LEFT JOIN v ON id = c_custkey")
 def graph_smoothing(spark, d):
     v = b.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal")
-    return neighbors.smooth(neighbors.adjacency(_graph(spark, d)), v, "c_acctbal", 0.3, 1)
+    return neighbors.smooth(neighbors.adjacency(_graph(spark, d)), v, "c_acctbal", 0.31415926, 1)
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tails
 from ..operators import groups, linear, ranks, resample, sets, stats
+from ..operators.settle import settle
 from . import bindings as b
 from .catalog import query
 
@@ -205,7 +206,7 @@ def coexpression_network(spark, d):
 
 @query("coexpression_conservation")
 def coexpression_conservation(spark, d):
-    net = stats.coexpression_network(_spearman(spark, d))
+    net = settle(stats.coexpression_network(_spearman(spark, d)))
     same = net.select(F.col("a").alias("gene_a")).distinct().withColumn("gene_b", F.col("gene_a"))
     other = same.select("gene_a", F.translate("gene_a", "12345", "23451").alias("gene_b"))
     real = stats.partner_auroc(net, net, same, same, 5)
