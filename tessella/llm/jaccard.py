@@ -285,22 +285,29 @@ def trie_links(queries: list[np.ndarray], index: list[np.ndarray], num: int, den
                 yield q, b
 
 
+#: Width of a size class, in steps of the threshold's ratio; sets within one step of a border meet the next class too.
+CLASS_WIDTH = 3
+
+
 def _blocks(members: DataFrame, num: int, den: int) -> DataFrame:
     """Cuts shards into blocks and says which blocks meet: set_id, comp, a, b, block.
 
     members: set_id, comp, n_shingles.  A block is a size class of a shard,
-    or a hashed part of one with about BLOCK_NGRAMS n-grams.  Sets link only
-    within a size class and with the next one, so only those blocks meet.
+    or a hashed part of one with about BLOCK_NGRAMS n-grams.  Sizes that can
+    link are at most one step apart, so blocks of a class meet each other,
+    and those of the next class with the sets at the border between them.
     """
-    m = members.withColumn("cls", F.floor(F.log("n_shingles") / F.lit(math.log(den / num) * 1.0001)).cast("int"))
+    step = F.log("n_shingles") / F.lit(math.log(den / num) * 1.0001)
+    m = members.withColumn("cls", F.floor(step / CLASS_WIDTH).cast("int")).withColumn("place", step - F.col("cls") * CLASS_WIDTH)
     parts = m.groupBy("comp", "cls").agg(F.ceil(F.sum("n_shingles") / F.lit(BLOCK_NGRAMS)).cast("int").alias("parts"))
     m = m.join(parts, ["comp", "cls"]).withColumn("block", F.col("cls") * F.lit(1 << 32) + F.pmod(F.xxhash64("set_id"), F.col("parts")))
     blocks = parts.select("comp", "cls", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    x = blocks.select("comp", "cls", (F.col("cls") * F.lit(1 << 32) + F.col("part")).alias("a"), F.explode(F.array(F.col("cls"), F.col("cls") + 1)).alias("other"))
+    x = blocks.select("comp", F.col("cls").alias("mine"), (F.col("cls") * F.lit(1 << 32) + F.col("part")).alias("a"), F.explode(F.array(F.col("cls"), F.col("cls") + 1)).alias("other"))
     y = blocks.select("comp", F.col("cls").alias("other"), (F.col("cls") * F.lit(1 << 32) + F.col("part")).alias("b"))
-    meet = x.join(y, ["comp", "other"]).where("a <= b").select("comp", "a", "b")
-    sides = meet.select("comp", "a", "b", F.explode(F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))).alias("block"))
-    return m.join(sides, ["comp", "block"]).select("set_id", "comp", "a", "b", "block")
+    meet = x.join(y, ["comp", "other"]).where("a <= b").select("comp", "a", "b", (F.col("mine") != F.col("other")).alias("border"))
+    sides = meet.select("comp", "a", "b", "border", F.explode(F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))).alias("block"))
+    near = ~F.col("border") | F.when(F.col("block") == F.col("a"), F.col("place") >= CLASS_WIDTH - 1).otherwise(F.col("place") <= 1)
+    return m.join(sides, ["comp", "block"]).where(near).select("set_id", "comp", "a", "b", "block")
 
 
 def links(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -335,9 +342,9 @@ def _classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Da
     plan = _blocks(members.select("set_id", "comp", "n_shingles"), num, den)
     src = docs.select(F.col("doc_id").cast("bigint").alias("rid"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("rhash"), "text")
     src = common.might_match(src, "rhash", reps.select("rhash")).alias("d")
-    r = reps.hint("merge").alias("r")
-    texts = src.join(r, F.col("d.rid").eqNullSafe(F.col("r.rid")) & (F.col("d.rhash") == F.col("r.rhash"))).select("set_id", "text")
-    found = links(texts.join(plan, "set_id"), n, num, den)
+    r = plan.join(reps, "set_id").hint("merge").alias("r")
+    texts = src.join(r, F.col("d.rid").eqNullSafe(F.col("r.rid")) & (F.col("d.rhash") == F.col("r.rhash"))).select("set_id", "comp", "a", "b", "block", "text")
+    found = links(texts, n, num, den)
     linked = common.components(found, "jaccard-links").select(F.col("node").alias("set_id"), "root")
     return prof, sets.select("set_id", "low", "rep").join(linked, "set_id", "left")
 
