@@ -121,6 +121,26 @@ def test_passages(spark):
     assert substring.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_passages_with_other_text_between(spark):
+    r = random.Random(5)
+    vocab = [f"w{i}" for i in range(4000)]
+    words = lambda n: [r.choice(vocab) for _ in range(n)]
+    body = words(60)
+    changed = body[:27] + words(7) + body[34:]  # neither part is long enough by itself
+    rows = []
+    for i, gap in enumerate((20, 50, 200)):
+        h, f = words(60), words(100)
+        rows += [(2 * i, words(30) + h + words(gap) + f + words(9)), (2 * i + 1, words(11) + h + words(gap) + f + words(40))]
+    rows += [(10, words(20) + body + words(20)), (11, words(30) + changed + words(20))]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id bigint, text string")
+    got = {x.doc_id: x for x in substring.repeated_passages(df).collect()}
+    for i, gap in enumerate((20, 50, 200)):
+        want = [(11, 71), (71 + gap, 171 + gap)]
+        assert [(s.start, s.end) for s in got[2 * i + 1].spans] == want and got[2 * i].n_copies == 2
+    (s,) = got[11].spans
+    assert (s.start, s.end) == (30, 90) and got[11].sources == [10] and got[10].n_copies == 1
+
+
 def test_chain_equals_quadratic_search():
     r = np.random.default_rng(0)
     for _ in range(40):
