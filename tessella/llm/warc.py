@@ -99,9 +99,12 @@ def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
 def write_archive(recs: DataFrame, files: DataFrame, path: str) -> None:
     """Writes uncompressed WARC files, one folder for each file number, records in order of offset.
 
-    files: the manifest.  A record ends with an empty line, which is the line separator of the text sink.
+    files: the manifest; each of its rows, also of null page_ids and repeats, is written once at its offset.
+    A record ends with an empty line, which is the line separator of the text sink.
     """
-    lines = recs.withColumn("sha256", F.sha2(F.col("record").cast("binary"), 256)).join(files.select("page_id", "sha256", "file", "offset"), ["page_id", "sha256"])
+    # repeated rows have the same bytes: one of them serves every place that the manifest gives them
+    once = recs.select(F.col("page_id").alias("id"), F.sha2(F.col("record").cast("binary"), 256).alias("now"), "record").dropDuplicates(["id", "now"])
+    lines = files.join(once, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("sha256") == F.col("now")))
     body = F.expr("substring(record, 1, length(record) - 4)")
     lines.select(body.alias("value"), "file", "offset").repartition("file").sortWithinPartitions("file", "offset").drop("offset").write.partitionBy("file").option("lineSep", "\r\n\r\n").text(path)
 

@@ -199,6 +199,17 @@ def test_fixity(spark, tmp_path):
     assert warc.fixity(pages.limit(0)).count() == 0
 
 
+def test_archive_of_nulls_and_repeats(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "one"), (None, "n", "first"), (None, None, "second"), (None, None, None), (2, "v", "two é"), (2, "v", "two é"), (2, "v", "two é"), (2, "w", "other"), (None, "n", "first"), (3, None, "end")], "page_id bigint, url string, html string").repartition(3)
+    recs = warc.records(pages)
+    files = warc.manifest(recs)
+    warc.write_archive(recs, files, str(tmp_path / "w"))
+    raw = b"".join(f.read_bytes() for f in sorted((tmp_path / "w").rglob("part-*")))
+    rows = files.collect()
+    assert len(rows) == 10 and {x.file for x in rows} == {0} and len(raw) == sum(x.length for x in rows)
+    assert all(hashlib.sha256(raw[x.offset : x.offset + x.length]).hexdigest() == x.sha256 for x in rows)
+
+
 def test_toxicity(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
