@@ -37,12 +37,14 @@ def bootstrap_fold(values: DataFrame, genes: DataFrame, group: str, rounds: int
 
     values: cell_id, grp (1 or 2), gene, value; genes: program, gene.  A
     draw's score of a cell is the mean of the drawn genes; draws are compared
-    by a normal test on the cells' scores.
+    by a normal test on the cells' scores.  Of a program with fewer than size
+    genes each draw has all.
     """
     cells = values.select("cell_id", group).distinct()
     n = cells.groupBy(group).agg(F.count("*").alias("n"))
     d = draws(genes, ["program"], "gene", rounds, size, seed)
-    s = values.join(d, "gene").groupBy("program", "draw", group, "cell_id").agg((F.sum("value") / size).alias("s"))
+    drawn = d.groupBy("program", "draw").agg(F.count("*").alias("k"))
+    s = values.join(d.join(drawn, ["program", "draw"]), "gene").groupBy("program", "draw", group, "cell_id").agg((F.sum("value") / F.first("k")).alias("s"))
     m = s.groupBy("program", "draw", group).agg(F.sum("s").alias("s"), F.sum(F.col("s") ** 2).alias("q")).join(F.broadcast(n), group)
     m = m.select("program", "draw", group, "n", (F.col("s") / F.col("n")).alias("m"), (F.col("q") / F.col("n") - (F.col("s") / F.col("n")) ** 2).alias("v"))
     a, b = (m.where(F.col(group) == k).select("program", "draw", *[F.col(c).alias(f"{c}{k}") for c in ("n", "m", "v")]) for k in (1, 2))

@@ -339,7 +339,7 @@ def prerank_es(spark, d):
 @query("prerank_permutations")
 def prerank_permutations(spark, d):
     r = b.expr(spark, d).groupBy("gene").agg((F.sum("count") - 500).alias("score"))
-    return sets.preranked(r, b.brand_sets(spark, d), rounds=20, least=2).drop("leading")
+    return sets.preranked(r, b.brand_sets(spark, d), least=2).drop("leading")
 
 
 # ---------------------------------------------------------------- resampling
@@ -349,14 +349,14 @@ def prerank_permutations(spark, d):
 def bootstrap_fold(spark, d):
     e = b.expr(spark, d).join(_two_groups(spark, d), "cell_id").select("cell_id", "grp", "gene", F.col("count").alias("value"))
     programs = b.brand_sets(spark, d).withColumnRenamed("set_name", "program")
-    return resample.bootstrap_fold(e, programs, "grp", rounds=11, size=3)
+    return resample.bootstrap_fold(e, programs, "grp")
 
 
 @query("binomial_bootstrap_sd")
 def binomial_bootstrap_sd(spark, d):
     o = b.obs(spark, d)
     s = o.groupBy("cell_state").agg(F.count("*").alias("k")).withColumn("n", F.sum("k").over(Window.partitionBy(F.lit(1)))).withColumn("p", F.col("k") / F.col("n"))
-    return resample.binomial_rounds(s, "cell_state", "n", "p", 200).groupBy("cell_state").agg(F.stddev_pop("x").alias("sd"), F.avg("x").alias("mean"))
+    return resample.binomial_rounds(s, "cell_state", "n", "p", 1000).groupBy("cell_state").agg(F.stddev_pop("x").alias("sd"), F.avg("x").alias("mean"))
 
 
 @query("hash_split")

@@ -1,5 +1,6 @@
 """Operators against numpy or hand-worked cases."""
 
+import inspect
 import math
 
 import numpy as np
@@ -216,3 +217,29 @@ def test_overlaps(spark):
     b = spark.createDataFrame([("p", 2), ("p", 3), ("q", 9)], "gb string, gene int")
     got = {(r.ga, r.gb): (r.shared, r.pct, round(r.jaccard, 4)) for r in sets.overlaps(a, b, "ga", "gb").collect()}
     assert got == {("x", "p"): (2, 100.0, 0.6667), ("y", "p"): (1, 100.0, 0.5)}
+
+
+def test_registered_rounds_are_the_references(spark, monkeypatch):
+    from tessella.plans import statistics_queries as q
+
+    seen = {}
+    for module, name in ((q.sets, "preranked"), (q.resample, "bootstrap_fold"), (q.resample, "binomial_rounds")):
+
+        def spy(*a, f=getattr(module, name), name=name, **k):
+            bound = inspect.signature(f).bind(*a, **k)
+            bound.apply_defaults()
+            seen[name] = bound.arguments
+            return f(*a, **k)
+
+        monkeypatch.setattr(module, name, spy)
+    for f in (q.prerank_permutations, q.bootstrap_fold, q.binomial_bootstrap_sd):
+        f(spark, "/root/testdata/sf0.001")
+    assert seen["preranked"]["rounds"] == 1000 and seen["binomial_rounds"]["rounds"] == 1000
+    assert (seen["bootstrap_fold"]["rounds"], seen["bootstrap_fold"]["size"]) == (101, 7)
+
+
+def test_bootstrap_fold_of_a_small_program(spark):
+    values = spark.createDataFrame([(c, 1 + c % 2, g, float(1 + c % 2 + (c // 2 % 2) * 0.5)) for c in range(8) for g in ("a", "b")], "cell_id bigint, grp int, gene string, value double")
+    genes = spark.createDataFrame([("small", "a"), ("small", "b")], "program string, gene string")
+    (r,) = resample.bootstrap_fold(values, genes, "grp").collect()
+    assert r.fc == pytest.approx((2.25 + 0.01) / (1.25 + 0.01))
