@@ -7,13 +7,12 @@ passes, so no operator loops over words in Python.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U = np.uint64
@@ -28,13 +27,10 @@ CHUNK_BYTES = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the cluster names none."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder all executors share, as the session names it."""
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = "file://" + tempfile.mkdtemp(prefix="tessella-")
-        spark.sparkContext.setCheckpointDir(d)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return d.rstrip("/")
 
 
@@ -80,8 +76,8 @@ def partitions(spark: SparkSession) -> int:
 FILTER_WORDS = 1 << 18
 
 
-def might_match(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """Rows of df whose hash column key may occur in the single column of keys.
+def flag_match(df: DataFrame, key: str, keys: DataFrame, flag: str) -> DataFrame:
+    """df with a boolean column: whether its hash column key may occur in the single column of keys.
 
     A bit filter of fixed size, made and applied by Spark, so that a join
     with few keys doesn't shuffle the rows that can't match.  With very many
@@ -91,7 +87,46 @@ def might_match(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     place = lambda c: F.shiftrightunsigned(c, 64 - 18)
     bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), c.bitwiseAND(63).cast("int"))
     bits = keys.select(place(h).alias("__w"), bit(h).alias("__b")).groupBy("__w").agg(F.bit_or("__b").alias("__b"))
-    return df.join(F.broadcast(bits), place(F.col(key)) == F.col("__w")).where(F.col("__b").bitwiseAND(bit(F.col(key))) != 0).drop("__w", "__b")
+    hit = F.coalesce(F.col("__b").bitwiseAND(bit(F.col(key))) != 0, F.lit(False))
+    return df.join(F.broadcast(bits), place(F.col(key)) == F.col("__w"), "left").withColumn(flag, hit).drop("__w", "__b")
+
+
+def might_match(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows of df whose hash column key may occur in the single column of keys, see flag_match()."""
+    return flag_match(df, key, keys, "__might").where("__might").drop("__might")
+
+
+# ---------------------------------------------------------------- expressions
+
+#: Items of an array that are folded together: a fold that gathers an array copies it at each step.
+PART = 128
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(items: Column, value: Callable[[Column], Column], combine: Callable[[Column, Column], Column], zero: int) -> Column:
+    """Parts of PART structs (before, x) in order: each item x, and what combine() makes of the ints that the items before it have.
+
+    Parts are folded by themselves, then their totals, so that the time is
+    all but linear.  combine() is associative with zero as its neutral.
+    """
+
+    def fold(array, of):
+        start = F.struct(F.lit(zero).alias("all"), F.array().cast("array<int>").alias("before"))
+        return F.aggregate(array, start, lambda acc, x: F.struct(combine(acc["all"], of(x)).alias("all"), F.concat(acc["before"], F.array(acc["all"])).alias("before")))
+
+    def parts(a):
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / PART).cast("int")), lambda i: F.slice(a, i * PART + 1, F.lit(PART)))
+        return F.when(F.size(a) > 0, F.transform(cut, lambda c: F.struct(c.alias("items"), fold(c, value).alias("run"))))
+
+    def rebased(ps):
+        one = lambda base, p: F.transform(F.arrays_zip(p["items"].alias("x"), p["run"]["before"].alias("b")), lambda y: F.struct(combine(base, y["b"]).alias("before"), y["x"].alias("x")))
+        return let(fold(ps, lambda p: p["run"]["all"])["before"], lambda bases: F.transform(ps, lambda p, i: one(F.get(bases, i), p)))
+
+    return let(let(items, parts), rebased)
 
 
 # ---------------------------------------------------------------- bytes to words

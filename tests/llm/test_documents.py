@@ -94,21 +94,41 @@ def test_jaccard_near_copies(spark):
 
 def test_trie_links_equal_brute_force():
     rng = np.random.default_rng(1)
-    for _ in range(30):
+    for round_ in range(30):
         sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))).astype(np.uint64) for _ in range(40)]
+        sizes = np.array([len(s) for s in sets])
+        start = np.arange(40)
+        if round_ % 3 == 1:
+            start[30:] = start[5]
         for num, den in ((9, 10), (8, 10), (1, 2)):
-            forest = jaccard.Forest(len(sets))
-            want = jaccard.Forest(len(sets))
-            for a, b in jaccard.trie_links(sets, sets, num, den, True):
-                o = len(np.intersect1d(sets[a], sets[b]))
-                assert den * o >= num * (len(sets[a]) + len(sets[b]) - o)
-                forest.join(a, b)
-            for a in range(len(sets)):
-                for b in range(a):
-                    o = len(np.intersect1d(sets[a], sets[b]))
-                    if den * o >= num * (len(sets[a]) + len(sets[b]) - o):
-                        want.join(a, b)
-            assert [forest.find(i) for i in range(len(sets))] == [want.find(i) for i in range(len(sets))]
+            for cut in (0, 17):
+                want = start.copy()
+                for a in range(cut or 40):
+                    for b in range(cut, 40):
+                        o = len(np.intersect1d(sets[a], sets[b]))
+                        if den * o >= num * (sizes[a] + sizes[b] - o):
+                            x, y = sorted((want[a], want[b]))
+                            want[want == y] = x
+                assert jaccard.trie_links(sets, sizes, cut, start, num, den).tolist() == want.tolist()
+
+
+def test_jaccard_in_small_blocks_with_frequent_ngrams(spark, monkeypatch):
+    """Many flushes, buckets and blocks, and n-grams so frequent that the index doesn't count them."""
+    rng = np.random.default_rng(8)
+    base, rows = [f"w{x}" for x in rng.integers(0, 5000, 120)], []
+    for k in range(240):
+        v = list(base) if k % 3 == 0 else [f"w{x}" for x in rng.integers(0, 5000, 60)] + base[: int(rng.integers(20, 120))]
+        for i in rng.integers(0, len(v), int(rng.integers(0, 6))):
+            v[i] = f"z{rng.integers(0, 10**6)}"
+        rows.append((k, " ".join(v)))
+    for name, v in (("FLUSH", 1500), ("FREQUENT", 6), ("BLOCK_NGRAMS", 2000)):
+        monkeypatch.setattr(jaccard, name, v)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    for n, num, den in ((3, 9, 10), (5, 8, 10)):
+        assert Counter(tuple(r) for r in jaccard.jaccard_join(df, n, num, den).collect()) == classes(rows, n, num, den)
+    prof = jaccard.profile(df, 5)
+    total = prof.agg({"n_shingles": "sum"}).first()[0]
+    assert 0 < len(jaccard.frequent(prof, total)) <= 1500 // 6
 
 
 def test_empty_tables(spark, docs):
