@@ -1,13 +1,14 @@
 """Personal data: fixed patterns, then bootstrapped contextual extraction, in DataFrame functions only.
 
 Fixed patterns find e-mail addresses, IP addresses, card and phone numbers.
-They seed the bootstrap: identifier-like tokens and the two words before them
-form a graph of instances and lexical patterns; scores flow from seed
-instances to patterns and back for a few rounds, as joins and grouped sums;
-patterns of high confidence mark the unseen identifiers that follow them.
-
-Regular expressions are written so that Java matches them without
-backtracking over long runs; each finds what its plain form in the comments
+These entities are the seeds of the bootstrap: the two words before a seed are
+a lexical pattern, and every word that follows such a pattern anywhere is an
+instance of it.  Scores flow from seeds to patterns and back over the graph of
+patterns and instances for a few rounds, as joins and grouped sums; patterns
+of high confidence mark the unseen identifiers that follow them.
+
+Regular expressions are written so that Java matches them without recursion
+or backtracking over long runs; each finds what its plain form in the comments
 finds.
 """
 
@@ -21,35 +22,33 @@ from . import common
 # Plain forms:
 #   email [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+      ip [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
 #   card  [0-9]([\x20-]?[0-9])+                                  phone \+[0-9][\x20().0-9-]+[0-9]
-EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: On a text in which single separators between digits are \x01; shorter runs can't hold 12 digits.
 CARD = "(?<![0-9\x01])[0-9][0-9\x01]{11,}+"
 IP_PARTS = r"^(?:0*+(?:(?<=0)|[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$"
-#: A token with four digits or more.
-IDENTIFIER = r"(?<!\S)(?=(?:[^\s0-9]*+[0-9]){4})\S++"
-SEED = r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.[A-Za-z0-9-]|^\W?[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\W*$|^\W?[0-9]{13,19}\W*$|^\W?\+[0-9]{9,15}\W*$"
+#: Signs around a word that belong to the sentence.
+BEFORE, BEHIND = r"^[^\p{L}\p{N}]*+", r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$"
+#: First character of a seed in the marked text, and white space within it.
+MARK, GLUE = "\x02", "\x03"
 
 KINDS = ["email", "ip", "card", "phone", "ident"]
-#: Rounds of scoring; a pattern is used if this many different instances and this share of its weight speak for it.
+SPANS = "array<struct<s:int,e:int>>"
+#: Rounds of scoring; a pattern counts if so many different seeds follow it, and is used if this share of its weight speaks for it.
 ROUNDS, SUPPORT, CONFIDENCE = 3, 5, 0.8
+#: Score of an instance over all patterns it follows, from which a good pattern marks it.
+PLAUSIBLE = 0.5
 
 
 def _found(text: Column, pattern: str, when: Column) -> Column:
-    """Array of (s, e, m, before): code points of each match, the match, and the text since the one before."""
-    out = "array<struct<s:int,e:int,m:string,before:string>>"
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.arrays_zip(F.split(text, pattern, -1).alias("p"), matches.alias("m"))
-
-    def step(acc, x):
-        s = acc["pos"] + F.length(x["p"])
-        e = s + F.length(x["m"])
-        one = F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"), F.right(x["p"], F.lit(80)).alias("before")))
-        return F.struct(F.coalesce(e, s).alias("pos"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
-
-    made = F.aggregate(both, F.struct(F.lit(0).alias("pos"), F.array().cast(out).alias("out")), step, lambda acc: acc["out"])
-    return F.when(when & text.rlike(pattern), made).otherwise(F.array().cast(out))
+    """Array of (s, e, m): code points of each match, and the match."""
+    both = F.arrays_zip(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+    size = lambda x: F.length(x["p"]) + F.coalesce(F.length(x["m"]), F.lit(0))
+    start = lambda y: y["before"] + F.length(y["x"]["p"])
+    found = F.transform(F.flatten(common.running(both, size, lambda a, b: a + b, 0)), lambda y: F.struct(start(y).alias("s"), (start(y) + F.length(y["x"]["m"])).alias("e"), y["x"]["m"].alias("m")))
+    out = "array<struct<s:int,e:int,m:string>>"
+    return F.when(when & text.rlike(pattern), F.filter(found, lambda x: x["m"].isNotNull()).cast(out)).otherwise(F.array().cast(out))
 
 
 def _digits(m: Column) -> Column:
@@ -70,12 +69,44 @@ def _luhn(d: Column) -> Column:
 def base_spans(text: Column) -> dict[str, Column]:
     """The checked matches of each kind in a text (not null)."""
     joined = F.regexp_replace(F.translate(text, "\x01", "\x02"), r"(?<=[0-9])[ -](?=[0-9])", "\x01")
-    return {
+    found = {
         "email": _found(text, EMAIL, F.contains(text, F.lit("@"))),
         "ip": F.filter(_found(text, IP, F.lit(True)), lambda x: x["m"].rlike(IP_PARTS)),
         "card": F.filter(_found(joined, CARD, F.lit(True)), lambda x: F.length(_digits(x["m"])).between(12, 19) & _luhn(_digits(x["m"]))),
         "phone": F.filter(_found(text, PHONE, F.contains(text, F.lit("+"))), lambda x: F.length(_digits(x["m"])).between(9, 15)),
     }
+    return {k: F.transform(v, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))) for k, v in found.items()}
+
+
+def _sorted(kinds: list[str]) -> Column:
+    def tag(i: int):
+        return lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("k"), x["e"].alias("e"))
+
+    tagged = [F.transform(k, tag(i)) for i, k in enumerate(KINDS) if k in kinds]
+    return F.array_sort(F.concat(*tagged))
+
+
+def _replaced(text: Column, spans: Column, new) -> Column:
+    """The text with new(span, its text) in the place of each span; of spans that overlap the first counts, the others go.
+
+    spans: sorted array of s, k, e.  The text is cut once for each part of
+    some spans and the piece cut again, so long texts with many spans take
+    about linear time.
+    """
+
+    def piece(part, text):
+        start = F.get(part, F.lit(0))["before"]
+        end = F.greatest(F.element_at(part, -1)["before"], F.element_at(part, -1)["x"]["e"])
+
+        def one(cut):
+            sub = lambda a, b: cut.substr(a - start + 1, b - a)
+            return F.transform(part, lambda y: F.when(y["x"]["s"] >= y["before"], F.concat(sub(y["before"], y["x"]["s"]), new(y["x"], sub(y["x"]["s"], y["x"]["e"])))).otherwise(F.lit("")))
+
+        return common.let(text.substr(start + 1, end - start), lambda cut: F.array_join(one(cut), ""))
+
+    end = F.coalesce(F.array_max(F.transform(spans, lambda x: x["e"])), F.lit(0))
+    parts = common.running(spans, lambda x: x["e"], F.greatest, 0)
+    return common.let(text, lambda t: F.concat(F.coalesce(F.array_join(F.transform(parts, lambda p: piece(p, t)), ""), F.lit("")), t.substr(end + 1, F.length(t))))
 
 
 def _key(docs: DataFrame) -> list[Column]:
@@ -83,37 +114,57 @@ def _key(docs: DataFrame) -> list[Column]:
 
 
 def first_pass(docs: DataFrame) -> DataFrame:
-    """One scan of the texts: doc_id, text_hash, an array of base spans for each kind, and identifier-like tokens."""
+    """doc_id, text_hash, arrays of the base spans of each kind, and marked.
+
+    marked is the text, character for character, but that a base span begins
+    with MARK and has GLUE for white space, so it is one word or part of one.
+    """
+    clean = F.translate("text", MARK + GLUE, "\x04\x04")
     src = docs.select(*_key(docs), F.coalesce("text", F.lit("")).alias("t"))
-    spans = {k: F.transform(v, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))) for k, v in base_spans(F.col("t")).items()}
-    tokens = F.transform(
-        _found(F.col("t"), IDENTIFIER, F.lit(True)),
-        lambda x: F.struct(
-            x["s"].alias("s"), x["e"].alias("e"), x["m"].rlike(SEED).alias("seed"),
-            F.lower(x["m"]).alias("instance"),
-            F.lower(F.regexp_extract(x["before"], r"(\S{1,30}\s{1,3}\S{1,30})\s{0,3}$", 1)).alias("pattern"),
-        ),
-    )
-    return src.select("doc_id", "text_hash", *(v.alias(k) for k, v in spans.items()), F.filter(tokens, lambda x: x["pattern"] != "").alias("tokens"))
-
-
-def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Scores of lexical patterns by mutual reinforcement.
-
-    edges: pattern, instance, seed, n.  A seed instance scores 1; a pattern
-    scores the mean of its instances, weighted by their counts and shrunk by
-    one unseen instance; another instance scores the mean of its patterns.
-    Returns pattern, score, support (instances with a score over 1/2).
+    src = src.select("*", *(v.alias(k) for k, v in base_spans(F.col("t")).items()))
+    src = src.select("*", _sorted(KINDS[:4]).alias("spans")).withColumn("text", F.col("t"))
+    glued = lambda x, m: F.concat(F.lit(MARK), F.regexp_replace(m.substr(F.lit(2), F.length(m)), r"\s", GLUE))
+    marked = F.when(F.size("spans") > 0, _replaced(clean, F.col("spans"), glued)).otherwise(clean)
+    return src.select("doc_id", "text_hash", *KINDS[:4], marked.alias("marked"))
+
+
+def follows(marked: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """pattern, word, i and the other columns of marked: every word, the hash of the two before it, and its place.
+
+    only: hashes; rows of other patterns go, all but a few, before anything is shuffled.
+    """
+    low = F.lower
+    words = F.regexp_extract_all("marked", F.lit(r"\S+"), F.lit(0))
+    one = lambda w: F.filter(F.transform(w, lambda x, i: F.when(i >= 2, F.struct(F.xxhash64(low(F.get(w, i - 2)), low(F.get(w, i - 1))).alias("pattern"), x.alias("word"), i.alias("i")))), lambda x: x.isNotNull())
+    rest = [c for c in marked.columns if c != "marked"]
+    rows = marked.select(*rest, F.explode(common.let(words, one)).alias("x")).select(*rest, "x.pattern", "x.word", "x.i")
+    return rows if only is None else common.might_match(rows, "pattern", only)
+
+
+def _core(word: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(word, BEHIND, ""), BEFORE, "")
+
+
+def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """Scores of lexical patterns and of instances by mutual reinforcement.
+
+    edges: pattern, instance, seed, n.  A seed scores 1; a pattern scores the
+    mean of its instances, weighted by their counts and shrunk by one unseen
+    instance; another instance passes on the mean of its patterns, shrunk by
+    one unseen pattern, so that a pattern can't raise itself by instances of
+    its own.  Returns pattern, score, support (instances with a score over
+    1/2); and instance, seed, score (the mean of its patterns, 1 for seeds).
     """
     inst = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("fixed"))
     e = edges.groupBy("pattern", "instance").agg(F.sum("n").alias("n")).join(inst, "instance")
     e = e.withColumn("score", F.col("fixed"))
     for k in range(rounds):
         pat = e.groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / (F.sum("n") + 1)).alias("p"), F.sum((F.col("score") > 0.5).cast("int")).alias("support"))
+        met = e.join(pat, "pattern").groupBy("instance").agg((F.sum(F.col("n") * F.col("p")) / F.sum("n")).alias("q"), F.max("fixed").alias("own"), F.count("*").alias("patterns"))
         if k == rounds - 1:
-            return pat.select("pattern", F.col("p").alias("score"), "support")
-        up = e.join(pat, "pattern").groupBy("instance").agg((F.sum(F.col("n") * F.col("p")) / F.sum("n")).alias("q"))
-        e = e.drop("score").join(up, "instance").withColumn("score", F.greatest("fixed", "q")).drop("q")
+            return pat.select("pattern", F.col("p").alias("score"), "support"), met.select("instance", (F.col("own") == 1).alias("seed"), F.greatest("own", "q").alias("score"))
+        up = met.select("instance", F.greatest("own", F.col("q") * F.col("patterns") / (F.col("patterns") + 1)).alias("score"))
+        e = common.materialize(e.drop("score").join(up, "instance"), "pii-scores")
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -121,30 +172,36 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
     Returns one row an input row: doc_id, text_hash (xxhash64 of the text), and
     email, ip, card, phone, ident: arrays of (s, e), code points, end
-    exclusive, each in order.  ident are tokens that follow a pattern of high
-    confidence and overlap none of the others.  A null text counts as empty
-    and has no spans.  Equal texts get equal spans; repeated rows stay; other
-    columns are ignored; an empty table gives no rows.
+    exclusive, each in order.  ident are words, without the punctuation around
+    them, that follow a pattern of high confidence, are plausible by all
+    patterns they follow, and overlap none of the others.  A null text counts
+    as empty and has no spans.  Equal texts get equal spans; repeated rows
+    stay; other columns are ignored; an empty table gives no rows.
     """
     one = common.materialize(first_pass(docs), "pii-spans")
-    tok = one.select("doc_id", "text_hash", F.explode("tokens").alias("t")).select("doc_id", "text_hash", "t.*")
-    edges = tok.groupBy("pattern", "instance", "seed").agg(F.count("*").alias("n"))
-    edges = common.materialize(edges, "pii-edges")
-    good = score_patterns(edges).where((F.col("score") >= CONFIDENCE) & (F.col("support") >= SUPPORT)).select("pattern")
-    new = tok.where("not seed").join(good, "pattern").groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("more"))
-    o, m = one.drop("tokens").alias("o"), new.alias("m")
-    both = o.join(m, F.col("o.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("o.text_hash") == F.col("m.text_hash")), "left").select("o.*", "more")
-    base = F.concat("email", "ip", "card", "phone")
-    ident = F.filter(F.coalesce("more", F.array().cast("array<struct<s:int,e:int>>")), lambda x: ~F.exists(base, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])))
-    return both.select("doc_id", "text_hash", "email", "ip", "card", "phone", ident.alias("ident"))
-
-
-def _sorted(kinds: list[str]) -> Column:
-    def tag(i: int):
-        return lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("k"), x["e"].alias("e"))
-
-    tagged = [F.transform(k, tag(i)) for i, k in enumerate(KINDS) if k in kinds]
-    return F.array_sort(F.concat(*tagged))
+    seeds = follows(one.select("marked").where(F.contains("marked", F.lit(MARK)))).where(F.contains("word", F.lit(MARK)))
+    known = seeds.groupBy("pattern").agg(F.countDistinct("word").alias("n")).where(F.col("n") >= SUPPORT).select("pattern")
+    known = common.materialize(known, "pii-known")
+    seen = follows(one.select("marked"), known.select("pattern")).groupBy("pattern", "word").agg(F.count("*").alias("n")).join(known, "pattern")
+    edges = seen.select("pattern", F.lower(_core(F.col("word"))).alias("instance"), F.contains("word", F.lit(MARK)).alias("seed"), "n").where("instance <> ''")
+    edges = common.materialize(edges.groupBy("pattern", "instance", "seed").agg(F.sum("n").alias("n")), "pii-edges")
+    patterns, instances = score_patterns(edges)
+    good = common.materialize(patterns.where((F.col("score") >= CONFIDENCE) & (F.col("support") >= SUPPORT)).select("pattern"), "pii-good")
+    fit = edges.join(good, "pattern", "left_semi").select("instance").distinct().join(instances.where(~F.col("seed") & (F.col("score") >= PLAUSIBLE)).select("instance"), "instance", "left_semi")
+    fit = common.materialize(fit, "pii-fit")
+    hit = follows(one.select("doc_id", "text_hash", "marked"), good.select("pattern")).where(~F.contains("word", F.lit(MARK)))
+    hit = hit.join(good, "pattern", "left_semi").withColumn("instance", F.lower(_core(F.col("word")))).join(fit, "instance", "left_semi")
+    places = hit.groupBy("doc_id", "text_hash").agg(F.collect_set("i").alias("places"))
+    o, m = one.alias("o"), places.alias("m")
+    both = o.join(m, F.col("o.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("o.text_hash") == F.col("m.text_hash")), "left").select("o.*", "places")
+
+    def pick(words):
+        cut = F.transform(F.array_sort("places"), lambda i: F.get(words, i))
+        cut = F.transform(cut, lambda x: F.struct((x["s"] + F.length(F.regexp_extract(x["m"], BEFORE, 0))).alias("s"), (x["e"] - F.length(F.regexp_extract(x["m"], BEHIND, 0))).alias("e")))
+        return common.let(F.concat(*KINDS[:4]), lambda base: F.filter(cut, lambda x: ~F.exists(base, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))))
+
+    ident = F.when(F.col("places").isNotNull(), common.let(_found(F.col("marked"), r"\S++", F.lit(True)), pick)).otherwise(F.array().cast(SPANS))
+    return both.select("doc_id", "text_hash", *KINDS[:4], ident.cast(SPANS).alias("ident"))
 
 
 def _spelled(spans: Column) -> Column:
@@ -153,7 +210,12 @@ def _spelled(spans: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of each base kind, a digest of the base spans, and all spans spelled out."""
+    """doc_id, counts of each base kind, a digest of the base spans, all spans spelled out, n_ident.
+
+    One row an input row, also for repeated ones, which get equal results; a
+    null text counts as empty; other columns, whatever their names, are
+    ignored; an empty table gives no rows.
+    """
     found = find_pii(docs)
     counts = [F.size(k).cast("bigint").alias(f"n_{k}") for k in KINDS[:4]]
     return found.select("doc_id", *counts, F.sha2(_spelled(_sorted(KINDS[:4])), 256).alias("base_sha256"), _spelled(_sorted(KINDS)).alias("spans"), F.size("ident").cast("bigint").alias("n_ident"))
@@ -162,21 +224,15 @@ def report(docs: DataFrame) -> DataFrame:
 def mask(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets; overlapping spans become one.
 
-    All rows and columns stay; null texts stay null.
+    All rows and columns stay, repeated rows too; null texts stay null; an
+    empty table gives no rows.  Columns named like the kinds or beginning with
+    two underscores don't clash but for __th, __id, __hash and __spans.
     """
     found = find_pii(docs)
-    per = found.where(F.size(F.concat("email", "ip", "card", "phone", "ident")) > 0).groupBy("doc_id", "text_hash").agg(*(F.first(k).alias(k) for k in KINDS))
+    per = found.where(F.size(F.concat(*KINDS)) > 0).groupBy("doc_id", "text_hash").agg(*(F.first(k).alias(k) for k in KINDS))
     spans = per.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), _sorted(KINDS).alias("__spans"))
     src = docs.withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
     both = src.join(spans, src["doc_id"].cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__hash")), "left")
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
-    text = F.col("text")
-
-    def step(acc, x):
-        gap = F.when(x["s"] > acc["pos"], text.substr(acc["pos"] + 1, x["s"] - acc["pos"])).otherwise("")
-        tag = F.when(x["s"] >= acc["pos"], F.element_at(names, x["k"] + 1)).otherwise("")
-        return F.struct(F.greatest(acc["pos"], x["e"]).alias("pos"), F.concat(acc["out"], gap, tag).alias("out"))
-
-    rest = lambda acc: F.concat(acc["out"], text.substr(acc["pos"] + 1, F.greatest(F.length(text) - acc["pos"], F.lit(0))))
-    masked = F.aggregate("__spans", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, rest)
-    return both.select(*(F.when(F.col("__spans").isNull(), text).otherwise(masked).alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    masked = _replaced(F.col("text"), F.col("__spans"), lambda x, m: F.element_at(names, x["k"] + 1))
+    return both.select(*(F.when(F.col("__spans").isNull(), F.col("text")).otherwise(masked).alias("text") if c == "text" else F.col(c) for c in docs.columns))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -63,18 +64,43 @@ def test_pii_base(spark):
     assert masked == {(6, "\x01<CARD> é中😀<EMAIL> 😀<IP>")}
 
 
+def test_pii_long_labels_and_many_matches(spark):
+    """Neither deep recursion in a long address nor time that grows with the square of the matches."""
+    label = "a@b" + ".c" * 50_000
+    many = "u1@x.org 10.0.0.1 " * 16_000
+    df = spark.createDataFrame([(1, label + " end"), (2, many), (3, "no data " * 100_000)], "doc_id bigint, text string")
+    start = time.time()
+    got = {r.doc_id: r for r in pii.report(df).collect()}
+    assert (got[1].n_email, got[1].spans) == (1, f"email:0:{len(label)}")
+    assert (got[2].n_email, got[2].n_ip, got[3].n_email) == (16_000, 16_000, 0)
+    assert got[2].base_sha256 == hashlib.sha256(",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in base(many)).encode()).hexdigest()
+    assert {r.doc_id: r.text for r in pii.mask(df).collect()} == {1: "<EMAIL> end", 2: "<EMAIL> <IP> " * 16_000, 3: "no data " * 100_000}
+    assert time.time() - start < 90
+
+
 def test_pii_bootstrap(spark):
+    """E-mail addresses without digits and phone numbers with spaces seed patterns; names without digits are found."""
     r = random.Random(2)
+    name = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
     rows = []
     for i in range(60):
-        rows.append((i, f"hello please write to member account u{i}x{r.randint(1000, 9999)}@mail.example.com soon"))
+        rows.append((i, f"hello please write to member account <{name(6)}@mail.example.com> soon"))
+        rows.append((100 + i, f"you can call the number\n+49 (30) 12{i:02d} {r.randint(100, 999)} at noon"))
     for i in range(60, 70):
-        rows.append((i, f"hello we saw member account ZX{r.randint(10000, 99999)}Q in the list, and lot {r.randint(10000, 99999)} of rice"))
-    df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {x.doc_id: x for x in pii.find_pii(df).collect()}
-    for i, t in rows[60:]:
-        assert [t[s.s : s.e] for s in got[i].ident] == [re.search(r"ZX\w+", t)[0]]
-    assert all(not got[i].ident for i in range(60))
+        rows.append((i, f"\U0001f600 hello we saw member account (j.{name(5)}), in the list, and lot {r.randint(10000, 99999)} of rice"))
+    rows += [(200 + i, f"the number of lot {r.randint(10000, 99999)} is the number " + r.choice(["one", "two"])) for i in range(40)]
+    rows += [(90, None), (None, ""), (60, rows[120][1])]
+    df = spark.createDataFrame([(*x, "clash") for x in rows], "doc_id bigint, text string, ident string").repartition(3)
+    assert dict(rows)[60] == rows[120][1]
+    out = pii.find_pii(df).collect()
+    got = {x.doc_id: x for x in out}
+    assert len(out) == len(rows)
+    for i, t in rows[120:130]:
+        assert [t[s.s : s.e] for s in got[i].ident] == [re.search(r"j\.\w+", t)[0]]
+    assert all(not x.ident for x in out if x.doc_id is None or x.doc_id not in range(60, 70))
+    masked = {x.doc_id: x.text for x in pii.mask(df).collect()}
+    assert re.sub(r"\d+", "", masked[61]) == "\U0001f600 hello we saw member account (<IDENT>), in the list, and lot  of rice"
+    assert masked[100] == "you can call the number\n<PHONE> at noon" and masked[90] is None
 
 
 def test_pii_scores_by_hand(spark):
@@ -82,12 +108,13 @@ def test_pii_scores_by_hand(spark):
     fixed = {"s1": 1.0, "x": 0.0, "y": 0.0}
     edges = [("p", "s1", 3), ("p", "x", 1), ("q", "x", 1), ("q", "y", 4)]
     score = dict(fixed)
-    for k in range(3):
+    for _ in range(3):
         pat = {p: sum(n * score[i] for a, i, n in edges if a == p) / (sum(n for a, _, n in edges if a == p) + 1) for p in "pq"}
-        if k < 2:
-            score = {i: max(fixed[i], sum(n * pat[a] for a, j, n in edges if j == i) / sum(n for _, j, n in edges if j == i)) for i in fixed}
-    got = {r.pattern: r.score for r in pii.score_patterns(e, 3).collect()}
-    assert got == pytest.approx(pat)
+        mean = {i: sum(n * pat[a] for a, j, n in edges if j == i) / sum(n for _, j, n in edges if j == i) for i in fixed}
+        score = {i: max(fixed[i], mean[i] * (m := sum(j == i for _, j, _ in edges)) / (m + 1)) for i in fixed}
+    patterns, instances = pii.score_patterns(e, 3)
+    assert {r.pattern: r.score for r in patterns.collect()} == pytest.approx(pat)
+    assert {r.instance: r.score for r in instances.collect()} == pytest.approx({i: max(fixed[i], mean[i]) for i in fixed})
 
 
 def test_passages(spark):
