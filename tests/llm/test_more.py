@@ -168,6 +168,63 @@ def test_passages_with_other_text_between(spark):
     assert (s.start, s.end) == (30, 90) and got[11].sources == [10] and got[10].n_copies == 1
 
 
+def shared_words(rows, size):
+    """Places of each text in a stretch of size words that a text of a smaller id holds exactly."""
+    out, seen = {}, {}
+    for d, t in sorted(rows):
+        w = t.split()
+        hit = set()
+        for i in range(len(w) - size + 1):
+            k = tuple(w[i : i + size])
+            if seen.setdefault(k, d) != d:
+                hit.update(range(i, i + size))
+        out[d] = hit
+    return out
+
+
+def test_passages_behind_earlier_pieces(spark):
+    """Against brute force over all pairs: short pieces of a passage that come first don't hide the documents that hold it whole."""
+    r = random.Random(12)
+    words = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    rows, whole = [], []
+    for k in range(30):
+        p = words(r.choice((80, 100, 140)))
+        for at in range(0, len(p) - 44, 15):
+            rows.append((len(rows), " ".join(words(30) + p[at : at + 45] + words(25))))
+        for _ in range(3):
+            whole.append((len(rows), len(p)))
+            rows.append((len(rows), " ".join(words(r.randrange(5, 60)) + p + words(20))))
+    rows.append((len(rows), "again " * 3000))
+    rows.append((len(rows), "again " * 3000))
+    df = spark.createDataFrame([(i, t) for i, t in rows], "doc_id bigint, text string").repartition(5)
+    got = {x.doc_id: x for x in substring.repeated_passages(df).collect()}
+    want = shared_words(rows, substring.MIN_WORDS)
+    found = total = extra = 0
+    for d, hit in want.items():
+        mine = {i for s in got[d].spans for i in range(s.start, s.end)}
+        total += len(hit)
+        found += len(hit & mine)
+        extra += len(mine - hit) if len(mine) < 3000 else 0
+    assert total > 5000 and found >= 0.99 * total and extra <= 0.02 * total
+    assert got[len(rows) - 1].n_dup_words >= 2900 and got[len(rows) - 1].sources == [len(rows) - 2]
+
+
+@pytest.mark.parametrize(("every", "least"), [(40, 0.99), (20, 0.95), (12, 0.8)])
+def test_passages_with_changed_words(spark, every, least):
+    """Recall of passages of 60 to 150 words in which one word in some is another."""
+    r = random.Random(every)
+    words = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    rows = []
+    for k in range(100):
+        p = words(r.randrange(60, 150))
+        v = [f"z{r.randrange(10**6)}" if r.randrange(every) == 0 else x for x in p]
+        rows += [(2 * k, " ".join(words(40) + p + words(30))), (2 * k + 1, " ".join(words(25) + v + words(50)))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {x.doc_id: x for x in substring.repeated_passages(df).collect()}
+    assert sum(got[2 * k + 1].sources == [2 * k] for k in range(100)) >= 100 * least
+    assert all(got[2 * k].n_dup_words == 0 for k in range(100))
+
+
 def test_chain_equals_quadratic_search():
     r = np.random.default_rng(0)
     for _ in range(40):
