@@ -208,10 +208,46 @@ def test_decontamination(spark, docs, rows):
 
 
 def test_decontamination_in_blocks(spark, docs, monkeypatch):
-    df = spark.read.parquet(f"{SF}/benchmark.parquet")
+    """Several automata in a worker, long items cut in two, and several portions of items."""
+    df = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").union(docs.where("doc_id = 9008").select(F.lit(77), "text"))
     want = Counter(tuple(r) for r in decontam.report(docs, df, 10).collect())
-    monkeypatch.setattr(decontam, "AUTOMATON_BYTES", 500)
-    assert Counter(tuple(r) for r in decontam.report(docs, df, 10).collect()) == want
+    spans = Counter((r.doc_id, r.text, str(r.hits)) for r in decontam.find_hits(docs, df, 10).collect())
+    for words, portion in ((60, 10**9), (10**6, 900), (60, 900)):
+        monkeypatch.setattr(decontam, "AUTOMATON_WORDS", words)
+        monkeypatch.setattr(decontam, "PORTION_BYTES", portion)
+        monkeypatch.setattr(decontam, "GROUP_BYTES", 20_000)
+        assert Counter(tuple(r) for r in decontam.report(docs, df, 10).collect()) == want
+        assert Counter((r.doc_id, r.text, str(r.hits)) for r in decontam.find_hits(docs, df, 10).collect()) == spans
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 10])
+def test_scanner_equals_brute_force(size):
+    rng = np.random.default_rng(size)
+    for _ in range(60):
+        items = [(int(rng.integers(0, 6)), [b"w%d" % x for x in rng.integers(0, 3, rng.integers(0, 2 * size + 4))]) for _ in range(5)]
+        scan = decontam.Scanner(items, size)
+        w = [b"w%d" % x for x in rng.integers(0, 4, 60)]
+        got, who = scan.scan(w)
+        _, flags, found = hits(b" ".join(w).decode(), [(i, b" ".join(v).decode()) for i, v in items], size)
+        assert got.tolist() == flags and who == found
+
+
+def test_automaton_memory():
+    """A worker holds AUTOMATON_WORDS at a time: some 300 bytes for each word of the items."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np
+from tessella.llm import decontam
+r = np.random.default_rng(1)
+items = [(i, [b"w%d" % x for x in r.integers(0, 50000, 200)]) for i in range(2000)]
+start = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+s = decontam.Scanner(items, 10)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - start)
+"""
+    kb = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
+    assert kb * 1024 < 500 * 400_000
 
 
 def test_quality(docs, rows):
