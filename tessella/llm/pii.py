@@ -2,8 +2,8 @@
 
 Fixed patterns find e-mail addresses, IP addresses, card and phone numbers.
 These entities are the seeds of the bootstrap: the two words before a seed are
-a lexical pattern, and every word that follows such a pattern anywhere is an
-instance of it.  Scores flow from seeds to patterns and back over the graph of
+a lexical pattern if seeds are a fair share of what follows it, and every word
+that follows such a pattern anywhere is an instance of it.  Scores flow from seeds to patterns and back over the graph of
 patterns and instances for a few rounds, as joins and grouped sums; patterns
 of high confidence mark the unseen identifiers that follow them.
 
@@ -35,8 +35,8 @@ MARK, GLUE = "\x02", "\x03"
 
 KINDS = ["email", "ip", "card", "phone", "ident"]
 SPANS = "array<struct<s:int,e:int>>"
-#: Rounds of scoring; a pattern counts if so many different seeds follow it, and is used if this share of its weight speaks for it.
-ROUNDS, SUPPORT, CONFIDENCE = 3, 5, 0.8
+#: Rounds of scoring; a pattern counts if so many different seeds follow it and seeds are this share of what follows it, and is used if this share of its weight speaks for it.
+ROUNDS, SUPPORT, SHARE, CONFIDENCE = 3, 5, 0.2, 0.8
 #: Score of an instance over all patterns it follows, from which a good pattern marks it.
 PLAUSIBLE = 0.5
 
@@ -182,8 +182,11 @@ def find_pii(docs: DataFrame) -> DataFrame:
     seeds = follows(one.select("marked").where(F.contains("marked", F.lit(MARK)))).where(F.contains("word", F.lit(MARK)))
     known = seeds.groupBy("pattern").agg(F.countDistinct("word").alias("n")).where(F.col("n") >= SUPPORT).select("pattern")
     known = common.materialize(known, "pii-known")
-    seen = follows(one.select("marked"), known.select("pattern")).groupBy("pattern", "word").agg(F.count("*").alias("n")).join(known, "pattern")
-    edges = seen.select("pattern", F.lower(_core(F.col("word"))).alias("instance"), F.contains("word", F.lit(MARK)).alias("seed"), "n").where("instance <> ''")
+    seen = follows(one.select("marked"), known.select("pattern")).groupBy("pattern", "word").agg(F.count("*").alias("n"))
+    seen = common.materialize(seen.withColumn("seed", F.contains("word", F.lit(MARK))), "pii-seen")
+    shares = seen.groupBy("pattern").agg((F.sum(F.when(F.col("seed"), F.col("n")).otherwise(0)) / F.sum("n")).alias("share"))
+    induced = common.materialize(shares.where(F.col("share") >= SHARE).select("pattern").join(known, "pattern"), "pii-induced")
+    edges = seen.join(induced, "pattern").select("pattern", F.lower(_core(F.col("word"))).alias("instance"), "seed", "n").where("instance <> ''")
     edges = common.materialize(edges.groupBy("pattern", "instance", "seed").agg(F.sum("n").alias("n")), "pii-edges")
     patterns, instances = score_patterns(edges)
     good = common.materialize(patterns.where((F.col("score") >= CONFIDENCE) & (F.col("support") >= SUPPORT)).select("pattern"), "pii-good")

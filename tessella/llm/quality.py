@@ -1,10 +1,13 @@
 """Quality rules: hashed n-gram log-likelihood ratio of a trusted target against the raw corpus.
 
-Words and word pairs are hashed into BUCKETS; two multinomials, one of the
-trusted documents and one of all documents, are counted over every text.  A
-document's score is the mean log ratio of its n-grams, with the document's own
-n-grams left out of both counts, so that documents inside and outside the
-trusted set are measured alike; a fixed threshold decides.  Simple counts of words, symbols, lines and repeats stand beside it.
+Words and word pairs are hashed into buckets; two multinomials, one of the
+trusted documents and one of all documents, are counted over every text, equal
+texts once.  The target is shrunk towards the raw corpus, so the ratio of a
+bucket is as far from 1 as the target has evidence for, and one fixed
+threshold serves targets of any size.  A document's score is the mean log
+ratio of its n-grams, with its own text left out of both counts, so that
+documents inside and outside the trusted set are measured alike.  Simple
+counts of words, symbols, lines and repeats stand beside it.
 """
 
 from __future__ import annotations
@@ -16,14 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import U, Words, chunks, ngrams, space_lut_cased
 
-#: Buckets that n-grams are hashed into; the model is one number for each, whatever the corpus.
+#: Buckets that n-grams are hashed into; the model is two counts for each, whatever the corpus.
 BUCKET_BITS = 16
-#: Added to each bucket's count in both multinomials.
-PRIOR = 5.0
-#: A document whose mean log ratio is lower is rejected.  While the target has few n-grams beside the prior's, ratios are noisy and the threshold is lower by up to SLACK.
-THRESHOLD, SLACK = -0.08, 0.2
+#: Added to each bucket's count in the raw corpus; n-grams of the raw corpus that the target is taken to hold besides its own.
+PRIOR, STRENGTH = 5.0, 327_680.0
+#: A document whose mean log ratio is lower is rejected.
+THRESHOLD = -0.08
 
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -56,22 +60,39 @@ def _counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "bucket bigint, target int, n bigint").groupBy("bucket", "target").agg(F.sum("n").alias("n"))
 
 
-def _flagged(docs: DataFrame, trusted: DataFrame, flag: str) -> DataFrame:
-    """docs with a boolean column flag: whether the doc_id is trusted."""
-    known = trusted.select(F.col("doc_id").alias("__id")).where("__id is not null").distinct().withColumn(flag, F.lit(True))
+def _marked(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """docs with booleans __trusted (whether a row of the same text is trusted) and __once (whether its text is counted by this row).
+
+    Only rows whose text may occur again are shuffled.  Null texts are as
+    empty ones; of equal texts the one of the smallest doc_id counts.
+    """
+    known = trusted.select(F.col("doc_id").alias("__id")).where("__id is not null").distinct().withColumn("__known", F.lit(True))
     if _small(known):
         known = F.broadcast(known)
-    return docs.join(known, docs["doc_id"] == F.col("__id"), "left").drop("__id").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+    src = docs.withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    src = src.join(known, docs["doc_id"] == F.col("__id"), "left").drop("__id").withColumn("__known", F.coalesce("__known", F.lit(False)))
+    order = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"))
+    again = src.groupBy(F.col("__th").alias("__t")).agg(F.count("*").alias("__n"), F.min(order).alias("__first"), F.max("__known").alias("__any")).where("__n > 1").drop("__n")
+    again = common.materialize(again, "quality-again")
+    src = common.flag_match(src, "__th", again.select("__t"), "__may")
+    alone = src.where("not __may").select(*docs.columns, F.col("__known").alias("__trusted"), F.lit(True).alias("__once"))
+    both = src.where("__may").join(again, F.col("__th") == F.col("__t"), "left")
+    twice = both.select(*docs.columns, F.coalesce("__any", "__known").alias("__trusted"), F.coalesce(F.col("doc_id").eqNullSafe(F.col("__first.id")), F.lit(True)).alias("__once"))
+    return alone.union(twice)
 
 
 def fit(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     """Counts of each bucket: row 0 in all documents, row 1 in trusted ones.
 
-    trusted: doc_id of the target documents.  Counts cover every whole text.
+    trusted: doc_id of the target documents.  Counts cover every whole text,
+    equal texts once (repeated rows as often as they occur).
     """
-    src = _flagged(docs.select("doc_id", "text").where("text is not null"), trusted, "__trusted").select("text", "__trusted")
+    return _fit(_marked(docs.select("doc_id", "text").where("text is not null"), trusted))
+
+
+def _fit(marked: DataFrame) -> np.ndarray:
     model = np.zeros((2, 1 << BUCKET_BITS))
-    for r in _counts(src).collect():  # 2 x 2^BUCKET_BITS rows at most
+    for r in _counts(marked.where("__once and text is not null").select("text", "__trusted")).collect():  # 2 x 2^BUCKET_BITS rows at most
         model[r.target, r.bucket] = r.n
     model[0] += model[1]
     return model
@@ -82,15 +103,9 @@ def log_ratio(model: np.ndarray, buckets: np.ndarray, trusted: bool) -> float:
     if not len(buckets) or not model[1].any():
         return 0.0
     u, own = np.unique(buckets, return_counts=True)
-    prior = PRIOR * model.shape[1]
-    target = np.log((model[1, u] - own * trusted + PRIOR) / (model[1].sum() - len(buckets) * trusted + prior))
-    raw = np.log((model[0, u] - own + PRIOR) / (model[0].sum() - len(buckets) + prior))
-    return round(float(((target - raw) * own).sum() / len(buckets)), 9)
-
-
-def cut(model: np.ndarray, threshold: float = THRESHOLD) -> float:
-    prior = PRIOR * model.shape[1]
-    return threshold - SLACK * prior / (prior + model[1].sum())
+    raw = (model[0, u] - own + PRIOR) / (model[0].sum() - len(buckets) + PRIOR * model.shape[1])
+    target = (model[1, u] - own * trusted + STRENGTH * raw) / (model[1].sum() - len(buckets) * trusted + STRENGTH)
+    return round(float((np.log(target / raw) * own).sum() / len(buckets)), 9)
 
 
 def _small(ids: DataFrame, limit: int = 1_000_000) -> bool:
@@ -134,17 +149,16 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
     n_repeat_words, llr (mean log ratio of words and word pairs, 0 without
     words), base_failed (under 50 words, or over half of the words in 3-word
     windows that repeat) and kept (not base_failed, and llr at least the
-    threshold, see cut()).  A null text has no words and is not kept.  Columns of these
+    threshold).  A null text has no words and is not kept.  Columns of these
     names are replaced.  Repeated rows get equal results; an empty table
     gives no rows; with no trusted documents the base rules alone decide.
     """
-    model = fit(docs, trusted)
-    limit = cut(model, threshold)
-    load = docs.sparkSession.sparkContext.broadcast(model)
     new = {"n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "llr": "double", "base_failed": "boolean", "kept": "boolean"}
     kept = [c for c in docs.columns if c not in new]
-    src = docs.select(*kept)
-    schema = src.withColumns({c: F.lit(None).cast(t) for c, t in new.items()}).schema
+    marked = _marked(docs.select(*kept), trusted)
+    model = _fit(marked)
+    load = docs.sparkSession.sparkContext.broadcast(model)
+    schema = docs.select(*kept).withColumns({c: F.lit(None).cast(t) for c, t in new.items()}).schema
     at = kept.index("text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,8 +173,8 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
                     b = _buckets(w.hash[w.first[i] : w.first[i + 1]])
                     llr = log_ratio(table, b, flags[first + i])
                     failed = f[0] < 50 or 100 * f[4] > 50 * f[0]
-                    rows.append((*f, llr, failed, not failed and llr >= limit))
+                    rows.append((*f, llr, failed, not failed and llr >= threshold))
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([*batch.slice(first, len(part)).columns[: len(kept)], *(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.float64()), *(pa.array(c, pa.bool_()) for c in cols[6:])], [*kept, *new])
 
-    return _flagged(src, trusted, "__trusted").mapInArrow(run, schema)
+    return marked.select(*kept, "__trusted").mapInArrow(run, schema)

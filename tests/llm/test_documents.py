@@ -261,15 +261,28 @@ def test_quality(docs, rows):
         lines = [x for x in (t or "").split("\n") if words(x)]
         want[d, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(rep), len(w) < 50 or 100 * len(rep) > 50 * len(w)] += 1
     assert Counter((r.doc_id, int(r.n_words), r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got) == want
-    # the model against a direct count
+    # the model against a direct count, equal texts once
     w = [quality._buckets(quality.Words([(t or "").encode()], quality.space_lut_cased()).hash) for _, t in rows]
-    known = [d is not None and d % 3 == 0 for d, _ in rows]
-    model = np.array([sum(np.bincount(h, minlength=1 << 16) for h in w), sum(np.bincount(h, minlength=1 << 16) * k for h, k in zip(w, known, strict=True))])
+    ids = {t or "": {d for d, x in rows if (x or "") == (t or "")} for _, t in rows}
+    known = [any(d is not None and d % 3 == 0 for d in ids[t or ""]) for _, t in rows]
+    first = [d == min(ids[t or ""], key=lambda x: (x is None, x or 0)) for d, t in rows]
+    model = np.array([sum(np.bincount(h, minlength=1 << 16) * one for h, one in zip(w, first, strict=True)), sum(np.bincount(h, minlength=1 << 16) * k * one for h, k, one in zip(w, known, first, strict=True))])
     want_llr = Counter()
     for (d, _), h, k in zip(rows, w, known, strict=True):
         own = np.bincount(h, minlength=1 << 16)
-        t, r = model[1] - own * k + 5, model[0] - own + 5
-        want_llr[d, round(float((np.log(t / t.sum()) - np.log(r / r.sum()))[h].mean()), 6) + 0.0 if len(h) else 0.0] += 1
+        raw = (model[0] - own + 5) / (model[0].sum() - own.sum() + 5 * 65536)
+        t = (model[1] - own * k + 327680 * raw) / (model[1].sum() - own.sum() * k + 327680)
+        want_llr[d, round(float((np.log(t) - np.log(raw))[h].mean()), 6) + 0.0 if len(h) else 0.0] += 1
     assert Counter((r.doc_id, round(r.llr, 6) + 0.0) for r in got) == want_llr
-    limit = -0.08 - 0.2 * 5 * 65536 / (5 * 65536 + model[1].sum())
-    assert all(r.kept == (not r.base_failed and r.llr >= limit) for r in got)
+    assert all(r.kept == (not r.base_failed and r.llr >= -0.08) for r in got)
+
+
+def test_quality_of_a_document_does_not_hang_on_the_size_of_the_target(spark):
+    """Few labels or many: clean documents stay, those with none of the target's words go."""
+    rng = np.random.default_rng(3)
+    text = lambda a, b: " ".join(f"w{x}" for x in rng.integers(a, b, 300))
+    rows = [(i, text(0, 400)) for i in range(3000)] + [(i, text(5000, 5400)) for i in range(3000, 3200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    for labels in (500, 2500):
+        got = quality.quality_rules(df, df.select("doc_id").where(f"doc_id < {labels}")).collect()
+        assert all(r.kept for r in got if r.doc_id < 3000) and not any(r.kept for r in got if r.doc_id >= 3000)
