@@ -29,6 +29,7 @@ PRIOR, STRENGTH = 5.0, 327_680.0
 #: A document whose mean log ratio is lower is rejected.
 THRESHOLD = -0.08
 
+NEW = {"n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "llr": "double", "base_failed": "boolean", "kept": "boolean"}
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -153,12 +154,11 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
     names are replaced.  Repeated rows get equal results; an empty table
     gives no rows; with no trusted documents the base rules alone decide.
     """
-    new = {"n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "llr": "double", "base_failed": "boolean", "kept": "boolean"}
-    kept = [c for c in docs.columns if c not in new]
+    kept = [c for c in docs.columns if c not in NEW]
     marked = _marked(docs.select(*kept), trusted)
     model = _fit(marked)
     load = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*kept).withColumns({c: F.lit(None).cast(t) for c, t in new.items()}).schema
+    schema = docs.select(*kept).withColumns({c: F.lit(None).cast(t) for c, t in NEW.items()}).schema
     at = kept.index("text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,6 +175,6 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
                     failed = f[0] < 50 or 100 * f[4] > 50 * f[0]
                     rows.append((*f, llr, failed, not failed and llr >= threshold))
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([*batch.slice(first, len(part)).columns[: len(kept)], *(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.float64()), *(pa.array(c, pa.bool_()) for c in cols[6:])], [*kept, *new])
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, len(part)).columns[: len(kept)], *(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.float64()), *(pa.array(c, pa.bool_()) for c in cols[6:])], [*kept, *NEW])
 
     return marked.select(*kept, "__trusted").mapInArrow(run, schema)

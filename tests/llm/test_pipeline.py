@@ -68,3 +68,29 @@ def test_drop_near_copies_edges(spark):
     got = sorted((tuple(r) for r in jaccard.drop_near_copies(df).collect()), key=str)
     assert got == sorted([(2, t + " q", "y"), (7, None, "e"), (7, None, "e"), (None, "", "e"), (9, "solo words in here", "k"), (None, "only a null id", "k")], key=str)
     assert np.array([len(r) == 3 for r in got]).all()
+
+
+def test_stages_with_nulls_repeats_and_clashing_columns(spark):
+    words = lambda k: " ".join(f"w{(k * 37 + i * 11) % 400}x{k}" if i % 2 else f"a{i}" for i in range(80))
+    rows = [(i, words(i), f"own {i}", 7.5, i) for i in range(20)]
+    rows += [(3, words(3), "own 3", 7.5, 3), (None, words(90) + " +49 30 1234567", "null id", None, None), (91, None, "null text", 1.0, 1), (92, "", "empty", 1.0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, kept string, llr double, n_hit bigint").repartition(3)
+    trusted = docs.where("doc_id < 10").select("doc_id")
+    for df in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, df, SF)
+            assert got.schema.simpleString() == docs.schema.simpleString(), name
+            out = [tuple(r) for r in got.collect()]
+            if df is not docs:
+                assert not out
+            elif name == "pii":
+                assert len(out) == len(rows) and {r[1].split()[-1] for r in out if r[2] == "null id"} == {"<PHONE>"}
+            elif name == "ngram_jaccard_join":
+                assert sorted(out, key=str) == sorted(set(rows), key=str)
+            elif name == "benchmark_decontamination":
+                assert sorted(out, key=str) == sorted(rows, key=str)
+            else:
+                assert set(out) <= set(rows)
+    assert quality.quality_rules(docs, trusted).count() == len(rows)
+    tokens = corpus_pipeline.token_stage(spark, docs.selectExpr("doc_id", "text", "kept lang", "'s' source"), SF).collect()
+    assert len(tokens) == len(rows) and sorted(r.n_tokens for r in tokens)[:3] == [0, 0, sorted(r.n_tokens for r in tokens)[2]]
