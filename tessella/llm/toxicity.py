@@ -4,7 +4,8 @@ A word is the sum of the embeddings of its hash and of the hashes of its first
 bytes.  Filters of several widths slide over the words of a whole text, the
 largest response of each filter is kept (max pooling), and a logistic layer
 turns these into a score.  Training takes a bounded sample of labelled rows;
-scoring runs over all documents.  Thresholds can be calibrated by language.
+scoring runs over all documents.  Thresholds are calibrated by language on
+labelled rows that training did not take.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import BYTE_CODE, U, Words, _powers, alnum_lut, chunks, mix
 
 #: Labelled rows of each class that training takes, by the order of a hash of doc_id; longer texts than this many words are left out of the sample.
@@ -179,7 +181,7 @@ def _held_out(doc_id):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list:
-    """At most 2 x rows labelled texts (bytes, label, weight), from rows that are not held out.
+    """At most 2 x rows labelled texts (bytes, label, weight, doc_id), from rows that are not held out.
 
     The ids are drawn from the labels first (the smallest hashes of each
     class), so one scan of the documents with a broadcast of those ids suffices.
@@ -201,17 +203,19 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
             yield batch.take(pa.array(keep, pa.int64()))
 
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic")
-    # repeated rows of a document count once
-    got = src.mapInArrow(run, src.schema).dropDuplicates(["doc_id"]).collect()
+    # repeated rows of a document count once; of several texts of one doc_id the one with the smallest hash
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "toxic")).alias("x")
+    got = src.mapInArrow(run, src.schema).groupBy("doc_id").agg(one).select("doc_id", "x.text", "x.toxic").collect()
     got.sort(key=lambda r: r.doc_id)
     n = {y: sum(r.toxic == y for r in got) for y in (0, 1)}
     total = sum(share.values()) or 1
-    return [(r.text.encode(), r.toxic, share.get(r.toxic, 0) / total * len(got) / n[r.toxic]) for r in got]
+    return [(r.text.encode(), r.toxic, share.get(r.toxic, 0) / total * len(got) / n[r.toxic], r.doc_id) for r in got]
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[Model, list[int]]:
+    """The model and the doc_ids that it has learned from, 2 x rows at most."""
     s = training_sample(docs, labels, rows)
-    return train([x[0] for x in s], [x[1] for x in s], [x[2] ** 0.5 for x in s])
+    return train([x[0] for x in s], [x[1] for x in s], [x[2] ** 0.5 for x in s]), [x[3] for x in s]
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
@@ -233,24 +237,42 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     return src.mapInArrow(run, src.withColumn("score", F.lit(0.0)).schema)
 
 
-def calibrate(scored: DataFrame, labels: DataFrame, precision: float = 0.9, default: float = 0.3) -> DataFrame:
-    """lang, threshold: the lowest step of 1/50 at which labelled rows, not held out, reach the precision.
+def calibrate(scored: DataFrame, labels: DataFrame, learned: list[int] = (), precision: float = 0.9, default: float = 0.3, least: int = 5) -> DataFrame:
+    """lang, threshold: the lowest step of 1/50 at which labelled rows reach the precision, with least rows or more above it.
 
-    A language where no step does, or without labelled rows, gets the default.
+    Rows that are held out and those that the model has learned from take no
+    part.  A language where no step does, or without labelled rows, gets the
+    default; a null language is one of its own.
     """
-    lab = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~_held_out(F.col("doc_id")))
-    have = scored.select("doc_id", "lang", "score").join(lab, "doc_id").groupBy("lang", F.floor(F.col("score") * 50).alias("bin")).agg(F.sum("toxic").alias("hit"), F.count("*").alias("n"))
-    steps = have.select("lang", "hit", "n", F.explode(F.sequence(F.lit(0), F.least(F.col("bin"), F.lit(49)))).alias("step")).groupBy("lang", "step").agg((F.sum("hit") / F.sum("n")).alias("p"))
-    best = steps.where(F.col("p") >= precision).groupBy("lang").agg((F.min("step") / 50).alias("threshold"))
-    return scored.select("lang").distinct().join(best, "lang", "left").select("lang", F.coalesce("threshold", F.lit(default)).alias("threshold"))
+    lab = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~_held_out(F.col("doc_id")))
+    if learned:
+        ids = scored.sparkSession.createDataFrame([(i,) for i in learned], "doc_id bigint")
+        lab = lab.join(F.broadcast(ids), "doc_id", "left_anti")
+    have = scored.select("doc_id", "lang", "score").join(lab, "doc_id").groupBy("lang", F.least(F.floor(F.col("score") * 50), F.lit(49)).alias("bin")).agg(F.sum("toxic").alias("hit"), F.count("*").alias("n"))
+    steps = have.select("lang", "hit", "n", F.explode(F.sequence(F.lit(0), F.col("bin"))).alias("step")).groupBy("lang", "step").agg(F.sum("hit").alias("hit"), F.sum("n").alias("n"))
+    best = steps.where((F.col("hit") >= precision * F.col("n")) & (F.col("n") >= least)).groupBy("lang").agg((F.min("step") / 50).alias("threshold")).withColumnRenamed("lang", "__lang")
+    langs = scored.select("lang").distinct()
+    return langs.join(best, F.col("lang").eqNullSafe(F.col("__lang")), "left").select("lang", F.coalesce("threshold", F.lit(default)).alias("threshold"))
 
 
 def report(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row.
+    """doc_id, held_out, score, predicted, lang_threshold, lang_predicted for every row.
 
     The model learns from labels of rows that are not held out only; score
-    depends on the text alone.  Rows with a null doc_id are not held out.
-    Without labels of both classes every score is the same.
+    depends on the text alone, so rows with equal texts, null ones being
+    empty, get equal scores.  predicted is the verdict at 0.3, lang_predicted
+    that at the threshold calibrated for the row's language.  Rows with a null
+    doc_id are not held out.  Repeated rows stay; other columns, whatever
+    their names, are ignored; an empty table gives no rows.  Without labels of
+    both classes every score is the same.
     """
-    scored = score_documents(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), fit(docs, labels, rows))
-    return scored.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    model, learned = fit(docs, labels, rows)
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    scored = score_documents(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), lang.alias("lang"), "text"), model).select("doc_id", "lang", "score")
+    scored = common.materialize(scored, "toxicity-scores")
+    limits = calibrate(scored, labels, learned).withColumnRenamed("lang", "__lang")
+    both = scored.join(limits, F.col("lang").eqNullSafe(F.col("__lang")), "left")
+    return both.select(
+        "doc_id", _held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        F.col("threshold").alias("lang_threshold"), (F.col("score") >= F.col("threshold")).cast("int").alias("lang_predicted"),
+    )

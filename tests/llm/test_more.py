@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -308,5 +309,31 @@ def test_toxicity(spark):
     assert len(out) == 3003
     flat = toxicity.report(known.limit(20), labels.limit(0)).toPandas()
     assert flat.score.nunique() == 1
-    th = toxicity.calibrate(toxicity.score_documents(known, toxicity.Model()), labels).toPandas()
-    assert set(th.lang) == {"en", "fr", "de", "es"}
+    # the thresholds of a trained model: one a language, and verdicts by them hold on rows that neither training nor calibration saw
+    lang = {r.doc_id: r.lang for r in known.collect()}
+    out["lang"] = out.doc_id.map(lang)
+    assert set(out.lang.dropna()) == {"en", "fr", "de", "es"} and (out.groupby("lang").lang_threshold.nunique() == 1).all()
+    assert (out.lang_predicted == (out.score >= out.lang_threshold)).all()
+    held = out[out.held_out & out.toxic.notna()]
+    assert held[held.lang_predicted == 1].toxic.mean() > 0.8 and held[held.toxic == 1].lang_predicted.mean() > 0.6
+
+
+def test_toxicity_edges(spark):
+    docs = spark.createDataFrame([(1, "bad words here", None, 9.0), (1, "bad words here", None, 9.0), (None, None, "en", 1.0), (4, "", "en", 1.0), (1, "another text", "en", 1.0)], "doc_id bigint, text string, lang string, score double")
+    labels = spark.createDataFrame([(1, 1), (4, 0), (None, 1), (3, None)], "doc_id bigint, toxic int")
+    got = toxicity.report(docs, labels).collect()
+    assert len(got) == 5 and all(0 <= r.score <= 1 and r.lang_threshold == 0.3 for r in got)
+    assert len({r.score for r in got if r.doc_id == 4 or r.doc_id is None}) == 1
+    assert toxicity.report(docs.limit(0), labels).count() == 0
+    assert toxicity.report(docs.drop("lang"), labels.limit(0)).count() == 5
+
+
+def test_calibration_by_hand(spark):
+    rows = [(k, "en", s) for k, s in enumerate([0.95, 0.93, 0.91, 0.9, 0.88, 0.5, 0.41, 0.4, 0.1])] + [(20, None, 0.9), (21, "fr", 1.0)]
+    truth = {0: 1, 1: 1, 2: 1, 3: 1, 4: 1, 5: 0, 6: 1, 7: 0, 8: 0, 20: 1, 21: 1}
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2]
+    scored = spark.createDataFrame([(ids[k], lang, s) for k, lang, s in rows], "doc_id bigint, lang string, score double")
+    labels = spark.createDataFrame([(ids[k], y) for k, y in truth.items()], "doc_id bigint, toxic int")
+    got = {r.lang: r.threshold for r in toxicity.calibrate(scored, labels).collect()}
+    assert got == {"en": 0.52, None: 0.3, "fr": 0.3}  # above 0.5 all are toxic; the others have too few rows
+    assert {r.lang: r.threshold for r in toxicity.calibrate(scored, labels, [ids[0]]).collect()}["en"] == 0.3
