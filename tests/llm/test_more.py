@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -265,6 +266,57 @@ def test_quotation_linking(spark):
     assert chat.link_quotations(df.limit(0)).count() == 0
 
 
+def test_quotation_of_wrapped_passages_and_reply_order(spark):
+    """Random reply trees: answers quote sentences of what they answer, wrapped anew, some with nested quotations; the tree comes out whole."""
+    r = random.Random(21)
+    sentence = lambda: " ".join(f"v{r.randrange(3000)}" for _ in range(r.randrange(1, 14))).capitalize() + r.choice(".!?")
+    wrap = lambda text, mark: "\n".join(mark + x for x in textwrap.wrap(text, r.randrange(18, 60)))
+    rows, parent, body = [], {}, {}
+    for conv in range(12):
+        own = {}
+        for turn in range(25):
+            own[turn] = [sentence() for _ in range(r.randrange(2, 6))]
+            up = r.randrange(turn) if turn and r.random() < 0.85 else None
+            text = wrap(" ".join(own[turn]), "")
+            if up is not None:
+                k = r.randrange(len(own[up]))
+                quote = wrap(" ".join(own[up][k : k + 2]), r.choice(["> ", ">"]))
+                if (conv, up) in parent and r.random() < 0.5:
+                    quote = wrap(own[parent[conv, up]][0], ">> ") + "\n" + quote
+                text = quote + "\n" + text
+                parent[conv, turn] = up
+            body[conv, turn] = " ".join(own[turn]).lower()
+            rows.append((conv, turn, "user", text))
+    rows.append((50, 0, "user", "> " + body[3, 0].split(".")[0].split("!")[0].split("?")[0] + "\n" + "word " * 60_000))
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(4)
+    got = {(x.conv_id, x.turn): x for x in chat.link_quotations(df).collect()}
+    found = sum(got[k].parent_turn == v and got[k].parent_conv == k[0] for k, v in parent.items())
+    assert found >= 0.98 * len(parent)  # very short sentences may occur twice
+    assert all(got[k].parent_turn is None for k in body if k not in parent)
+    assert all(re.sub(r"\s+", " ", got[k].body).lower() == t for k, t in body.items())
+    for conv in range(12):
+        kids = defaultdict(list)
+        for turn in range(25):
+            kids[got[conv, turn].parent_turn].append(turn)
+        order, stack = [], kids[None][::-1]
+        while stack:
+            t = stack.pop()
+            order.append(t)
+            stack += kids[t][::-1]
+        assert [got[conv, t].position for t in order] == list(range(25))
+        for t in order:
+            up = got[conv, t].parent_turn
+            assert got[conv, t].depth == (0 if up is None else got[conv, up].depth + 1)
+
+
+def test_short_quotations_and_other_conversations(spark):
+    rows = [(1, 0, "Thanks\n\nSee you tomorrow then"), (1, 1, "> Thanks\nYou are welcome"), (2, 0, "> Thanks\nFor what"), (2, 1, "> See you tomorrow then\nWhere"), (0, 5, "> You are welcome\nYou are welcome"), (0, 6, "> You are welcome")]
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id bigint, turn bigint, role string, text string")
+    got = {(x.conv_id, x.turn): (x.parent_conv, x.parent_turn) for x in chat.link_quotations(df).collect()}
+    # short ones count within the conversation only; the first holder may be the quoting message itself, then the next conversation counts
+    assert got == {(1, 0): (None, None), (1, 1): (1, 0), (2, 0): (None, None), (2, 1): (1, 0), (0, 5): (1, 1), (0, 6): (0, 5)}
+
+
 def test_fixity(spark, tmp_path):
     pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://x/"), "id").alias("url"), F.repeat(F.concat(F.lit("<p>é"), "id"), 40).alias("html"))
     odd = spark.createDataFrame([(None, None, None), (7, None, ""), (7, None, "")], "page_id bigint, url string, html string")
