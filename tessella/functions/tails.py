@@ -79,20 +79,29 @@ def _log_hyper(a: Column, row: Column, col: Column, n: Column) -> Column:
 def fisher_exact(a: Column, b: Column, c: Column, d: Column, side: str = "two") -> Column:
     """Fisher's exact test of the table [[a, b], [c, d]]: side two, greater or less.
 
-    The tail is summed over the possible first cells, an array of at most
-    min(a + b, a + c) + 1 entries.
+    The tail is summed over the first cells within 40 standard deviations of
+    the mean, beyond which no term is a positive double, each term from the
+    one before.
     """
     a, b, c, d = (x.cast("bigint") for x in (a, b, c, d))
     row, col, n = a + b, a + c, a + b + c + d
-    lo, hi = F.greatest(F.lit(0), row + col - n), F.least(row, col)
+    mean = row * col / n
+    wide = 40 * F.sqrt(F.greatest(mean * (1 - row / n) * (n - col) / F.greatest(n - 1, F.lit(1)), F.lit(0.0))) + 40
+    lo = F.greatest(F.lit(0), row + col - n, F.floor(mean - wide))
+    hi = F.least(row, col, F.ceil(mean + wide))
+    here = _log_hyper(a, row, col, n)
     if side == "greater":
-        lo = a
+        lo = F.greatest(lo, a)
     elif side == "less":
-        hi = a
-    here = _log_hyper(a, row, col, n)
+        hi = F.least(hi, a)
 
     def add(acc, x):
-        p = _log_hyper(x, row, col, n)
-        return acc + (F.when(p <= here + 1e-7, F.exp(p)).otherwise(0.0) if side == "two" else F.exp(p))
-
-    return F.least(F.lit(1.0), F.aggregate(F.sequence(lo, hi), F.lit(0.0), add))
+        p = F.exp(acc["lp"])
+        term = F.when(acc["lp"] <= here + 1e-7, p).otherwise(0.0) if side == "two" else p
+        up = F.log((row - x).cast("double") * (col - x)) - F.log((x + 1).cast("double") * (n - row - col + x + 1))
+        return F.struct((acc["lp"] + up).alias("lp"), (acc["s"] + term).alias("s"))
+
+    start = F.struct(_log_hyper(lo, row, col, n).alias("lp"), F.lit(0.0).alias("s"))
+    tail = F.aggregate(F.sequence(lo, hi), start, add, lambda acc: acc["s"])
+    # nothing left to sum: the table itself lies beyond
+    return F.when(n == 0, 1.0).when(lo > hi, F.exp(here)).otherwise(F.least(F.lit(1.0), F.greatest(tail, F.exp(here))))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import dna
+from ..functions import dna, draws
+from .settle import settle
 
 
 def correction_table(whitelist: DataFrame, subs: int = 2) -> DataFrame:
@@ -57,7 +58,7 @@ def trimmed(reads: DataFrame, seq: str = "r1", qual: str = "q1", min_length: int
 
 def find_tag(reads: DataFrame, seq: str, tags: DataFrame, k: int) -> DataFrame:
     """Adds tag: the whitelist tag (seq, barcode) at the earliest place of a read; reads without one go."""
-    x = reads.withColumn("__id", F.monotonically_increasing_id())
+    x = settle(reads.withColumn("__id", F.monotonically_increasing_id()))  # numbered once, though read twice
     at = x.select("__id", F.posexplode(dna.kmers(F.col(seq), k)).alias("pos", "seq")).join(F.broadcast(tags), "seq")
     hit = at.groupBy("__id").agg(F.min(F.struct("pos", "barcode")).alias("h"))
     return x.join(hit, "__id").withColumn("tag", F.col("h.barcode")).drop("__id", "h")
@@ -73,7 +74,7 @@ def saturation(reads: DataFrame, keys: list[str], buckets: int, seed: int = 0) -
 
     A molecule counts in the bucket of its first read.
     """
-    d = reads.withColumn("bucket", F.pmod(F.xxhash64("read_id", F.lit(seed)), F.lit(buckets)))
+    d = reads.withColumn("bucket", draws.number("read_id", seed) % F.lit(buckets))
     r = d.groupBy("bucket").agg(F.count("*").alias("r"))
     u = d.groupBy(*keys).agg(F.min("bucket").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("u"))
     w = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import draws as draws_of
 from ..functions import tails
 
 
@@ -14,18 +15,18 @@ def draws(items: DataFrame, keys: list[str], item: str, rounds: int, size: int,
     """keys, draw, item: size items of each key without replacement, for each round, all in one job."""
     it = items.sparkSession.range(rounds).select(F.col("id").alias("draw"))
     x = items.select(*keys, item).distinct().crossJoin(it)
-    w = Window.partitionBy(*keys, "draw").orderBy(F.xxhash64(item, "draw", F.lit(seed)), item)
+    w = Window.partitionBy(*keys, "draw").orderBy(draws_of.ticket(item, "draw", seed), item)
     return x.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= size).drop("__k")
 
 
 def split(df: DataFrame, key: str, fraction: float, seed: int = 0) -> DataFrame:
     """Adds in_training: a fixed fraction of the keys by hash, the same however the table is partitioned."""
-    return df.withColumn("in_training", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < int(fraction * 1_000_000))
+    return df.withColumn("in_training", F.substring(draws_of.ticket(key, seed), 1, 8) < draws_of.share(fraction))
 
 
 def unique_pairs(n: int, spark, count: int, seed: int = 0, forbidden: DataFrame | None = None) -> DataFrame:
     """a, b: about count different pairs of numbers under n, never equal, none of the forbidden ones (a, b)."""
-    h = lambda k: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(n))
+    h = lambda k: draws_of.number("id", seed, k) % F.lit(n)
     x = spark.range(2 * count + 100).select("id", h(1).alias("a"), h(2).alias("b")).where("a <> b").groupBy("a", "b").agg(F.min("id").alias("id"))
     if forbidden is not None:
         x = x.join(forbidden.select("a", "b"), ["a", "b"], "left_anti")
@@ -52,7 +53,7 @@ def bootstrap_fold(values: DataFrame, genes: DataFrame, group: str, rounds: int
     z = (F.col("m2") - F.col("m1")) / F.sqrt(F.col("v1") / F.col("n1") + F.col("v2") / F.col("n2"))
     x = x.withColumn("p", tails.two_sided(z))
     med = x.groupBy("program").agg(F.percentile("fc", 0.5).alias("med"))
-    return x.join(med, "program").groupBy("program").agg(F.first("med").alias("fc"), F.min_by("p", F.struct(F.abs(F.col("fc") - F.col("med")), F.col("draw"))).alias("p"))
+    return x.join(med, "program").groupBy("program").agg(F.first("med").alias("fc"), F.min_by("p", F.struct(F.round(F.abs(F.col("fc") - F.col("med")), 9), F.col("draw"))).alias("p"))
 
 
 def binomial_rounds(shares: DataFrame, key: str, n: str, p: str, rounds: int, seed: int = 0) -> DataFrame:

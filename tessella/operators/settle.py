@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; without it, a folder of our own if all of Spark runs in this process, else an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="tessella-")
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """A checkpoint of df in the shared folder that the cluster names; a folder of our own only where none is named."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """A checkpoint of df in the shared folder that the cluster names."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessella-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

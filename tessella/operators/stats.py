@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import tails
+from ..functions import draws, tails
 from . import groups, ranks
 
 
@@ -215,7 +215,7 @@ def permuted_correlation(centers: DataFrame, response: DataFrame, state: str, ro
     r = response.crossJoin(it)
     w = Window.partitionBy("iter")
     a = r.select("iter", state, F.row_number().over(w.orderBy(state)).alias("__k"))
-    b = r.select("iter", "y", F.row_number().over(w.orderBy(F.xxhash64(state, "iter", F.lit(seed)), state)).alias("__k"))
+    b = r.select("iter", "y", F.row_number().over(w.orderBy(draws.ticket(state, "iter", seed), state)).alias("__k"))
     shuffled = a.join(b, ["iter", "__k"]).drop("__k")
     n = response.agg(F.count("*").alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") ** 2).alias("qy"))
     g = centers.join(shuffled, state).groupBy("iter", "gene").agg(F.sum(value).alias("s"), F.sum(F.col(value) ** 2).alias("q"), F.sum(F.col(value) * F.col("y")).alias("xy")).crossJoin(F.broadcast(n))
@@ -226,7 +226,8 @@ def permuted_correlation(centers: DataFrame, response: DataFrame, state: str, ro
 def mean_histogram(null: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
     """bin, mean_n: histogram of a value in each iteration, averaged over iterations."""
     width = (high - low) / bins
-    b = null.where(F.col(value).between(low, high)).groupBy("iter", F.least(F.floor((F.col(value) - low) / width), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    x = F.round(value, 9)
+    b = null.where(x.between(low, high)).groupBy("iter", F.least(F.floor(F.round((x - low) / width, 6)), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
     n = null.agg(F.countDistinct("iter").alias("k"))
     return b.groupBy("bin").agg(F.sum("n").alias("n")).crossJoin(F.broadcast(n)).select("bin", (F.col("n") / F.col("k")).alias("mean_n"))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dna
 from ..operators import groups, ranks, reads, sets
+from ..operators.settle import shared_folder
 from ..streaming import stream
 from . import bindings as b
 from .catalog import query
@@ -37,7 +37,12 @@ def poly_a_trim(spark, d):
     return b.reads(spark, d).select("read_id", dna.trim_poly_a(F.concat("r1", F.lit("A")), 1).alias("s"))
 
 
-@query("quality_trim")
+@query(
+    "quality_trim",
+    f"""{R}, q AS (SELECT read_id, [CASE x WHEN 'A' THEN 40 WHEN 'C' THEN 20 WHEN 'G' THEN 7 ELSE 37 END FOR x IN string_split(r1, '')] AS q FROM reads),
+s AS (SELECT *, coalesce(list_min([i FOR i IN range(0, len(q)) IF q[i + 1] >= 28]), len(q)) AS start FROM q)
+SELECT read_id, start::INT AS start, (coalesce(list_min([i FOR i IN range(start, len(q) - 3) IF q[i + 1] + q[i + 2] + q[i + 3] + q[i + 4] < 80]), len(q)) - start)::INT AS length FROM s""",
+)
 def quality_trim(spark, d):
     r = b.reads(spark, d).withColumn("q", F.translate("r1", "ACGT", "I5(F"))
     return r.select("read_id", dna.trimmed_span(F.col("q")).alias("t")).select("read_id", "t.start", "t.length")
@@ -86,7 +91,12 @@ def umi_dedup_counts(spark, d):
     return reads.umi_counts(b.reads(spark, d), "cell", "tag", "umi")
 
 
-@query("saturation_curve")
+@query(
+    "saturation_curve",
+    f"""{R}, d AS (SELECT *, ('0x' || substr(md5(read_id || '|0'), 1, 12))::BIGINT % 20 AS bucket FROM reads), r AS (SELECT bucket, count(*) AS r FROM d GROUP BY 1),
+u AS (SELECT bucket, count(*) AS u FROM (SELECT min(bucket) AS bucket FROM d GROUP BY cell, tag, umi) GROUP BY 1)
+SELECT bucket, (sum(r) OVER w)::BIGINT AS reads, (sum(coalesce(u, 0)) OVER w)::BIGINT AS umis FROM r LEFT JOIN u USING (bucket) WINDOW w AS (ORDER BY bucket)""",
+)
 def saturation_curve(spark, d):
     return reads.saturation(b.reads(spark, d), ["cell", "tag", "umi"], 20)
 
@@ -184,32 +194,24 @@ def _stream(spark, d):
     return spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
 
 
-def _name(prefix: str) -> str:
-    return f"{prefix}_{uuid.uuid4().hex}"
-
-
-def _checkpoint(spark, name):
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base}/{name}" if base else tempfile.mkdtemp(prefix="stream-")
+def _folder(spark, prefix: str) -> str:
+    return f"{shared_folder(spark)}/stream-{prefix}-{uuid.uuid4().hex}"
 
 
 @query("stream_counts", "SELECT user_id, event_type, count(*) AS reads FROM events GROUP BY 1, 2")
 def stream_counts(spark, d):
-    n = _name("counts")
-    return stream.run_to_end(stream.tag_counts(_stream(spark, d), "user_id", "event_type"), n, _checkpoint(spark, n), "complete")
+    return stream.run_to_end(stream.tag_counts(_stream(spark, d), "user_id", "event_type"), _folder(spark, "counts"), "complete")
 
 
 @query("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark, d):
-    n = _name("dedup")
-    return stream.run_to_end(stream.dedup(_stream(spark, d).select("user_id", "event_type"), ["user_id", "event_type"]), n, _checkpoint(spark, n))
+    return stream.run_to_end(stream.dedup(_stream(spark, d).select("user_id", "event_type"), ["user_id", "event_type"]), _folder(spark, "dedup"))
 
 
 @query("stream_windows", "SELECT time_bucket(INTERVAL 6 HOURS, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_windows(spark, d):
-    n = _name("windows")
     e = _stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
-    return stream.run_to_end(stream.windowed_counts(e, "ts", ["event_type"], "6 hours", "30 days"), n, _checkpoint(spark, n), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return stream.run_to_end(stream.windowed_counts(e, "ts", ["event_type"], "6 hours", "30 days"), _folder(spark, "windows"), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query(

@@ -38,8 +38,11 @@ def ranksum_dge(spark, d):
 @query("ranksum_by_donor_pairs")
 def ranksum_by_donor_pairs(spark, d):
     lab = b.obs(spark, d).select("cell_id", "donor")
-    pairs = lab.select(F.col("donor").alias("rep1")).distinct().crossJoin(lab.select(F.col("donor").alias("rep2")).distinct()).where("rep1 < rep2")
-    cells = pairs.join(lab, (F.col("donor") == F.col("rep1")) | (F.col("donor") == F.col("rep2"))).select("cell_id", "rep1", "rep2", F.when(F.col("donor") == F.col("rep1"), 1).otherwise(2).alias("grp"))
+    donors = lab.select("donor").distinct()
+    pairs = donors.select(F.col("donor").alias("rep1")).join(donors.select(F.col("donor").alias("rep2")), F.col("rep1") < F.col("rep2"))
+    # a row for each donor of a pair: cells meet it by an equi-join
+    sides = pairs.select("rep1", "rep2", F.explode(F.array(F.struct(F.col("rep1").alias("donor"), F.lit(1).alias("grp")), F.struct(F.col("rep2").alias("donor"), F.lit(2).alias("grp")))).alias("s")).select("rep1", "rep2", "s.*")
+    cells = lab.join(sides, "donor").select("cell_id", "rep1", "rep2", "grp")
     t = stats.differential(b.expr(spark, d), cells, ["rep1", "rep2"])
     return t.groupBy("rep1", "rep2").agg(F.count("*").alias("tested"), F.sum((F.col("fdr") < 0.05).cast("int")).alias("significant"))
 
@@ -174,7 +177,14 @@ def corr_with_response(spark, d):
     return stats.response_correlation(groups.centroids(b.expr(spark, d), b.obs(spark, d), "cell_state"), _response(spark, d), "cell_state")
 
 
-@query("null_correlation_histogram")
+@query(
+    "null_correlation_histogram",
+    f"""{C}, {RESP}, yi AS (SELECT iter, cell_state, y FROM y, range(10) t(iter)), ya AS (SELECT iter, cell_state, row_number() OVER (PARTITION BY iter ORDER BY cell_state) AS k FROM yi),
+yb AS (SELECT iter, y, row_number() OVER (PARTITION BY iter ORDER BY md5(cell_state || '|' || iter || '|0'), cell_state) AS k FROM yi), sh AS (SELECT iter, cell_state, y FROM ya JOIN yb USING (iter, k)),
+t AS (SELECT count(*) AS n, sum(y) AS sy, sum(y * y) AS qy FROM y), g AS (SELECT iter, gene, sum(mean) AS s, sum(mean * mean) AS q, sum(mean * y) AS xy FROM centers JOIN sh USING (cell_state) GROUP BY 1, 2),
+r AS (SELECT iter, round(CASE WHEN sqrt((n * q - s * s) * (n * qy - sy * sy)) > 1e-12 THEN (n * xy - s * sy) / sqrt((n * q - s * s) * (n * qy - sy * sy)) END, 9) AS r FROM g, t)
+SELECT least(floor(round((r + 1) / 0.1, 6)), 19)::INT AS bin, round(count(*) / 10.0, 6) AS mean_n FROM r WHERE r BETWEEN -1 AND 1 GROUP BY 1""",
+)
 def null_correlation_histogram(spark, d):
     c = groups.centroids(b.expr(spark, d), b.obs(spark, d), "cell_state")
     return stats.mean_histogram(stats.permuted_correlation(c, _response(spark, d), "cell_state", 10), "r", -1, 1, 20)
@@ -336,7 +346,18 @@ def prerank_es(spark, d):
     return sets.running_enrichment(r, b.brand_sets(spark, d)).drop("leading")
 
 
-@query("prerank_permutations")
+@query(
+    "prerank_permutations",
+    f"""{M}, rk AS (SELECT gene, sum(count) - 500 AS score FROM expr GROUP BY 1), base AS (SELECT iter, gene, score FROM rk, range(1000) t(iter)),
+ra AS (SELECT iter, score, row_number() OVER (PARTITION BY iter ORDER BY score DESC, gene) AS k FROM base), rb AS (SELECT iter, gene, row_number() OVER (PARTITION BY iter ORDER BY md5(gene || '|' || iter || '|0'), gene) AS k FROM base),
+al AS (SELECT iter, gene, score FROM ra JOIN rb USING (iter, k) UNION ALL SELECT -1, gene, score FROM rk), po AS (SELECT *, row_number() OVER (PARTITION BY iter ORDER BY score DESC, gene) AS pos, count(*) OVER (PARTITION BY iter) AS nn FROM al),
+me AS (SELECT iter, brand AS set_name, pos, nn, abs(score) AS w FROM po JOIN genes USING (gene)), mw AS (SELECT *, count(*) OVER s AS n, sum(w) OVER s AS whole, row_number() OVER (PARTITION BY iter, set_name ORDER BY pos) AS k FROM me WINDOW s AS (PARTITION BY iter, set_name)),
+mh AS (SELECT *, CASE WHEN whole > 0 THEN w / whole ELSE 1.0 / n END AS v FROM mw WHERE n BETWEEN 2 AND 300), mr AS (SELECT *, sum(v) OVER (PARTITION BY iter, set_name ORDER BY pos ROWS UNBOUNDED PRECEDING) - (pos - k) / greatest(1, nn - n) AS after FROM mh),
+es AS (SELECT iter, set_name, any_value(n) AS size, round(CASE WHEN max(after) >= -min(after - v) THEN max(after) ELSE min(after - v) END, 9) AS es FROM mr GROUP BY 1, 2), re AS (SELECT set_name, size, es FROM es WHERE iter = -1),
+st AS (SELECT set_name, sum((sign(e.es) = sign(re.es))::INT) AS ns, sum((sign(e.es) = sign(re.es) AND abs(e.es) >= abs(re.es))::INT) AS nb, avg(CASE WHEN sign(e.es) = sign(re.es) THEN abs(e.es) END) AS m FROM es e JOIN re USING (set_name) WHERE iter >= 0 GROUP BY 1),
+pv AS (SELECT set_name, size, es, es / m AS nes, (nb + 1) / (ns + 1) AS p FROM re JOIN st USING (set_name)), pq AS (SELECT *, count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS r, count(*) OVER () AS mm FROM pv)
+SELECT set_name, size, round(es, 6) AS es, round(nes, 6) AS nes, round(p, 6) AS p, round(least(1, min(p * mm / r) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)), 6) AS fdr FROM pq""",
+)
 def prerank_permutations(spark, d):
     r = b.expr(spark, d).groupBy("gene").agg((F.sum("count") - 500).alias("score"))
     return sets.preranked(r, b.brand_sets(spark, d), least=2).drop("leading")
@@ -345,7 +366,16 @@ def prerank_permutations(spark, d):
 # ---------------------------------------------------------------- resampling
 
 
-@query("bootstrap_fold")
+@query(
+    "bootstrap_fold",
+    f"""{M}, lab AS (SELECT cell_id, CASE cell_state WHEN 'BUILDING' THEN 1 ELSE 2 END AS grp FROM obs WHERE cell_state IN ('BUILDING', 'MACHINERY')), e AS (SELECT cell_id, grp, gene, count AS value FROM expr JOIN lab USING (cell_id)),
+cells AS (SELECT grp, count(DISTINCT cell_id) AS nc FROM e GROUP BY 1), d AS (SELECT brand AS program, draw, gene FROM genes, range(101) t(draw) QUALIFY row_number() OVER (PARTITION BY brand, draw ORDER BY md5(gene || '|' || draw || '|0'), gene) <= 7),
+dk AS (SELECT program, draw, count(*) AS k FROM d GROUP BY 1, 2), s AS (SELECT program, draw, grp, cell_id, sum(value) / any_value(k) AS s FROM e JOIN d USING (gene) JOIN dk USING (program, draw) GROUP BY 1, 2, 3, 4),
+m AS (SELECT program, draw, grp, any_value(nc) AS n, sum(s) / any_value(nc) AS m, sum(s * s) / any_value(nc) - (sum(s) / any_value(nc)) ** 2 AS v FROM s JOIN cells USING (grp) GROUP BY 1, 2, 3),
+x AS (SELECT a.program, a.draw, (b.m + 0.01) / (a.m + 0.01) AS fc, (b.m - a.m) / sqrt(a.v / a.n + b.v / b.n) AS z FROM m a JOIN m b ON a.program = b.program AND a.draw = b.draw AND a.grp = 1 AND b.grp = 2),
+y AS (SELECT *, {b.two_sided_sql('z')} AS p FROM x), md AS (SELECT program, quantile_cont(fc, 0.5) AS med FROM y GROUP BY 1), o AS (SELECT program, med, p, row_number() OVER (PARTITION BY program ORDER BY round(abs(fc - med), 9), draw) AS k FROM y JOIN md USING (program))
+SELECT program, round(med, 6) AS fc, round(p, 6) AS p FROM o WHERE k = 1""",
+)
 def bootstrap_fold(spark, d):
     e = b.expr(spark, d).join(_two_groups(spark, d), "cell_id").select("cell_id", "grp", "gene", F.col("count").alias("value"))
     programs = b.brand_sets(spark, d).withColumnRenamed("set_name", "program")
@@ -359,12 +389,16 @@ def binomial_bootstrap_sd(spark, d):
     return resample.binomial_rounds(s, "cell_state", "n", "p", 1000).groupBy("cell_state").agg(F.stddev_pop("x").alias("sd"), F.avg("x").alias("mean"))
 
 
-@query("hash_split")
+@query("hash_split", f"WITH {b.OBS} SELECT substr(md5(cell_id || '|0'), 1, 8) < 'cccccccc' AS in_training, count(*) AS n FROM obs GROUP BY 1")
 def hash_split(spark, d):
     return resample.split(b.obs(spark, d), "cell_id", 0.8).groupBy("in_training").agg(F.count("*").alias("n"))
 
 
-@query("random_pairs")
+@query(
+    "random_pairs",
+    """WITH n AS (SELECT count(*) AS n FROM customer), x AS (SELECT id, ('0x' || substr(md5(id || '|0|1'), 1, 12))::BIGINT % n AS a, ('0x' || substr(md5(id || '|0|2'), 1, 12))::BIGINT % n AS b FROM range(1100) t(id), n)
+SELECT a, b FROM x WHERE a <> b GROUP BY 1, 2 ORDER BY min(id) LIMIT 500""",
+)
 def random_pairs(spark, d):
     return resample.unique_pairs(b.n_cells(spark, d), spark, 500)
 

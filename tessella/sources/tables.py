@@ -152,15 +152,22 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     return g.select("file", "record", F.regexp_extract("h", r"^@(\S+)", 1).alias("name"), "seq", "qual")
 
 
-def weave(streams: dict[str, DataFrame]) -> DataFrame:
-    """record, name and r<k>, q<k> of parallel FASTQ files joined record by record; records whose names differ are left out."""
+def weave(streams: dict[str, DataFrame], strict: bool = True) -> DataFrame:
+    """record, name and r<k>, q<k> of parallel FASTQ files joined record by record.
+
+    A record whose names differ stops the job; if not strict it is left out.
+    """
     out = None
     for k, df in streams.items():
         d = df.select("record", F.col("name").alias(f"__n{k}"), F.col("seq").alias(f"r{k}"), F.col("qual").alias(f"q{k}"))
         out = d if out is None else out.join(d, "record")
     first, *rest = list(streams)
     for k in rest:
-        out = out.where(F.col(f"__n{first}") == F.col(f"__n{k}"))
+        same = F.col(f"__n{first}").eqNullSafe(F.col(f"__n{k}"))
+        if strict:
+            what = F.concat(F.lit("names of record "), F.col("record").cast("string"), F.lit(" differ: "), F.coalesce(F.col(f"__n{first}"), F.lit("none")), F.lit(" and "), F.coalesce(F.col(f"__n{k}"), F.lit("none")))
+            same = F.when(same, F.lit(True)).otherwise(F.raise_error(what).cast("boolean"))
+        out = out.where(same)
     return out.withColumnRenamed(f"__n{first}", "name").drop(*[f"__n{k}" for k in rest])
 
 

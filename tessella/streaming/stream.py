@@ -38,8 +38,19 @@ def read_stream(spark, path: str, schema: str, files: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def run_to_end(df: DataFrame, table: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there into a memory table and returns it."""
-    q = df.writeStream.format("memory").queryName(table).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_end(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there, writes it below path and reads it back: all rows appended, or the last complete result.
+
+    Each batch has a folder of its own, which a repeated batch overwrites.
+    """
+    seen: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batches/batch={number}")
+        seen.append(number)
+
+    q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(table)
+    parts = [f"{path}/batches/batch={n}" for n in (seen[-1:] if mode == "complete" else seen)]
+    spark = df.sparkSession
+    return spark.read.schema(df.schema).parquet(*parts) if parts else spark.createDataFrame([], df.schema)
