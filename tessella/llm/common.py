@@ -7,6 +7,8 @@ passes, so no operator loops over words in Python.
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -27,10 +29,13 @@ CHUNK_BYTES = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it."""
+    """The folder all executors share, as the session names it; without one, a folder of our own if all of Spark runs in this process, else an error."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not d:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = "file://" + tempfile.mkdtemp(prefix="tessella-")
+        spark.sparkContext.setCheckpointDir(d)
     return d.rstrip("/")
 
 
