@@ -72,9 +72,12 @@ def abundance(obs: DataFrame, sample: str, state: str, percent: bool = True) ->
 
 
 def abundance_ratio(obs: DataFrame, sample: str, state: str, control, case, pseudo: float = 0.001) -> DataFrame:
-    """state, control, case, ratio, log2_ratio of the fractions of two samples, a pseudo-fraction added to both."""
+    """state, control, case, ratio, log2_ratio of the fractions of two samples, a pseudo-fraction added to both.
+
+    States that neither sample has, but another one, have fractions of 0.
+    """
     n = lambda v: F.sum((F.col(sample) == v).cast("int"))
-    g = obs.where(F.col(sample).isin(control, case)).groupBy(state).agg(n(control).alias("a"), n(case).alias("b"))
+    g = obs.groupBy(state).agg(n(control).alias("a"), n(case).alias("b"))
     w = Window.partitionBy(F.lit(1))
     g = g.select(state, (F.col("a") / F.sum("a").over(w)).alias("control"), (F.col("b") / F.sum("b").over(w)).alias("case"))
     r = (F.col("case") + pseudo) / (F.col("control") + pseudo)
@@ -89,11 +92,11 @@ def log2_ratio_error(n: Column, m: Column, total_n: Column, total_m: Column) ->
 def fold_vs_control(shares: DataFrame, condition: str, donor: str, state: str, control, value: str = "share") -> DataFrame:
     """condition, state, log2fc: ratio to the control of the same donor, averaged over donors (nulls skipped), as log2.
 
-    A mean ratio of 0 gives null.
+    A mean ratio of 0 gives minus infinity, no ratio at all null.
     """
     c = shares.where(F.col(condition) == control).select(donor, state, F.col(value).alias("__c"))
     r = shares.where(F.col(condition) != control).join(c, [donor, state]).withColumn("__r", F.when(F.col("__c") != 0, F.col(value) / F.col("__c")))
-    return r.groupBy(condition, state).agg(F.avg("__r").alias("m")).select(condition, state, F.when(F.col("m") > 0, F.log2("m")).alias("log2fc"))
+    return r.groupBy(condition, state).agg(F.avg("__r").alias("m")).select(condition, state, F.when(F.col("m") > 0, F.log2("m")).when(F.col("m") == 0, F.lit(float("-inf"))).alias("log2fc"))
 
 
 # ---------------------------------------------------------------- programs

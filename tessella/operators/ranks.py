@@ -121,6 +121,22 @@ def rank_curve(totals: DataFrame, value: str = "total") -> DataFrame:
     return r.select(value, "n", (last - F.col("n") + 1).alias("first_rank"), last.alias("last_rank"))
 
 
+def below(counts: DataFrame, value: str, n: str = "n", digits: int = 2) -> DataFrame:
+    """counts (different values and how often each occurs) with below, the rows of smaller values, and place, the smaller values.
+
+    Values are dealt to ranges by their first digits, each range is summed on
+    its own, and the offsets of the ranges are added, so that no task sees
+    more than a range.
+    """
+    c = counts.withColumn("__b", F.floor(F.col(value) * 10**digits))
+    per = c.groupBy("__b").agg(F.sum(n).alias("__s"), F.count("*").alias("__d"))
+    w = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    off = per.select("__b", F.coalesce(F.sum("__s").over(w), F.lit(0)).alias("__o"), F.coalesce(F.sum("__d").over(w), F.lit(0)).alias("__p"))
+    own = Window.partitionBy("__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    c = c.withColumn("__c", F.coalesce(F.sum(n).over(own), F.lit(0))).withColumn("__k", F.count("*").over(own)).join(F.broadcast(off), "__b")
+    return c.withColumn("below", F.col("__o") + F.col("__c")).withColumn("place", F.col("__p") + F.col("__k")).drop("__b", "__c", "__k", "__o", "__p")
+
+
 def min_max(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     w = Window.partitionBy(*keys)
     span = F.max(value).over(w) - F.min(value).over(w)

@@ -21,9 +21,18 @@ def bh(df: DataFrame, p: str, keys: list[str] = (), out: str = "fdr") -> DataFra
     """
     keys = list(keys)
     n = df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count("*").alias("__n"))
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    n = n.withColumn("__r", F.sum("__n").over(part.orderBy(p).rowsBetween(Window.unboundedPreceding, 0))).withColumn("__m", F.sum("__n").over(part))
-    n = n.withColumn(out, F.least(F.lit(1.0), F.min(F.col(p) * F.col("__m") / F.col("__r")).over(part.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0))))
+    if keys:
+        part = Window.partitionBy(*keys)
+        n = n.withColumn("__r", F.sum("__n").over(part.orderBy(p).rowsBetween(Window.unboundedPreceding, 0))).withColumn("__m", F.sum("__n").over(part))
+        n = n.withColumn(out, F.least(F.lit(1.0), F.min(F.col(p) * F.col("__m") / F.col("__r")).over(part.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0))))
+    else:
+        # one family of any size: ranges of p are worked out one by one, then the best of all larger ranges is known
+        n = ranks.below(n, p, "__n", 3).withColumn("__part", F.floor(F.col(p) * 1000)).crossJoin(F.broadcast(n.agg(F.sum("__n").alias("__m"))))
+        n = n.withColumn("__q", F.col(p) * F.col("__m") / (F.col("below") + F.col("__n")))
+        best = n.groupBy("__part").agg(F.min("__q").alias("__b"))
+        best = best.select("__part", F.min("__b").over(Window.orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)).alias("__later"))
+        own = F.min("__q").over(Window.partitionBy("__part").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0))
+        n = n.withColumn("__own", own).join(F.broadcast(best), "__part").withColumn(out, F.least(F.lit(1.0), "__own", "__later"))
     q = n.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(p).alias("__p"), out)
     on = F.col(p) == F.col("__p")
     for k in keys:
@@ -236,7 +245,7 @@ def top_correlated(r: DataFrame, n: int | None = None, quantile: float | None =
     """Genes with the largest |r|: the first n, or those at or above a quantile of |r|."""
     x = r.where("r is not null")
     if n is not None:
-        return x.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round(F.abs("r"), 9)), "gene"))).where(F.col("rank") <= n).drop("rank")
+        return x.withColumn("__r", F.round(F.abs("r"), 9)).orderBy(F.desc("__r"), "gene").limit(n).drop("__r")
     cut = x.agg(F.percentile(F.abs("r"), quantile).alias("cut"))
     return x.crossJoin(F.broadcast(cut)).where(F.abs("r") >= F.col("cut")).drop("cut")
 
@@ -258,8 +267,9 @@ def coexpression_network(rho: DataFrame) -> DataFrame:
     med = rho.groupBy("a").agg(F.percentile("rho", 0.5).alias("med"))
     full = rho.join(med, "a").select("a", "b", F.round(F.coalesce("rho", "med", F.lit(0.0)), 9).alias("v"))
     n = full.groupBy("v").agg(F.count("*").alias("k"))
-    w = n.withColumn("__below", F.coalesce(F.sum("k").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("__all", F.sum("k").over(Window.partitionBy(F.lit(1))))
-    return full.join(w.select("v", ((F.col("__below") + (F.col("k") + 1) / 2.0) / F.col("__all")).alias("w")), "v").select("a", "b", "w")
+    # correlations are nearly as many as pairs: they are ranked in ranges
+    w = ranks.below(n, "v", "k", 3).crossJoin(F.broadcast(full.agg(F.count("*").alias("__all"))))
+    return full.join(w.select("v", ((F.col("below") + (F.col("k") + 1) / 2.0) / F.col("__all")).alias("w")), "v").select("a", "b", "w")
 
 
 def auroc(scores: DataFrame, keys: list[str], value: str, positive: Column) -> DataFrame:
@@ -290,7 +300,7 @@ def partner_auroc(net_a: DataFrame, net_b: DataFrame, pairs: DataFrame, bridge:
 def conservation(real: DataFrame, random: DataFrame) -> DataFrame:
     """Adds conservation to the real pairs: dense rank of auroc among real and random pairs over the largest rank."""
     both = real.withColumn("__real", F.lit(True)).unionByName(random.withColumn("__real", F.lit(False))).where("auroc is not null").withColumn("auroc", F.round("auroc", 9))
-    d = both.select("auroc").distinct().withColumn("__d", F.dense_rank().over(Window.orderBy("auroc")))
+    d = ranks.below(both.groupBy("auroc").agg(F.count("*").alias("n")), "auroc", "n", 3).select("auroc", (F.col("place") + 1).alias("__d"))
     top = d.agg(F.max("__d").alias("__t"))
     return both.where("__real").join(d, "auroc").crossJoin(F.broadcast(top)).select("gene_a", "gene_b", "auroc", (F.col("__d") / F.col("__t")).alias("conservation"))
 

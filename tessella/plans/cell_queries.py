@@ -193,7 +193,7 @@ def abundance_pct(spark, d):
 
 @query(
     "abundance_ratio",
-    f"""WITH {b.ORDER_OBS}, g AS (SELECT cell_state, sum((condition = 'F')::INT) AS a, sum((condition = 'O')::INT) AS c FROM oobs WHERE condition IN ('F', 'O') GROUP BY 1),
+    f"""WITH {b.ORDER_OBS}, g AS (SELECT cell_state, sum((condition = 'F')::INT) AS a, sum((condition = 'O')::INT) AS c FROM oobs GROUP BY 1),
 f AS (SELECT cell_state, a / sum(a) OVER () AS control, c / sum(c) OVER () AS case_ FROM g) SELECT cell_state, round(control, 6) AS control, round(case_, 6) AS "case", round((case_ + 0.001) / (control + 0.001), 6) AS ratio, round(log2((case_ + 0.001) / (control + 0.001)), 6) AS log2_ratio FROM f""",
 )
 def abundance_ratio(spark, d):

@@ -243,3 +243,44 @@ def test_bootstrap_fold_of_a_small_program(spark):
     genes = spark.createDataFrame([("small", "a"), ("small", "b")], "program string, gene string")
     (r,) = resample.bootstrap_fold(values, genes, "grp").collect()
     assert r.fc == pytest.approx((2.25 + 0.01) / (1.25 + 0.01))
+
+
+def test_fold_of_absent_states(spark):
+    rows = [("c", "d1", "A", 0.5), ("c", "d1", "B", 0.5), ("x", "d1", "A", 0.0), ("x", "d1", "B", 1.0), ("c", "d2", "A", 0.0), ("x", "d2", "A", 0.3)]
+    df = spark.createDataFrame(rows, "cond string, donor string, state string, share double")
+    got = {(r.cond, r.state): r.log2fc for r in groups.fold_vs_control(df, "cond", "donor", "state", "c").collect()}
+    assert got == {("x", "A"): float("-inf"), ("x", "B"): 1.0}
+    obs = spark.createDataFrame([("F", "A"), ("F", "A"), ("O", "B"), ("P", "C")], "sample string, state string")
+    got = {r.state: (r.control, r.case, r.log2_ratio) for r in groups.abundance_ratio(obs, "sample", "state", "F", "O").collect()}
+    assert got["C"] == (0.0, 0.0, 0.0) and got["A"][:2] == (1.0, 0.0)
+
+
+def test_bh_without_keys_and_ranks_in_ranges(spark):
+    rng = np.random.default_rng(4)
+    p = np.round(rng.random(3000) ** 3, 4).tolist() + [0.0, 1.0, 1.0]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(p)] + [(9999, None)], "i bigint, p double").repartition(5)
+    got = {r.i: r.fdr for r in stats.bh(df, "p").collect()}
+    order = np.argsort(p)
+    q = np.minimum.accumulate((np.array(p)[order] * len(p) / np.arange(1, len(p) + 1))[::-1])[::-1]
+    want = dict(zip(order.tolist(), np.minimum(q, 1).tolist(), strict=True))
+    # equal values share the largest place
+    assert got[9999] is None and all(abs(got[i] - min(want[j] for j in np.flatnonzero(np.array(p) == p[i]).tolist())) < 1e-9 for i in range(0, len(p), 37))
+    counts = df.where("p is not null").groupBy("p").count()
+    for r in ranks.below(counts, "p", "count").where("place % 50 = 0").collect():
+        assert r.below == sum(v < r.p for v in p) and r.place == len({v for v in p if v < r.p})
+
+
+def test_fisher_far_from_the_mean(spark):
+    from math import comb
+
+    from tessella.functions import tails
+
+    rows = [(8, 2, 1, 5), (0, 10, 12, 0), (300, 200, 250, 260), (3, 0, 0, 0), (0, 0, 0, 0), (1000, 2000, 1500, 1500), (50, 0, 0, 60)]
+    df = spark.createDataFrame(rows, "a bigint, b bigint, c bigint, d bigint")
+    for side in ("two", "greater", "less"):
+        for r in df.select("a", "b", "c", "d", tails.fisher_exact(F.col("a"), F.col("b"), F.col("c"), F.col("d"), side).alias("p")).collect():
+            row, col, n = r.a + r.b, r.a + r.c, r.a + r.b + r.c + r.d
+            prob = {x: comb(row, x) * comb(n - row, col - x) / comb(n, col) for x in range(max(0, row + col - n), min(row, col) + 1)}
+            here = prob[r.a]
+            want = sum(v for x, v in prob.items() if (v <= here * (1 + 1e-7) if side == "two" else x >= r.a if side == "greater" else x <= r.a))
+            assert abs(r.p - min(1, want)) <= 1e-6 * want, (r, side)
