@@ -319,16 +319,22 @@ def test_short_quotations_and_other_conversations(spark):
 
 def test_fixity(spark, tmp_path):
     pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://x/"), "id").alias("url"), F.repeat(F.concat(F.lit("<p>é"), "id"), 40).alias("html"))
-    odd = spark.createDataFrame([(None, None, None), (7, None, ""), (7, None, "")], "page_id bigint, url string, html string")
-    got = warc.fixity(pages.union(odd).withColumn("file", F.lit("clash"))).collect()
-    assert len(got) == 3003
-    tag = lambda p: "ff" if p is None else hashlib.md5(str(p).encode()).hexdigest()[:2]
-    assert all(x.status == {"00": "corrupt", "01": "missing"}.get(tag(x.page_id), "ok") for x in got)
-    assert {x.status for x in got} == {"ok", "corrupt", "missing"}
-    at = 0
+    odd = spark.createDataFrame([(None, None, None), (7, None, ""), (7, None, ""), (8, "long", "y" * 300_000)], "page_id bigint, url string, html string")
+    rows = warc.fixity(pages.union(odd).withColumn("file", F.lit("clash"))).collect()
+    tag = lambda p: "ff" if p is None else hashlib.md5(str(p).encode()).hexdigest()
+    got = [x for x in rows if x.status != "extra"]
+    assert len(got) == 3004
+    at = grown = 0
     for x in sorted(got, key=lambda x: x.offset):
         assert x.offset == at
         at += x.length
+        t = tag(x.page_id)
+        # behind the first record that has grown, or has another behind it, all others are found elsewhere
+        assert x.status == ("missing" if t[:2] == "01" else "corrupt" if t[:2] == "00" or t[:3] in ("020", "021") else "moved" if grown else "ok"), (x, grown)
+        grown += t[:3] in ("020", "021", "022", "023")
+    extra = sorted(x.page_id for x in rows if x.status == "extra")
+    assert grown and extra == sorted(-x.page_id - 1 for x in got if tag(x.page_id)[:3] in ("022", "023"))
+    got = {x.page_id: x for x in got}.values()
     recs = warc.records(pages.limit(50))
     warc.write_archive(recs, warc.manifest(recs), str(tmp_path / "w"))
     raw = b"".join(f.read_bytes() for f in sorted((tmp_path / "w").rglob("part-*")))
@@ -336,6 +342,21 @@ def test_fixity(spark, tmp_path):
     assert warc.fixity(pages.limit(0)).count() == 0
 
 
+def test_audit_descends_to_what_differs(spark):
+    """Two replicas with equal roots, and one with a byte inserted, a record moved, one gone and one of its own."""
+    schema = "page_id bigint, file bigint, offset bigint, length bigint, sha256 string"
+    ours = [(k, k % 2, 10 * (k // 2), 10, f"h{k}") for k in range(40_000)] + [(None, 0, 200_000, 10, "n"), (None, 0, 200_010, 10, "n")]
+    df = spark.createDataFrame(ours, schema)
+    assert warc.audit(df, df).where("status <> 'ok'").count() == 0
+    theirs = [r for r in ours if r[0] not in (10, 20_001)]
+    theirs = [(*r[:4], "other") if r[0] == 5000 else r for r in theirs]
+    theirs = [(r[0], r[1], 300_000, 10, r[4]) if r[0] == 31_000 else r for r in theirs] + [(77_777, 1, 400_000, 5, "own")]
+    got = {(r.page_id, r.status) for r in warc.audit(df, spark.createDataFrame(theirs, schema)).where("status <> 'ok'").collect()}
+    assert got == {(10, "missing"), (20_001, "missing"), (5000, "corrupt"), (31_000, "moved"), (77_777, "extra")}
+    none = df.limit(0)
+    assert {r.status for r in warc.audit(df.limit(5), none).collect()} == {"missing"} and warc.audit(none, df.limit(5)).where("status = 'extra'").count() == 5
+
+
 def test_archive_of_nulls_and_repeats(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "one"), (None, "n", "first"), (None, None, "second"), (None, None, None), (2, "v", "two é"), (2, "v", "two é"), (2, "v", "two é"), (2, "w", "other"), (None, "n", "first"), (3, None, "end")], "page_id bigint, url string, html string").repartition(3)
     recs = warc.records(pages)
