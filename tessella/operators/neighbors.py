@@ -36,22 +36,23 @@ def knn(queries: DataFrame, reference: DataFrame, k: int, metric: str = "euclide
     return local.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(*order))).where(F.col("rank") <= k).select("src", "dst", "dist", "rank")
 
 
-def knn_approximate(vectors: DataFrame, k: int, bucket: float, tables: int = 4, reach: float | None = None, seed: int = 0) -> DataFrame:
-    """src, dst, dist, rank among candidates that share a bucket of a random projection in at least one table."""
+def knn_approximate(vectors: DataFrame, k: int, bucket: float, tables: int = 4, reach: float | None = None, seed: int = 0, queries: DataFrame | None = None) -> DataFrame:
+    """src, dst, dist, rank among candidates that share a bucket of a random projection in at least one table; of all vectors, or of the queries among them."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
     v = vectors.select("id", array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(v)
-    p = model.approxSimilarityJoin(v, v, reach or 1e9, distCol="dist").select(F.col("datasetA.id").alias("src"), F.col("datasetB.id").alias("dst"), "dist").where("src <> dst")
+    q = v if queries is None else queries.select("id", array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
+    p = model.approxSimilarityJoin(q, v, reach or 1e9, distCol="dist").select(F.col("datasetA.id").alias("src"), F.col("datasetB.id").alias("dst"), "dist").where("src <> dst")
     return p.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))).where(F.col("rank") <= k)
 
 
-def knn_by_batch(vectors: DataFrame, batch: str, k: int) -> DataFrame:
-    """Neighbours balanced over batches: the k nearest of every batch.  vectors: id, vec, batch (few different ones)."""
+def knn_by_batch(vectors: DataFrame, batch: str, k: int, queries: DataFrame | None = None) -> DataFrame:
+    """Neighbours balanced over batches: the k nearest of every batch, of all vectors or of the queries.  vectors: id, vec, batch (few different ones)."""
     out = None
     for (b,) in vectors.select(batch).distinct().orderBy(batch).collect():
-        part = knn(vectors, vectors.where(F.col(batch).eqNullSafe(F.lit(b))), k).withColumn(batch, F.lit(b))
+        part = knn(vectors if queries is None else queries, vectors.where(F.col(batch).eqNullSafe(F.lit(b))), k).withColumn(batch, F.lit(b))
         out = part if out is None else out.union(part)
     return out
 

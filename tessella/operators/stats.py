@@ -329,6 +329,15 @@ def pair_changes(means: DataFrame, pvals: DataFrame, control, case, up_list: Dat
     return x.join(F.broadcast(known), "pair", "left").select("pair", "cells", F.log2((F.col("m1") + pseudo) / (F.col("m0") + pseudo)).alias("log2fc"), "direction", F.when(F.col("__a") == 1, "A").otherwise("I").alias("kind"))
 
 
+def response_columns(tables: dict[str, DataFrame], key: str) -> DataFrame:
+    """key and one column a table, named after it, of (key, value) tables: a full outer join, absent values are null."""
+    out = None
+    for name, df in tables.items():
+        d = df.select(key, F.col("value").alias(name))
+        out = d if out is None else out.join(d, key, "full")
+    return out
+
+
 def pair_lookup(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Rows of a cell pair in either order, with sender and receiver columns split from cells ("x|y")."""
     s = F.split("cells", r"\|")

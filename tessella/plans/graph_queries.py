@@ -57,11 +57,14 @@ def knn_cosine(spark, d):
 @query("knn_by_batch", f"WITH {DIST} SELECT src, dst, round(dist, 6) AS dist, label AS batch FROM pairs JOIN embeddings ON vec_id = dst QUALIFY row_number() OVER (PARTITION BY src, label ORDER BY dist, dst) <= 2")
 def knn_by_batch(spark, d):
     e = b.embeddings(spark, d)
-    out = None
-    for (x,) in e.select("label").distinct().orderBy("label").collect():
-        part = neighbors.knn(e.where("id % 100 = 0"), e.where(F.col("label") == x), 2).select("src", "dst", "dist", F.lit(x).alias("batch"))
-        out = part if out is None else out.union(part)
-    return out
+    return neighbors.knn_by_batch(e, "label", 2, e.where("id % 100 = 0")).select("src", "dst", "dist", F.col("label").alias("batch"))
+
+
+@query("knn_approximate")
+def knn_approximate(spark, d):
+    """Neighbours by random projections of every hundredth vector among all; tests hold them against the exact ones."""
+    e = b.embeddings(spark, d)
+    return neighbors.knn_approximate(e, 5, 2.0, 8, queries=e.where("id % 100 = 0"))
 
 
 GRAPH = """e AS (SELECT DISTINCT least(o_custkey, l_suppkey) AS src, greatest(o_custkey, l_suppkey) AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey <> l_suppkey),

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import tails
-from ..operators import groups, linear, ranks, resample, sets, stats
+from ..operators import classify, groups, linear, ranks, resample, sets, stats
 from ..operators.settle import settle
 from . import bindings as b
 from .catalog import query
@@ -407,3 +407,68 @@ def random_pairs(spark, d):
 def chi2_tail_table(spark, d):
     x = b.table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("k")).agg((F.avg("l_quantity") / 10).alias("x"))
     return x.select("k", tails.chi2_sf(F.col("x"), 4).alias("p4"))
+
+
+# ---------------------------------------------------------------- small forms
+
+
+@query(
+    "significant_genes",
+    f"""{M}{RANKSUM}, p AS (SELECT *, {b.two_sided_sql('z')} AS p FROM t), q AS (SELECT *, p * count(*) OVER () / rank_ AS raw FROM (SELECT *, count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS rank_ FROM p)),
+f AS (SELECT gene, log2fc, least(1, min(raw) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)) AS fdr FROM q) SELECT (fdr < 0.98) AS low, count(*) AS n FROM f WHERE abs(log2fc) > 0.5 AND fdr < 0.999 GROUP BY 1""",
+)
+def significant_genes(spark, d):
+    t = stats.significant(stats.differential(b.expr(spark, d), _two_groups(spark, d)), 0.999, 0.5)
+    return t.groupBy((F.col("fdr") < 0.98).alias("low")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "response_columns",
+    """WITH x AS (SELECT c_nationkey AS k, avg(c_acctbal) AS v FROM customer WHERE c_nationkey < 15 GROUP BY 1), y AS (SELECT s_nationkey AS k, avg(s_acctbal) AS v FROM supplier WHERE s_nationkey > 5 GROUP BY 1), z AS (SELECT n_nationkey AS k, n_regionkey::DOUBLE AS v FROM nation WHERE n_nationkey % 2 = 0)
+SELECT k AS state, round(x.v, 6) AS customers, round(y.v, 6) AS suppliers, round(z.v, 6) AS region FROM x FULL JOIN y USING (k) FULL JOIN z USING (k)""",
+)
+def response_columns(spark, d):
+    x = b.table(spark, d, "customer").where("c_nationkey < 15").groupBy(F.col("c_nationkey").alias("state")).agg(F.avg("c_acctbal").alias("value"))
+    y = b.table(spark, d, "supplier").where("s_nationkey > 5").groupBy(F.col("s_nationkey").alias("state")).agg(F.avg("s_acctbal").alias("value"))
+    z = b.table(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("state"), F.col("n_regionkey").cast("double").alias("value"))
+    return stats.response_columns({"customers": x, "suppliers": y, "region": z}, "state")
+
+
+@query("discount_product", "SELECT l_orderkey, round(exp(sum(ln(1 - l_discount / 3))), 6) AS product FROM lineitem GROUP BY 1")
+def discount_product(spark, d):
+    return groups.product(b.table(spark, d, "lineitem").select("l_orderkey", (1 - F.col("l_discount") / 3).alias("x")), ["l_orderkey"], "x")
+
+
+@query("prediction_votes", f"WITH {b.ORDER_OBS}, n AS (SELECT condition, replicate, cell_state, count(*) AS n FROM oobs GROUP BY 1, 2, 3) SELECT *, round(n / sum(n) OVER (PARTITION BY condition, replicate), 6) AS share FROM n")
+def prediction_votes(spark, d):
+    return classify.prediction_votes(b.order_obs(spark, d), "condition", "replicate", "cell_state")
+
+
+@query(
+    "pair_lookup",
+    "WITH x AS (SELECT o_orderstatus || '|' || o_orderpriority[1:1] AS cells, count(*) AS n FROM orders GROUP BY 1) SELECT cells, n, string_split(cells, '|')[1] AS sender, string_split(cells, '|')[2] AS receiver FROM x WHERE cells IN ('F|1', '1|F')",
+)
+def pair_lookup(spark, d):
+    x = b.table(spark, d, "orders").groupBy(F.concat_ws("|", "o_orderstatus", F.substring("o_orderpriority", 1, 1)).alias("cells")).agg(F.count("*").alias("n"))
+    return stats.pair_lookup(x, "1", "F")
+
+
+@query("overlap_parts", "SELECT p_partkey, p_size::INT AS n, (p_partkey % 7)::INT AS size, round(p_size / nullif(p_partkey % 7, 0), 6) AS share FROM part")
+def overlap_parts(spark, d):
+    p = b.table(spark, d, "part").select("p_partkey", F.concat_ws("/", "p_size", F.col("p_partkey") % 7).alias("o"))
+    return p.select("p_partkey", stats.overlap_parts(F.col("o")).alias("x")).select("p_partkey", "x.*")
+
+
+@query(
+    "ribbon_bands",
+    "WITH g AS (SELECT l_partkey, string_agg(DISTINCT l_returnflag, '+' ORDER BY l_returnflag) AS signature, count(DISTINCT l_returnflag) AS k FROM lineitem GROUP BY 1), n AS (SELECT signature, any_value(k)::INT AS n_groups, count(*) AS n_genes FROM g GROUP BY 1) SELECT *, lead(n_genes) OVER (ORDER BY signature) AS next_n FROM n",
+)
+def ribbon_bands(spark, d):
+    m = b.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("grp"), F.col("l_partkey").alias("gene"))
+    return sets.ribbon(sets.exclusive_membership(m, "grp"), "signature")
+
+
+@query("united_genes", "SELECT count(*) AS n FROM (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' UNION SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+def united_genes(spark, d):
+    l = b.table(spark, d, "lineitem").select(F.col("l_partkey").alias("gene"), "l_returnflag")
+    return sets.union_genes(l.where("l_returnflag = 'A'"), l.where("l_returnflag = 'R'")).agg(F.count("*").alias("n"))

@@ -284,3 +284,24 @@ def test_fisher_far_from_the_mean(spark):
             here = prob[r.a]
             want = sum(v for x, v in prob.items() if (v <= here * (1 + 1e-7) if side == "two" else x >= r.a if side == "greater" else x <= r.a))
             assert abs(r.p - min(1, want)) <= 1e-6 * want, (r, side)
+
+
+def test_approximate_neighbours_recall(spark):
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").selectExpr("vec_id id", "embedding vec")
+    q = e.where("id % 10 = 0")
+    exact = {(r.src, r.dst) for r in neighbors.knn(q, e, 5).collect()}
+    found = {(r.src, r.dst) for r in neighbors.knn_approximate(e, 5, 2.0, 8, queries=q).collect()}
+    assert len(exact) == 5 * q.count() and len(exact & found) >= 0.9 * len(exact)
+
+
+def test_coupled_genes(spark):
+    rng = np.random.default_rng(9)
+    base = rng.poisson(3, 60)
+    x = np.stack([base + rng.poisson(0.3, 60) for _ in range(5)] + [rng.poisson(3, 60) for _ in range(3)], axis=1).astype(float)
+    e = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(60) for j in range(8) if x[i, j]], "cell_id bigint, gene bigint, count double")
+    r = np.corrcoef(x.T)
+    listed = spark.createDataFrame([(j,) for j in range(8)], "gene bigint")
+    got = {g.gene for g in matrix.keep_coupled(e, "count", listed, 60, 0.6, 3).collect()}
+    assert got == {j for j in range(8) if ((np.abs(r[j]) > 0.6).sum() - 1) > 3}
+    seed = spark.createDataFrame([(0,)], "gene bigint")
+    assert {g.gene for g in matrix.correlated_genes(e, "count", seed, 60, 0.6).collect()} == {j for j in range(8) if abs(r[0, j]) > 0.6}
