@@ -434,9 +434,9 @@ def response_columns(spark, d):
     return stats.response_columns({"customers": x, "suppliers": y, "region": z}, "state")
 
 
-@query("discount_product", "SELECT l_orderkey, round(exp(sum(ln(1 - l_discount / 3))), 6) AS product FROM lineitem GROUP BY 1")
+@query("discount_product", "SELECT l_orderkey, round(exp(sum(ln(1 - l_discount * 0.7310585786))), 6) AS product FROM lineitem GROUP BY 1")
 def discount_product(spark, d):
-    return groups.product(b.table(spark, d, "lineitem").select("l_orderkey", (1 - F.col("l_discount") / 3).alias("x")), ["l_orderkey"], "x")
+    return groups.product(b.table(spark, d, "lineitem").select("l_orderkey", (1 - F.col("l_discount") * 0.7310585786).alias("x")), ["l_orderkey"], "x")
 
 
 @query("prediction_votes", f"WITH {b.ORDER_OBS}, n AS (SELECT condition, replicate, cell_state, count(*) AS n FROM oobs GROUP BY 1, 2, 3) SELECT *, round(n / sum(n) OVER (PARTITION BY condition, replicate), 6) AS share FROM n")
