@@ -5,28 +5,32 @@ Jaccard similarity of their sets reaches the threshold.  The join finds the
 classes of documents that links connect, in steps that all run on DataFrames
 keyed by the hash of a whole set (equal sets are one node):
 
-1. Global order.  An inverted index of all n-grams, dealt out by n-gram, says
-   how many sets hold each.  An n-gram becomes a 64-bit key whose first byte
-   grows with that number, so keys sort rarest first, the same in every set.
-   n-grams of one set alone take part in no overlap and go; a set that keeps
-   fewer n-grams than any link needs goes too.
-2. Shards.  Linked sets share one of their first size - need + 1 keys.  Sets
+1. Sieve.  Of the first so many n-grams of a set in hash order, linked sets
+   have a known number in common.  An index of those n-grams alone says how
+   many of them another set has too; sets with fewer than any link needs go.
+2. Global order.  An inverted index of all n-grams of the other sets, dealt
+   out by n-gram, says how many sets hold each.  An n-gram becomes a 64-bit
+   key whose first byte grows with that number, so keys sort rarest first, the
+   same in every set.  n-grams of one set alone take part in no overlap and
+   go; a set that keeps fewer n-grams than any link needs goes too.
+3. Shards.  Linked sets share one of their first size - need + 1 keys.  Sets
    with a common key there are tied by star edges (never pairs), made first
    within a task; what these edges connect is a shard.
-3. Trie join.  Inside a shard, cut into blocks of bounded size, the ordered
+4. Trie join.  Inside a shard, cut into blocks of bounded size, the ordered
    sets are walked as a trie: a path keeps the overlap with every other set,
    sets with a common beginning share it, and a subtree is left as soon as no
    partner can reach the bound with what remains of the path.  Sets that are
    connected already aren't compared again.  Overlaps are counted in full, so
    links are exact.  Blocks are joined within themselves first, then with
    each other.
-4. Components over these links.
+5. Components over these links.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +46,10 @@ BLOCK_NGRAMS = 400_000
 FLUSH = 1_000_000
 #: An n-gram that so many of the sets of one flush hold is counted as frequent.
 FREQUENT = 16
+#: Sets in one flush at most, so that two bytes number them.
+FLUSH_SETS = 65_000
+#: Share of a set's n-grams that must be common to the sieved n-grams of linked sets.
+HOLD = Fraction(3, 10)
 #: First byte of the key of frequent n-grams.
 LAST = 255
 LOW = U((1 << 56) - 1)
@@ -169,6 +177,99 @@ def _runs(it: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[list[tuple]]:
         yield rows
 
 
+def _hold(n: int) -> int:
+    return max(1, -(-HOLD.numerator * n // HOLD.denominator))
+
+
+def sieve(docs: DataFrame, n: int, num: int, den: int, often: np.ndarray, total: int) -> DataFrame:
+    """set_id of the sets that may link with another; some copies of others pass too.
+
+    Linked sets of a and b n-grams have min(_hold(a), _hold(b)) or more in
+    common among their first size - need + _hold(size) n-grams in hash order.
+    A posting is five bytes of the n-gram and two that number its set in the
+    flush; counts go back to the flush, which has the names of its sets.
+    """
+    spark = docs.sparkSession
+    parts = common.partitions(spark)
+    buckets = max(parts, total // FLUSH)
+    load = spark.sparkContext.broadcast(often)
+    names = ["bucket", "flush", "node", "count", "item"]
+    schema = "bucket int, flush bigint, node binary, count binary, item binary"
+
+    def row(bucket, flush, node, count, item):
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(flush, pa.int64()), *(pa.array(x, pa.binary()) for x in (node, count, item))], names)
+
+    def cut(it):
+        known, seen, held = load.value, {}, 0
+
+        def flush():
+            node = np.fromiter(seen, dtype=np.int64, count=len(seen))
+            size = np.array([len(s) for s in seen.values()], dtype=np.int64)
+            # the same rows make the same flush again, should the task be repeated
+            name = int(mix(node.astype(U) + np.arange(len(node), dtype=U) * common.BASE).sum(keepdims=True).astype(np.int64)[0])
+            first = [s[: min(len(s), len(s) - _need(len(s), num, den) + _hold(len(s)))] for s in seen.values()]
+            flat, owner = np.concatenate(first), np.repeat(np.arange(len(node)), [len(s) for s in first])
+            top = np.isin(flat, known)
+            least = np.array([_hold(int(_need(k, num, den))) for k in size.tolist()]) - np.bincount(owner[top], minlength=len(node))
+            yield row([name % buckets], [name], [node.tobytes()], [least.astype(np.int32).tobytes()], [None])
+            gram, owner = mix(flat[~top]), owner[~top].astype(np.uint16)
+            where = _place(gram, buckets)
+            order = np.argsort(where, kind="stable")
+            where, gram, owner = where[order], gram[order], owner[order]
+            used, at = np.unique(where, return_index=True)
+            at = np.append(at, len(where))
+            low = np.ascontiguousarray(gram.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+            yield row(used.astype(np.int32), [name] * len(used), [None] * len(used), [owner[a:b].tobytes() for a, b in zip(at, at[1:])], [low[a:b].tobytes() for a, b in zip(at, at[1:])])
+
+        for batch in it:
+            for _, part in chunks(batch.column(0)):
+                for s in _sets(part, n):
+                    k = _set_id(s)
+                    if len(s) and k not in seen:
+                        seen[k] = s
+                        held += len(s)
+                    if held > FLUSH or len(seen) >= FLUSH_SETS:
+                        yield from flush()
+                        seen, held = {}, 0
+        if held:
+            yield from flush()
+
+    def count(it):
+        for rows in _runs(it):
+            back, dealt = [r for r in rows if r[2] is not None], [r for r in rows if r[2] is None]
+            for _, name, node, least, _ in back:
+                yield row([name % buckets], [name], [node], [least], [None])
+            if dealt:
+                raw = np.concatenate([np.frombuffer(r[4], dtype=np.uint8).reshape(-1, 5) for r in dealt])
+                wide = np.zeros((len(raw), 8), dtype=np.uint8)
+                wide[:, :5] = raw
+                _, inv, times = np.unique(wide.view("<u8").ravel(), return_inverse=True, return_counts=True)
+                shared, lo = times[inv] > 1, 0
+                out: tuple[list, ...] = ([], [], [])
+                for _, name, _, owner, _ in dealt:
+                    owner = np.frombuffer(owner, dtype=np.uint16)
+                    who, found = np.unique(owner[shared[lo : lo + len(owner)]], return_counts=True)
+                    lo += len(owner)
+                    if len(who):
+                        for o, v in zip(out, (name, who.tobytes(), found.astype(np.uint32).tobytes()), strict=True):
+                            o.append(v)
+                if out[0]:
+                    yield row([x % buckets for x in out[0]], out[0], [None] * len(out[0]), out[1], out[2])
+
+    def gather(it):
+        for rows in _runs(it, 2):
+            heads = [r for r in rows if r[2] is not None]
+            left = np.frombuffer(heads[0][3], dtype=np.int32).astype(np.int64)
+            for _, _, node, who, found in rows:
+                if node is None:
+                    left[np.frombuffer(who, dtype=np.uint16)] -= np.frombuffer(found, dtype=np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(heads[0][2], dtype=np.int64)[left <= 0])], ["set_id"])
+
+    index = docs.select("text").where("text is not null").mapInArrow(cut, schema)
+    counted = index.repartition(min(parts, buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(count, schema)
+    return counted.repartition(min(parts, buckets), "bucket").sortWithinPartitions("bucket", "flush").mapInArrow(gather, "set_id bigint").distinct()
+
+
 def ordered_sets(docs: DataFrame, n: int, num: int, den: int, often: np.ndarray, total: int) -> DataFrame:
     """set_id, n_shingles, keys: the sets that share enough n-grams with others to link with any, in the global order.
 
@@ -465,8 +566,8 @@ def links(members: DataFrame, num: int, den: int) -> DataFrame:
     named = m.join(sides, ["comp", "block"]).where("place >= low and place <= high").join(inner.withColumnRenamed("u", "set_id"), "set_id", "left")
     dealt = named.select("comp", "a", "b", "block", "set_id", "n_shingles", "keys", F.coalesce("v", "set_id").alias("label")).repartition(parts, "comp", "a", "b").sortWithinPartitions("comp", "a", "b")
     found = common.materialize(inner.union(dealt.mapInArrow(between, edge)), "jaccard-found")
-    common.drop_table(m)
-    common.drop_table(inner)
+    for table in (m, inner):
+        common.drop_table(table)
     return found
 
 
@@ -478,14 +579,19 @@ def _classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Da
     both = common.materialize(profile(docs, n), "jaccard-profile")
     prof = both.where("set_id is not null").drop("often", "times")
     total = prof.agg(F.sum("n_shingles")).first()[0] or 0
-    sets = prof.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")).alias("rep"))
-    ordered = common.materialize(ordered_sets(docs, n, num, den, frequent(both, total), total), "jaccard-ordered")
+    sets = prof.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")).alias("rep"), F.max("n_shingles").alias("n_shingles"))
+    often = frequent(both, total)
+    passed = common.materialize(sieve(docs, n, num, den, often, total), "jaccard-sieve")
+    kept = common.materialize(sets.join(passed, "set_id").select("rep.text_hash", "n_shingles"), "jaccard-kept")
+    left = kept.agg(F.sum("n_shingles")).first()[0] or 0
+    src = common.might_match(docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("__th")), "__th", kept.select("text_hash"))
+    ordered = common.materialize(ordered_sets(src.select("text"), n, num, den, often, left), "jaccard-ordered")
     near = common.components(candidates(ordered, num, den), "jaccard-near")
     found = links(ordered.join(near.select(F.col("node").alias("set_id"), F.col("root").alias("comp")), "set_id"), num, den)
     linked = common.components(found, "jaccard-links").select(F.col("node").alias("set_id"), "root")
-    for table in (ordered, near, found):
+    for table in (passed, kept, ordered, near, found):
         common.drop_table(table)
-    return prof, sets.join(linked, "set_id", "left")
+    return prof, sets.select("set_id", "low", "rep").join(linked, "set_id", "left")
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
