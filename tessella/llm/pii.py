@@ -194,7 +194,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
     fit = common.materialize(fit, "pii-fit")
     hit = follows(one.select("doc_id", "text_hash", "marked"), good.select("pattern")).where(~F.contains("word", F.lit(MARK)))
     hit = hit.join(good, "pattern", "left_semi").withColumn("instance", F.lower(_core(F.col("word")))).join(fit, "instance", "left_semi")
-    places = hit.groupBy("doc_id", "text_hash").agg(F.collect_set("i").alias("places"))
+    places = common.materialize(hit.groupBy("doc_id", "text_hash").agg(F.collect_set("i").alias("places")), "pii-places")
+    for table in (known, seen, induced, edges, good, fit):
+        common.drop_table(table)
     o, m = one.alias("o"), places.alias("m")
     both = o.join(m, F.col("o.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("o.text_hash") == F.col("m.text_hash")), "left").select("o.*", "places")
 
