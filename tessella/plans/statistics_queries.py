@@ -355,8 +355,11 @@ me AS (SELECT iter, brand AS set_name, pos, nn, abs(score) AS w FROM po JOIN gen
 mh AS (SELECT *, CASE WHEN whole > 0 THEN w / whole ELSE 1.0 / n END AS v FROM mw WHERE n BETWEEN 2 AND 300), mr AS (SELECT *, sum(v) OVER (PARTITION BY iter, set_name ORDER BY pos ROWS UNBOUNDED PRECEDING) - (pos - k) / greatest(1, nn - n) AS after FROM mh),
 es AS (SELECT iter, set_name, any_value(n) AS size, round(CASE WHEN max(after) >= -min(after - v) THEN max(after) ELSE min(after - v) END, 9) AS es FROM mr GROUP BY 1, 2), re AS (SELECT set_name, size, es FROM es WHERE iter = -1),
 st AS (SELECT set_name, sum((sign(e.es) = sign(re.es))::INT) AS ns, sum((sign(e.es) = sign(re.es) AND abs(e.es) >= abs(re.es))::INT) AS nb, avg(CASE WHEN sign(e.es) = sign(re.es) THEN abs(e.es) END) AS m FROM es e JOIN re USING (set_name) WHERE iter >= 0 GROUP BY 1),
-pv AS (SELECT set_name, size, es, es / m AS nes, (nb + 1) / (ns + 1) AS p FROM re JOIN st USING (set_name)), pq AS (SELECT *, count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS r, count(*) OVER () AS mm FROM pv)
-SELECT set_name, size, round(es, 6) AS es, round(nes, 6) AS nes, round(p, 6) AS p, round(least(1, min(p * mm / r) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)), 6) AS fdr FROM pq""",
+pv AS (SELECT set_name, size, es, round(es / m, 9) AS nes, (nb + 1) / (ns + 1) AS p FROM re JOIN st USING (set_name)), sd AS (SELECT set_name, avg(CASE WHEN es >= 0 THEN abs(es) END) AS up, avg(CASE WHEN es < 0 THEN abs(es) END) AS dn FROM es WHERE iter >= 0 GROUP BY 1),
+nv AS (SELECT iter, round(es / CASE WHEN es >= 0 THEN up ELSE dn END, 9) AS v FROM es JOIN sd USING (set_name) WHERE iter >= 0), mx AS (SELECT iter, max(v) AS hi, min(v) AS lo FROM nv GROUP BY 1),
+fw AS (SELECT set_name, avg((CASE WHEN nes >= 0 THEN hi >= nes ELSE lo <= nes END)::INT) AS fwer FROM pv, mx GROUP BY 1), nf AS (SELECT set_name, sum((CASE WHEN nes >= 0 THEN v >= nes ELSE v <= nes END)::INT) / sum(((v >= 0) = (nes >= 0))::INT) AS a FROM pv, nv GROUP BY 1),
+rf AS (SELECT x.set_name, sum((CASE WHEN x.nes >= 0 THEN y.nes >= x.nes ELSE y.nes <= x.nes END)::INT) / sum(((y.nes >= 0) = (x.nes >= 0))::INT) AS b FROM pv x, pv y GROUP BY 1), pq AS (SELECT *, count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS r, count(*) OVER () AS mm FROM pv)
+SELECT set_name, size, round(es, 6) AS es, round(nes, 6) AS nes, round(p, 6) AS p, round(fwer, 6) AS fwer, round(least(1, a / b), 6) AS nes_fdr, round(least(1, min(p * mm / r) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)), 6) AS fdr FROM pq JOIN fw USING (set_name) JOIN nf USING (set_name) JOIN rf USING (set_name)""",
 )
 def prerank_permutations(spark, d):
     r = b.expr(spark, d).groupBy("gene").agg((F.sum("count") - 500).alias("score"))
