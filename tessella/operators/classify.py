@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import draws
+
 
 def max_likelihood(expr: DataFrame, profiles: DataFrame, pseudo: float = 0.1, target: float = 1e4) -> DataFrame:
     """cell_id, label, loglik: sum of count * log10 of the label's gene probability, for every cell and label with a common gene.
@@ -56,7 +58,7 @@ def significant_components(table: DataFrame, value: str, key: str, feature: str,
         full = cells.crossJoin(F.broadcast(features)).join(table, [key, feature], "left").withColumn(value, F.coalesce(F.col(value).cast("double"), F.lit(0.0)))
         w = Window.partitionBy(feature)
         a = full.select(key, feature, F.row_number().over(w.orderBy(key)).alias("__k"))
-        b = full.select(feature, value, F.row_number().over(w.orderBy(F.xxhash64(key, feature, F.lit(seed + i)), key)).alias("__k"))
+        b = full.select(feature, value, F.row_number().over(w.orderBy(draws.ticket(key, feature, seed + i), key)).alias("__k"))
         _, null = principal_components(vectors(a.join(b, [feature, "__k"]), key, feature, value, features), 1)
         top = max(top, float(null.explainedVariance[0]))
     return sum(float(v) > top for v in real.explainedVariance)
@@ -107,8 +109,8 @@ def simulate_doublets(expr: DataFrame, obs: DataFrame, batch: str, ratio: float
     ranked = obs.select("cell_id", batch, (F.row_number().over(w.orderBy("cell_id")) - 1).alias("__k"), F.count("*").over(w).alias("__n"))
     n = obs.groupBy(batch).agg(F.count("*").alias("__n"), F.min("cell_id").alias("__first"))
     sim = n.select(batch, "__n", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), (F.col("__n") * ratio).cast("int")))).alias("i"))
-    pick = lambda s: F.pmod(F.xxhash64(batch, "i", F.lit(seed), F.lit(s)), F.col("__n"))
-    sim = sim.select(batch, (-F.abs(F.xxhash64(batch, "i"))).alias("cell_id"), F.explode(F.array(pick(1), pick(2))).alias("__k"))
+    pick = lambda s: draws.number(batch, "i", seed, s) % F.col("__n")
+    sim = sim.select(batch, (-draws.number(batch, "i", seed) - 1).alias("cell_id"), F.explode(F.array(pick(1), pick(2))).alias("__k"))
     parents = sim.join(ranked.select(batch, "__k", F.col("cell_id").alias("parent")), [batch, "__k"])
     return parents.join(expr.select(F.col("cell_id").alias("parent"), "gene", "count"), "parent").groupBy("cell_id", batch, "gene").agg(F.sum("count").alias("count"))
 
@@ -124,7 +126,7 @@ def matched_score(expr: DataFrame, cells: DataFrame, genes: DataFrame, moments:
     m = moments.withColumn("bin", F.ntile(bins).over(Window.orderBy("mean", "gene")))
     mine = m.join(genes.select("gene"), "gene", "left_semi")
     pool = m.join(genes.select("gene"), "gene", "left_anti").join(mine.select("bin").distinct(), "bin", "left_semi")
-    ctrl = pool.withColumn("__k", F.row_number().over(Window.partitionBy("bin").orderBy(F.xxhash64("gene", F.lit(seed)), "gene"))).where(F.col("__k") <= controls).select("gene")
+    ctrl = pool.withColumn("__k", F.row_number().over(Window.partitionBy("bin").orderBy(draws.ticket("gene", seed), "gene"))).where(F.col("__k") <= controls).select("gene")
     both = mine.select("gene", F.lit(1).alias("w")).union(ctrl.select("gene", F.lit(0).alias("w")))
     n = both.agg(F.sum("w").alias("n1"), F.sum(1 - F.col("w")).alias("n0"))
     s = expr.join(F.broadcast(both), "gene").groupBy("cell_id").agg(F.sum(F.col(value) * F.col("w")).alias("s1"), F.sum(F.col(value) * (1 - F.col("w"))).alias("s0"))

@@ -71,13 +71,19 @@ def barcode_correct_unique(spark, d):
     return reads.correct(r, "bc", reads.correction_table(_whitelist(spark, d)), "barcode").groupBy("barcode").agg(F.count("*").alias("n"))
 
 
-@query("read_outcomes")
+@query(
+    "read_outcomes",
+    f"""{R}, x AS (SELECT read_id, tag[1:3] AS r3, r1[1:6] || (r1 || seq[1:6])[22:27] AS bc1, r1[1:6] || r1[11:16] AS bc2 FROM reads), ok AS (SELECT * FROM x WHERE r3 <> 'vie' AND read_id % 3 <> 0), w1 AS (SELECT DISTINCT bc1 AS w FROM ok), w2 AS (SELECT DISTINCT bc2 AS w FROM ok),
+h1 AS (SELECT bc1, w, hamming(bc1, w) AS h FROM (SELECT DISTINCT bc1 FROM x), w1 WHERE h <= 1), n1 AS (SELECT bc1 FROM (SELECT bc1, h, min(h) OVER (PARTITION BY bc1) AS lo FROM h1) WHERE h = lo GROUP BY 1 HAVING count(*) = 1),
+h2 AS (SELECT bc2, w, hamming(bc2, w) AS h FROM (SELECT DISTINCT bc2 FROM x), w2 WHERE h <= 1), n2 AS (SELECT bc2 FROM (SELECT bc2, h, min(h) OVER (PARTITION BY bc2) AS lo FROM h2) WHERE h = lo GROUP BY 1 HAVING count(*) = 1),
+o AS (SELECT nullif(r3, 'vie') AS library, CASE WHEN r3 = 'vie' THEN 'no_index' WHEN bc1 NOT IN (SELECT bc1 FROM n1) THEN 'bad_bc1' WHEN bc2 NOT IN (SELECT bc2 FROM n2) THEN 'bad_bc2' ELSE 'ok' END AS outcome FROM x) SELECT library, outcome, count(*) AS n FROM o GROUP BY 1, 2""",
+)
 def read_outcomes(spark, d):
-    r = b.reads(spark, d).select(F.substring("r1", 1, 8).alias("r2"), F.substring("tag", 1, 3).alias("r3"), F.concat("r1", F.substring("seq", 1, 6)).alias("r4"))
-    known = r.where("r3 <> 'vie'")  # barcodes seen with another index are known
+    r = b.reads(spark, d).select("read_id", F.substring("r1", 1, 8).alias("r2"), F.substring("tag", 1, 3).alias("r3"), F.concat("r1", F.substring("seq", 1, 6)).alias("r4"))
+    known = r.where("r3 <> 'vie'")  # barcodes seen with another index are known, but for those of every third read
     tags = known.select(F.col("r3").alias("seq"), F.col("r3").alias("barcode")).distinct()
-    allowed = lambda c: reads.parse_structure(known).select(F.col(c).alias("seq"), F.col(c).alias("barcode")).distinct()
-    return reads.outcome_counts(reads.read_outcome(r, tags, allowed("bc1"), allowed("bc2")))
+    allowed = lambda c: reads.correction_table(reads.parse_structure(known.where("read_id % 3 <> 0")).select(F.col(c).alias("barcode")).distinct(), 1)
+    return reads.outcome_counts(reads.read_outcome(r.drop("read_id"), tags, allowed("bc1"), allowed("bc2")))
 
 
 @query("tag_search", f"{R}, {WL}, k AS (SELECT read_id, i, substr(r1, i, 5) AS s FROM reads, range(1, 29) t(i)), h AS (SELECT read_id, arg_min(barcode, i) AS tag FROM k JOIN wl ON s = barcode GROUP BY 1) SELECT tag, count(*) AS n FROM h GROUP BY 1")

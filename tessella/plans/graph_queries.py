@@ -100,12 +100,30 @@ def state_graph_tree(spark, d):
     return neighbors.maximum_spanning_tree(neighbors.state_graph(_graph(spark, d), _states(spark, d), "t"))
 
 
-@query("label_propagation")
+def _propagated(rounds: int) -> str:
+    """Common table expressions p0, p1, ... with the labels after each round."""
+    out = "adj AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), p0 AS (SELECT DISTINCT src AS id, src AS cluster FROM adj)"
+    for k in range(1, rounds + 1):
+        out += f""", v{k} AS (SELECT id, cluster, count(*) AS n FROM (SELECT adj.src AS id, cluster FROM adj JOIN p{k - 1} p ON p.id = adj.dst UNION ALL SELECT id, cluster FROM p{k - 1}) GROUP BY 1, 2),
+p{k} AS (SELECT id, cluster FROM v{k} QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, cluster) = 1)"""
+    return out
+
+
+@query(
+    "label_propagation",
+    f"""WITH {GRAPH}, {_propagated(4)}, dk AS (SELECT cluster, count(*) AS k FROM adj JOIN p4 ON id = src GROUP BY 1), di AS (SELECT a.cluster, count(*) AS l FROM e JOIN p4 a ON a.id = src JOIN p4 c ON c.id = dst WHERE a.cluster = c.cluster GROUP BY 1), m AS (SELECT count(*) AS m FROM e)
+SELECT round(sum(coalesce(l, 0) / m - (k / (2.0 * m)) ** 2), 6) AS modularity FROM dk LEFT JOIN di USING (cluster), m""",
+)
 def label_propagation(spark, d):
     e = settle(_graph(spark, d))
     return neighbors.modularity(e, neighbors.label_propagation(e, 4))
 
 
+@query("propagated_clusters", f"WITH {GRAPH}, {_propagated(3)} SELECT id, cluster FROM p3")
+def propagated_clusters(spark, d):
+    return neighbors.label_propagation(settle(_graph(spark, d)), 3)
+
+
 @query(
     "modularity",
     f"""WITH {GRAPH}, k AS (SELECT t, count(*) AS k FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) JOIN t USING (id) GROUP BY 1), l AS (SELECT a.t, count(*) AS l FROM e JOIN t a ON a.id = src JOIN t c ON c.id = dst WHERE a.t = c.t GROUP BY 1), m AS (SELECT count(*) AS m FROM e)
