@@ -38,9 +38,9 @@ def test_pipeline(spark):
                     x, y = sorted((find(a), find(b)))
                     f[y] = x
     left = [d for d in left if find(d.doc_id) == d.doc_id]
-    items = [(r.item_id, r.text.encode()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    items = [(r.item_id, decontam.words(r.text.encode())) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     scan = decontam.Scanner(items, 10)
-    left = [d for d in left if not scan.scan(d.text.encode())[2]]
+    left = [d for d in left if not scan.scan(decontam.words(d.text.encode()))[1]]
     path = P.path("byte_bpe_multi_50k.tiktoken")
     tok = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
     found = {r.doc_id: r for r in pii.find_pii(src).collect()}
