@@ -85,23 +85,29 @@ def fisher_exact(a: Column, b: Column, c: Column, d: Column, side: str = "two")
     """
     a, b, c, d = (x.cast("bigint") for x in (a, b, c, d))
     row, col, n = a + b, a + c, a + b + c + d
-    mean = row * col / n
-    wide = 40 * F.sqrt(F.greatest(mean * (1 - row / n) * (n - col) / F.greatest(n - 1, F.lit(1)), F.lit(0.0))) + 40
+    some = F.greatest(n, F.lit(1))
+    mean = row * col / some
+    wide = 40 * F.sqrt(F.greatest(mean * (1 - row / some) * (n - col) / F.greatest(n - 1, F.lit(1)), F.lit(0.0))) + 40
     lo = F.greatest(F.lit(0), row + col - n, F.floor(mean - wide))
     hi = F.least(row, col, F.ceil(mean + wide))
-    here = _log_hyper(a, row, col, n)
     if side == "greater":
         lo = F.greatest(lo, a)
     elif side == "less":
         hi = F.least(hi, a)
 
-    def add(acc, x):
-        p = F.exp(acc["lp"])
-        term = F.when(acc["lp"] <= here + 1e-7, p).otherwise(0.0) if side == "two" else p
-        up = F.log((row - x).cast("double") * (col - x)) - F.log((x + 1).cast("double") * (n - row - col + x + 1))
-        return F.struct((acc["lp"] + up).alias("lp"), (acc["s"] + term).alias("s"))
+    def body(v):
+        # v holds what all steps share, worked out once
+        row, col, n, here, lo, hi = (v[k] for k in ("row", "col", "n", "here", "lo", "hi"))
 
-    start = F.struct(_log_hyper(lo, row, col, n).alias("lp"), F.lit(0.0).alias("s"))
-    tail = F.aggregate(F.sequence(lo, hi), start, add, lambda acc: acc["s"])
-    # nothing left to sum: the table itself lies beyond
-    return F.when(n == 0, 1.0).when(lo > hi, F.exp(here)).otherwise(F.least(F.lit(1.0), F.greatest(tail, F.exp(here))))
+        def add(acc, x):
+            p = F.exp(acc["lp"])
+            term = F.when(acc["lp"] <= here + 1e-7, p).otherwise(0.0) if side == "two" else p
+            up = F.log((row - x).cast("double") * (col - x)) - F.log((x + 1).cast("double") * (n - row - col + x + 1))
+            return F.struct((acc["lp"] + up).alias("lp"), (acc["s"] + term).alias("s"))
+
+        tail = F.aggregate(F.sequence(lo, hi), F.struct(v["first"].alias("lp"), F.lit(0.0).alias("s")), add, lambda acc: acc["s"])
+        # nothing left to sum: the table itself lies beyond
+        return F.when(n == 0, 1.0).when(lo > hi, F.exp(here)).otherwise(F.least(F.lit(1.0), F.greatest(tail, F.exp(here))))
+
+    shared = F.struct(row.alias("row"), col.alias("col"), n.alias("n"), _log_hyper(a, row, col, n).alias("here"), lo.alias("lo"), hi.alias("hi"), _log_hyper(lo, row, col, n).alias("first"))
+    return F.get(F.transform(F.array(shared), body), F.lit(0))
