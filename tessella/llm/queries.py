@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, jaccard, pii, quality, sharding, substring, toxicity, warc
+from . import bpe, chat, decontam, jaccard, manifest, pii, quality, sharding, substring, toxicity, trie, warc
 from .common import read_table
 
 
@@ -54,6 +54,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.tamper_proof(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_byte_bpe": op2_byte_bpe,
@@ -65,10 +73,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_merkle_fixity": op8_merkle_fixity,
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
     "op7_ngram_jaccard_join": jaccard.JOIN_SQL,
     "op8_merkle_fixity": warc.FIXITY_SQL,
     "op9_decontamination": decontam.REPORT_SQL,
+    "op11_conversation_trie": trie.TRIE_SQL,
+    "op13_merkle_manifest": manifest.MANIFEST_SQL,
 }
