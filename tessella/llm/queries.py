@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, jaccard, manifest, pii, quality, sharding, substring, toxicity, trie, warc
+from . import bpe, chat, decontam, fingerprints, jaccard, manifest, pii, quality, sharding, substring, toxicity, trie, warc
 from .common import read_table
 
 
@@ -58,6 +58,10 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.versions(read_table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.tamper_proof(read_table(spark, sf_dir, "documents"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
     "op11_conversation_trie": op11_conversation_trie,
+    "op12_fingerprints": op12_fingerprints,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
