@@ -49,21 +49,6 @@ def principal_components(table: DataFrame, k: int, fit_on: DataFrame | None = No
     return model.transform(scale.transform(table)), model
 
 
-def significant_components(table: DataFrame, value: str, key: str, feature: str, features: DataFrame, k: int, rounds: int = 1, seed: int = 0) -> int:
-    """How many leading components explain more than the first one of tables with each feature shuffled over cells."""
-    _, real = principal_components(vectors(table, key, feature, value, features), k)
-    top = 0.0
-    cells = table.select(key).distinct()
-    for i in range(rounds):
-        full = cells.crossJoin(F.broadcast(features)).join(table, [key, feature], "left").withColumn(value, F.coalesce(F.col(value).cast("double"), F.lit(0.0)))
-        w = Window.partitionBy(feature)
-        a = full.select(key, feature, F.row_number().over(w.orderBy(key)).alias("__k"))
-        b = full.select(feature, value, F.row_number().over(w.orderBy(draws.ticket(key, feature, seed + i), key)).alias("__k"))
-        _, null = principal_components(vectors(a.join(b, [feature, "__k"]), key, feature, value, features), 1)
-        top = max(top, float(null.explainedVariance[0]))
-    return sum(float(v) > top for v in real.explainedVariance)
-
-
 def project(expr: DataFrame, loadings: DataFrame, reference: DataFrame, value: str = "norm") -> DataFrame:
     """cell_id, dim, value: query cells in a reference's components.  loadings: gene, dim, w; reference: gene, mean, sd.
 
@@ -83,16 +68,18 @@ def vote(neighbours: DataFrame, labels: DataFrame) -> DataFrame:
     return n.where("__k = 1").select("id", "label", "share")
 
 
-def linear_classifier(train: DataFrame, query: DataFrame, label: str, kind: str = "softmax", strength: float = 0.01):
-    """query with a predicted label, from softmax regression or one-vs-rest linear SVMs on features."""
+def linear_classifier(train: DataFrame, query: DataFrame, label: str, kind="softmax", strength: float = 0.01):
+    """query with a predicted label, from softmax regression, one-vs-rest linear SVMs (svm), or any estimator of pyspark.ml, on features."""
     from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
     from pyspark.ml.feature import IndexToString, StringIndexer
 
     index = StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc").fit(train)
     if kind == "softmax":
         est = LogisticRegression(labelCol="__y", featuresCol="features", regParam=strength, family="multinomial", predictionCol="__p")
-    else:
+    elif kind == "svm":
         est = OneVsRest(classifier=LinearSVC(regParam=strength), labelCol="__y", featuresCol="features", predictionCol="__p")
+    else:
+        est = kind.copy({kind.labelCol: "__y", kind.featuresCol: "features", kind.predictionCol: "__p"})
     out = est.fit(index.transform(train)).transform(query)
     return IndexToString(inputCol="__p", outputCol="predicted", labels=index.labels).transform(out).drop("__p", "rawPrediction", "probability")
 

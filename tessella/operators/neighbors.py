@@ -12,8 +12,8 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
 
 
-def knn(queries: DataFrame, reference: DataFrame, k: int, metric: str = "euclidean", include_self: bool = False, blocks: int | None = None) -> DataFrame:
-    """src, dst, dist, rank: the exact k nearest reference vectors of each query (id, vec).
+def knn(queries: DataFrame, reference: DataFrame, k: int, metric: str = "euclidean", include_self: bool = False, blocks: int | None = None, within: str | None = None) -> DataFrame:
+    """src, dst, dist, rank: the exact k nearest reference vectors of each query (id, vec); with within, a column of the reference, those of each of its values, and the value.
 
     A query set meets the reference in blocks: the reference is dealt over
     blocks, each query keeps its k best of a block, and the best of those
@@ -21,7 +21,8 @@ def knn(queries: DataFrame, reference: DataFrame, k: int, metric: str = "euclide
     """
     spark = queries.sparkSession
     blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = reference.select(F.col("id").alias("dst"), F.col("vec").alias("__b"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("__blk"))
+    group = [within] if within else []
+    r = reference.select(F.col("id").alias("dst"), F.col("vec").alias("__b"), *group, F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("__blk"))
     q = queries.select(F.col("id").alias("src"), F.col("vec").alias("__a")).withColumn("__blk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
     p = q.join(r, "__blk")
     if not include_self:
@@ -30,10 +31,10 @@ def knn(queries: DataFrame, reference: DataFrame, k: int, metric: str = "euclide
         d = 1 - _dot(F.col("__a"), F.col("__b")) / F.sqrt(_dot(F.col("__a"), F.col("__a")) * _dot(F.col("__b"), F.col("__b")))
     else:
         d = F.sqrt(F.aggregate(F.zip_with("__a", "__b", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda acc, v: acc + v))
-    p = p.select("src", "dst", "__blk", F.round(d, 9).alias("dist"))
+    p = p.select("src", "dst", *group, "__blk", F.round(d, 9).alias("dist"))
     order = ["dist", "dst"]
-    local = p.withColumn("__n", F.row_number().over(Window.partitionBy("src", "__blk").orderBy(*order))).where(F.col("__n") <= k)
-    return local.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(*order))).where(F.col("rank") <= k).select("src", "dst", "dist", "rank")
+    local = p.withColumn("__n", F.row_number().over(Window.partitionBy("src", *group, "__blk").orderBy(*order))).where(F.col("__n") <= k)
+    return local.withColumn("rank", F.row_number().over(Window.partitionBy("src", *group).orderBy(*order))).where(F.col("rank") <= k).select("src", "dst", "dist", "rank", *group)
 
 
 def knn_approximate(vectors: DataFrame, k: int, bucket: float, tables: int = 4, reach: float | None = None, seed: int = 0, queries: DataFrame | None = None) -> DataFrame:
@@ -49,12 +50,8 @@ def knn_approximate(vectors: DataFrame, k: int, bucket: float, tables: int = 4,
 
 
 def knn_by_batch(vectors: DataFrame, batch: str, k: int, queries: DataFrame | None = None) -> DataFrame:
-    """Neighbours balanced over batches: the k nearest of every batch, of all vectors or of the queries.  vectors: id, vec, batch (few different ones)."""
-    out = None
-    for (b,) in vectors.select(batch).distinct().orderBy(batch).collect():
-        part = knn(vectors if queries is None else queries, vectors.where(F.col(batch).eqNullSafe(F.lit(b))), k).withColumn(batch, F.lit(b))
-        out = part if out is None else out.union(part)
-    return out
+    """Neighbours balanced over batches: the k nearest of every batch, of all vectors or of the queries.  vectors: id, vec, batch; one pass for all batches."""
+    return knn(vectors if queries is None else queries, vectors, k, within=batch)
 
 
 def edges(neighbours: DataFrame) -> DataFrame:

@@ -7,11 +7,60 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .settle import settle
+
+
+#: Ranges that values are dealt to; their bounds are all that the driver sees of them.
+RANGES = 512
+
+
+def bounds(df: DataFrame, value: str, ranges: int = RANGES) -> list[float]:
+    """Ascending bounds of at most so many ranges of a number, each with about as many rows; equal values share a range."""
+    if ranges < 2:
+        return []
+    # one expression of text: so many literals would each be a call to the JVM
+    shares = ", ".join(f"{k / ranges!r}D" for k in range(1, ranges))
+    cuts = df.agg(F.expr(f"percentile_approx(cast(`{value}` as double), array({shares}), {20 * ranges})")).first()[0]
+    return sorted({x for x in cuts or () if math.isfinite(x)})
+
+
+def range_of(value: Column, cuts: list[float]) -> Column:
+    """How many bounds are at most the value, by halving; 0 for null."""
+    if not cuts:
+        return F.lit(0)
+    table = F.expr(f"array({','.join(f'{x!r}D' for x in cuts)})")
+    steps = F.array(*(F.lit(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1)))
+    x = value.cast("double")
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(table, at + s - 1) <= x, at + s).otherwise(at))
+
+
+def _offsets(sums: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """keys (as __key columns), __b, and each name summed over the smaller ranges of the keys."""
+    w = Window.partitionBy(*keys).orderBy("__b") if keys else Window.orderBy("__b")
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)], F.col("__b").alias("__r"), *(F.coalesce(F.sum(x).over(past), F.lit(0)).alias(x) for x in names))
+
+
+def _with_offsets(df: DataFrame, off: DataFrame, keys: list[str]) -> DataFrame:
+    on = F.col("__b") == F.col("__r")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__key{i}"))
+    # without keys there is one row for each range
+    return df.join(off if keys else F.broadcast(off), on).drop("__r", *[f"__key{i}" for i in range(len(keys))])
+
 
 def average_rank(df: DataFrame, keys: list[str], value: str, out: str = "rank") -> DataFrame:
-    """Ranks from 1 within keys; ties share the mean of their places."""
-    w = Window.partitionBy(*keys)
-    return df.withColumn(out, F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2.0)
+    """Ranks of a number from 1 within keys; ties share the mean of their places.
+
+    Rows are ranked in ranges of the value, and what lies in smaller ranges is
+    added, so that no task sorts all rows of a key.  df is read three times.
+    """
+    keys = list(keys)
+    d = df.withColumn("__b", range_of(F.col(value), bounds(df, value)))
+    off = _offsets(d.groupBy(*keys, "__b").agg(F.count("*").alias("__o")), keys, ["__o"])
+    here = Window.partitionBy(*keys, "__b")
+    d = d.withColumn("__k", F.rank().over(here.orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, "__b", value)) - 1) / 2.0)
+    return _with_offsets(d, off, keys).withColumn(out, F.col("__k") + F.col("__o")).drop("__b", "__k", "__o")
 
 
 def dense_rank_score(expr: DataFrame, sets: DataFrame, cells: DataFrame, value: str = "count") -> DataFrame:
@@ -22,11 +71,14 @@ def dense_rank_score(expr: DataFrame, sets: DataFrame, cells: DataFrame, value:
     standard deviation over cells.
     """
     n = cells.select("cell_id").distinct().count()
-    e = expr.join(sets, "gene").select("set_name", "gene", "cell_id", F.col(value).alias("x"))
-    k = e.groupBy("set_name", "gene").agg((F.count("*") < n).cast("int").alias("has_zero"))
-    r = e.withColumn("d", F.dense_rank().over(Window.partitionBy("set_name", "gene").orderBy("x"))).join(k, ["set_name", "gene"])
-    r = r.withColumn("d", F.col("d") + F.col("has_zero")).withColumn("top", F.max("d").over(Window.partitionBy("set_name", "gene")))
-    per_gene = r.groupBy("set_name", "gene").agg(F.first("top").alias("top"))
+    # a gene ranks alike in every set: its different values are ranked once, the sets are joined behind
+    v = expr.groupBy("gene", F.col(value).alias("x")).agg(F.count("*").alias("k"))
+    w = Window.partitionBy("gene")
+    zero = (F.sum("k").over(w) < n).cast("int")
+    v = v.select("gene", "x", (F.dense_rank().over(w.orderBy("x")) + zero).alias("d"), (F.count("*").over(w) + zero).alias("top"))
+    member = sets.select("set_name", "gene").distinct()
+    r = expr.select("cell_id", "gene", F.col(value).alias("x")).join(v, ["gene", "x"]).join(member, "gene")
+    per_gene = member.join(v.groupBy("gene").agg(F.max("top").alias("top")), "gene")
     # a cell without the gene scores 1 / top there
     base = per_gene.groupBy("set_name").agg(F.sum(1 / F.col("top")).alias("base"), F.count("*").alias("genes"))
     up = r.groupBy("set_name", "cell_id").agg(F.sum((F.col("d") - 1) / F.col("top")).alias("up"))
@@ -121,19 +173,20 @@ def rank_curve(totals: DataFrame, value: str = "total") -> DataFrame:
     return r.select(value, "n", (last - F.col("n") + 1).alias("first_rank"), last.alias("last_rank"))
 
 
-def below(counts: DataFrame, value: str, n: str = "n", digits: int = 2) -> DataFrame:
-    """counts (different values and how often each occurs) with below, the rows of smaller values, and place, the smaller values.
+def below(counts: DataFrame, value: str, n: str = "n", keys: list[str] = (), cuts: list[float] | None = None) -> DataFrame:
+    """counts (different values of each key and how often they occur) with below, the rows of smaller values, and place, the smaller values.
 
-    Values are dealt to ranges by their first digits, each range is summed on
-    its own, and the offsets of the ranges are added, so that no task sees
-    more than a range.
+    Values are dealt to ranges, each is summed on its own, and what lies in
+    smaller ranges is added, so that no task sees more than a range.  counts
+    is settled, unless the bounds of the ranges are given.
     """
-    c = counts.withColumn("__b", F.floor(F.col(value) * 10**digits))
-    per = c.groupBy("__b").agg(F.sum(n).alias("__s"), F.count("*").alias("__d"))
-    w = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    off = per.select("__b", F.coalesce(F.sum("__s").over(w), F.lit(0)).alias("__o"), F.coalesce(F.sum("__d").over(w), F.lit(0)).alias("__p"))
-    own = Window.partitionBy("__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("__c", F.coalesce(F.sum(n).over(own), F.lit(0))).withColumn("__k", F.count("*").over(own)).join(F.broadcast(off), "__b")
+    keys = list(keys)
+    c = settle(counts) if cuts is None else counts
+    c = c.withColumn("__b", range_of(F.col(value), bounds(c, value) if cuts is None else cuts))
+    off = _offsets(c.groupBy(*keys, "__b").agg(F.sum(n).alias("__o"), F.count("*").alias("__p")), keys, ["__o", "__p"])
+    own = Window.partitionBy(*keys, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    c = c.withColumn("__c", F.coalesce(F.sum(n).over(own), F.lit(0))).withColumn("__k", F.count("*").over(own))
+    c = _with_offsets(c, off, keys)
     return c.withColumn("below", F.col("__o") + F.col("__c")).withColumn("place", F.col("__p") + F.col("__k")).drop("__b", "__c", "__k", "__o", "__p")
 
 

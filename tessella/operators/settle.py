@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,12 +16,18 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return "file://" + tempfile.mkdtemp(prefix="tessella-")
+    own = "file://" + tempfile.mkdtemp(prefix="tessella-")
+    spark.sparkContext.setCheckpointDir(own)
+    return own
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """A checkpoint of df in the shared folder that the cluster names."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """df written to the shared folder that the cluster names, and read again.
+
+    A checkpoint would also cut lineage, but hands the size estimates of its
+    plan on: joined round by round they grow to numbers of thousands of
+    digits.  A written table has those of its files.
+    """
+    path = f"{shared_folder(df.sparkSession)}/tessella-settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import draws, tails
 from . import groups, ranks
+from .settle import settle
 
 
 def bh(df: DataFrame, p: str, keys: list[str] = (), out: str = "fdr") -> DataFrame:
@@ -17,22 +18,25 @@ def bh(df: DataFrame, p: str, keys: list[str] = (), out: str = "fdr") -> DataFra
     Without keys the tests of one table are one family.  Equal p-values are
     counted first, so the ordered window runs over distinct values: for each
     the largest place r gives p * m / r, and the least of those at larger p
-    is the result.
+    is the result.  Without keys df is settled.
     """
     keys = list(keys)
-    n = df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count("*").alias("__n"))
+    count = lambda d: d.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count("*").alias("__n"))
     if keys:
         part = Window.partitionBy(*keys)
-        n = n.withColumn("__r", F.sum("__n").over(part.orderBy(p).rowsBetween(Window.unboundedPreceding, 0))).withColumn("__m", F.sum("__n").over(part))
+        n = count(df).withColumn("__r", F.sum("__n").over(part.orderBy(p).rowsBetween(Window.unboundedPreceding, 0))).withColumn("__m", F.sum("__n").over(part))
         n = n.withColumn(out, F.least(F.lit(1.0), F.min(F.col(p) * F.col("__m") / F.col("__r")).over(part.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0))))
     else:
-        # one family of any size: ranges of p are worked out one by one, then the best of all larger ranges is known
-        n = ranks.below(n, p, "__n", 3).withColumn("__part", F.floor(F.col(p) * 1000)).crossJoin(F.broadcast(n.agg(F.sum("__n").alias("__m"))))
-        n = n.withColumn("__q", F.col(p) * F.col("__m") / (F.col("below") + F.col("__n")))
+        # the tests are worked out once; one family of any size is adjusted in ranges of p
+        df = settle(df)
+        every, cuts = df.where(F.col(p).isNotNull()).count(), ranks.bounds(df, p)
+        n = ranks.below(count(df), p, "__n", cuts=cuts).withColumn("__q", F.col(p) * every / (F.col("below") + F.col("__n")))
+        n = n.withColumn("__part", ranks.range_of(F.col(p), cuts))
         best = n.groupBy("__part").agg(F.min("__q").alias("__b"))
-        best = best.select("__part", F.min("__b").over(Window.orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)).alias("__later"))
+        later = F.min("__b").over(Window.orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1))
         own = F.min("__q").over(Window.partitionBy("__part").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0))
-        n = n.withColumn("__own", own).join(F.broadcast(best), "__part").withColumn(out, F.least(F.lit(1.0), "__own", "__later"))
+        # one row for each range
+        n = n.withColumn("__own", own).join(F.broadcast(best.select("__part", later.alias("__later"))), "__part").withColumn(out, F.least(F.lit(1.0), "__own", "__later"))
     q = n.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(p).alias("__p"), out)
     on = F.col(p) == F.col("__p")
     for k in keys:
@@ -142,8 +146,8 @@ def expressed_fold(df: DataFrame, least_mean: float = 10, least: float = 1.0) ->
 def mann_whitney(df: DataFrame, group: str, first, second, value: str, keys: list[str] = ()) -> DataFrame:
     """keys, n1, n2, u, z, p of a plain column between two groups."""
     keys = list(keys)
-    d = df.where(F.col(group).isin(first, second) & F.col(value).isNotNull()).withColumn("__all", F.lit(1))
-    d = ranks.average_rank(d, ["__all", *keys], value)
+    d = df.where(F.col(group).isin(first, second) & F.col(value).isNotNull())
+    d = ranks.average_rank(d, keys, value)
     one = (F.col(group) == first).cast("int")
     g = d.groupBy(*keys).agg(F.sum(one).alias("n1"), F.sum(1 - one).alias("n2"), F.sum(F.col("rank") * one).alias("r"))
     n = F.col("n1") + F.col("n2")
@@ -198,7 +202,8 @@ def overlap_parts(overlap: Column) -> Column:
 
 def correlate(points: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """keys, n, r (Pearson), rho (Spearman, average ranks)."""
-    d = ranks.average_rank(ranks.average_rank(points.where(F.col(x).isNotNull() & F.col(y).isNotNull()), keys, x, "__rx"), keys, y, "__ry")
+    first = settle(ranks.average_rank(points.where(F.col(x).isNotNull() & F.col(y).isNotNull()), keys, x, "__rx"))
+    d = ranks.average_rank(first, keys, y, "__ry")
     return d.groupBy(*keys).agg(F.count("*").alias("n"), F.corr(x, y).alias("r"), F.corr("__rx", "__ry").alias("rho"))
 
 
@@ -268,7 +273,7 @@ def coexpression_network(rho: DataFrame) -> DataFrame:
     full = rho.join(med, "a").select("a", "b", F.round(F.coalesce("rho", "med", F.lit(0.0)), 9).alias("v"))
     n = full.groupBy("v").agg(F.count("*").alias("k"))
     # correlations are nearly as many as pairs: they are ranked in ranges
-    w = ranks.below(n, "v", "k", 3).crossJoin(F.broadcast(full.agg(F.count("*").alias("__all"))))
+    w = ranks.below(n, "v", "k").crossJoin(F.broadcast(full.agg(F.count("*").alias("__all"))))
     return full.join(w.select("v", ((F.col("below") + (F.col("k") + 1) / 2.0) / F.col("__all")).alias("w")), "v").select("a", "b", "w")
 
 
@@ -300,7 +305,7 @@ def partner_auroc(net_a: DataFrame, net_b: DataFrame, pairs: DataFrame, bridge:
 def conservation(real: DataFrame, random: DataFrame) -> DataFrame:
     """Adds conservation to the real pairs: dense rank of auroc among real and random pairs over the largest rank."""
     both = real.withColumn("__real", F.lit(True)).unionByName(random.withColumn("__real", F.lit(False))).where("auroc is not null").withColumn("auroc", F.round("auroc", 9))
-    d = ranks.below(both.groupBy("auroc").agg(F.count("*").alias("n")), "auroc", "n", 3).select("auroc", (F.col("place") + 1).alias("__d"))
+    d = ranks.below(both.groupBy("auroc").agg(F.count("*").alias("n")), "auroc", "n").select("auroc", (F.col("place") + 1).alias("__d"))
     top = d.agg(F.max("__d").alias("__t"))
     return both.where("__real").join(d, "auroc").crossJoin(F.broadcast(top)).select("gene_a", "gene_b", "auroc", (F.col("__d") / F.col("__t")).alias("conservation"))
 

@@ -77,10 +77,11 @@ centers AS (SELECT cell_state, gene, sum(count) / any_value(k) AS mean, 100.0 *
 
 
 def two_sided_sql(z: str) -> str:
-    """The normal tail of functions.tails in SQL."""
-    t = f"(1 / (1 + 0.3275911 * (abs({z}) / sqrt(2))))"
-    poly = f"((((((1.061405429 * {t}) + -1.453152027) * {t} + 1.421413741) * {t} + -0.284496736) * {t} + 0.254829592) * {t})"
-    return f"least(1.0, {poly} * exp(-(abs({z}) / sqrt(2)) * (abs({z}) / sqrt(2))))"
+    """The normal tail in SQL by another way than functions.tails: the series of erf around 0, else the mean of exp(-z^2 / (2 sin^2 t)) over a quarter turn."""
+    x = f"(abs({z}) / sqrt(2.0))"
+    near = f"1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 30), lambda k: pow(-1.0, k) * pow({x}, 2 * k + 1) / (gamma(k + 1) * (2 * k + 1))))"
+    far = f"list_sum(list_transform(range(0, 128), lambda k: exp(-({z}) * ({z}) / (2 * pow(sin((k + 0.5) * pi() / 256), 2))))) / 128"
+    return f"(CASE WHEN abs({z}) < 1 THEN {near} ELSE {far} END)"
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import classify, groups, matrix, neighbors, ranks
+from ..operators import classify, communities, descent, groups, matrix, neighbors, ranks
 from ..operators.settle import settle
 from . import bindings as b
 from .catalog import query
@@ -67,6 +67,20 @@ def knn_approximate(spark, d):
     return neighbors.knn_approximate(e, 5, 2.0, 8, queries=e.where("id % 100 = 0"))
 
 
+@query("knn_descent")
+def knn_descent(spark, d):
+    """Neighbours of all vectors by descent; tests hold them against the exact ones."""
+    return descent.neighbours(b.embeddings(spark, d), 5)
+
+
+@query("balanced_weights")
+def balanced_weights(spark, d):
+    """Fuzzy weights of the two nearest of every label; tests hold them against brute force."""
+    e = b.embeddings(spark, d)
+    near = neighbors.knn_by_batch(e, "label", 2, e.where("id % 100 = 0"))
+    return communities.connectivities(near)
+
+
 GRAPH = """e AS (SELECT DISTINCT least(o_custkey, l_suppkey) AS src, greatest(o_custkey, l_suppkey) AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey <> l_suppkey),
 t AS (SELECT c_custkey AS id, c_mktsegment AS t FROM customer)"""
 
@@ -81,6 +95,14 @@ def _states(spark, d):
     return b.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("t"))
 
 
+@query("modularity_clusters")
+def modularity_clusters(spark, d):
+    """Clusters of the graph with their sizes, and the modularity that they reach."""
+    log: list[float] = []
+    c = communities.modularity_clusters(_graph(spark, d), log=log)
+    return c.groupBy("cluster").agg(F.count("*").alias("n")).withColumn("modularity", F.lit(log[-1] if log else 0.0))
+
+
 @query("adjacency_degree", f"WITH {GRAPH} SELECT id, count(*) AS degree FROM (SELECT src AS id, dst FROM e UNION SELECT dst, src FROM e) GROUP BY 1")
 def adjacency_degree(spark, d):
     return neighbors.adjacency(_graph(spark, d)).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import classify, matrix, neighbors
+from ..operators import classify, communities, components, descent, matrix, neighbors
 from ..operators.settle import settle
 from . import bindings as b
 from .catalog import query
@@ -29,24 +28,40 @@ def features(expr: DataFrame, n_cells: int, top: int, min_cells: int = 3, seeds:
     return norm.join(genes.select("gene"), "gene", "left_semi"), genes
 
 
-def process_counts(expr: DataFrame, n_cells: int, top: int = 100, components: int = 10, k: int = 10, rounds: int = 5) -> dict[str, DataFrame]:
-    """Components, neighbours, graph edges and clusters of a count matrix with numeric cell_id."""
-    norm, genes = features(expr, n_cells, top)
-    vec = settle(classify.vectors(norm, "cell_id", "gene", "norm", genes))
-    pca, _ = classify.principal_components(vec, components)
-    emb = settle(pca.select(F.col("cell_id").alias("id"), vector_to_array("pca").alias("vec")))
-    near = neighbors.knn(emb, emb, k)
+def process_counts(expr: DataFrame, n_cells: int, top: int = 100, n_components: int = 10, k: int = 10, rounds: int = 12, tolerance: float = 1e-3) -> dict[str, DataFrame]:
+    """Components, neighbours, graph edges and clusters of a count matrix with numeric cell_id, and modularity, a row a level.
+
+    Components come from non-zeros, neighbours by descent, clusters by
+    modularity, so no step looks at all pairs of cells or fills in zeros.
+    """
+    norm, _ = features(expr, n_cells, top)
+    pcs = components.sparse_components(norm, n_cells, n_components, rounds=rounds, tolerance=tolerance)
+    emb = settle(pcs.scores.select(F.col("cell_id").alias("id"), F.array(*(f"v{i}" for i in range(n_components))).alias("vec")))
+    near = descent.neighbours(emb, k)
     edges = settle(neighbors.edges(near))
-    return {"components": emb, "neighbours": near, "edges": edges, "clusters": neighbors.label_propagation(edges, rounds)}
+    log: list[float] = []
+    clusters = communities.modularity_clusters(edges, log=log)
+    rows = expr.sparkSession.createDataFrame(list(enumerate(log)), "level int, modularity double")
+    return {"components": emb, "neighbours": near, "edges": edges, "clusters": clusters, "modularity": rows}
+
 
+def label_query(reference: DataFrame, labels: DataFrame, label: str, target: DataFrame, n_cells: int, top: int = 60, n_components: int = 8, kind="softmax", seeds: DataFrame | None = None, max_corr: float = 0.8) -> DataFrame:
+    """cell_id, predicted: labels of a reference carried to a query through the reference's genes, components and a classifier.
 
-def label_query(reference: DataFrame, labels: DataFrame, label: str, target: DataFrame, n_cells: int, top: int = 60, components: int = 8, kind: str = "softmax") -> DataFrame:
-    """cell_id, predicted: labels of a reference carried to a query through the reference's genes, components and a linear model."""
-    norm, genes = features(reference, n_cells, top)
+    kind: softmax, svm, or an estimator of pyspark.ml with labelCol and
+    featuresCol.  seeds (gene): genes that follow them more closely than
+    max_corr are left out, and once more those that follow any of the genes
+    left out so.
+    """
+    if seeds is not None:
+        once = settle(matrix.per_cell(matrix.filter_genes(reference, min_cells=3)).select("cell_id", "gene", F.log1p("norm").alias("norm")))
+        r = matrix.seed_correlation(once, "norm", seeds, n_cells).groupBy("gene").agg(F.max(F.abs("r")).alias("r"))
+        seeds = settle(r.where(F.col("r") > max_corr).select("gene").union(seeds.select("gene")).distinct())
+    norm, genes = features(reference, n_cells, top, seeds=seeds, max_corr=max_corr)
     other = matrix.per_cell(target).select("cell_id", "gene", F.log1p("norm").alias("norm")).join(genes.select("gene"), "gene", "left_semi")
     base = settle(classify.vectors(norm, "cell_id", "gene", "norm", genes))
     both = base.withColumn("ref", F.lit(True)).union(classify.vectors(other, "cell_id", "gene", "norm", genes).withColumn("ref", F.lit(False)))
-    pca, _ = classify.principal_components(both, components, fit_on=base)
+    pca, _ = classify.principal_components(both, n_components, fit_on=base)
     x = settle(pca.select("cell_id", "ref", F.col("pca").alias("features")))
     train = x.where("ref").join(labels.select("cell_id", label), "cell_id")
     return classify.linear_classifier(train, x.where("not ref"), label, kind).select("cell_id", "predicted")
@@ -54,8 +69,9 @@ def label_query(reference: DataFrame, labels: DataFrame, label: str, target: Dat
 
 @query("standard_pipeline")
 def standard_pipeline(spark, d):
-    out = process_counts(b.expr(spark, d), b.n_cells(spark, d), top=50, components=5, k=5, rounds=3)
-    return out["clusters"].groupBy("cluster").agg(F.count("*").alias("n"))
+    out = process_counts(b.expr(spark, d), b.n_cells(spark, d), top=50, n_components=5, k=5, rounds=4)
+    last = out["modularity"].agg(F.max("modularity").alias("modularity"))
+    return out["clusters"].groupBy("cluster").agg(F.count("*").alias("n")).crossJoin(F.broadcast(last))
 
 
 @query("reference_to_query")
@@ -65,5 +81,14 @@ def reference_to_query(spark, d):
     ref = b.table(spark, d, "nation").where("n_regionkey < 2").select(F.col("n_nationkey").alias("donor"))
     mine = o.join(ref, "donor", "left_semi")
     target = e.join(o.join(ref, "donor", "left_anti").select("cell_id"), "cell_id", "left_semi")
-    out = label_query(e.join(mine.select("cell_id"), "cell_id", "left_semi"), mine, "cell_state", target, mine.count(), top=30, components=5)
+    out = label_query(e.join(mine.select("cell_id"), "cell_id", "left_semi"), mine, "cell_state", target, mine.count(), top=30, n_components=5)
     return out.groupBy("predicted").agg(F.count("*").alias("n"))
+
+
+@query("significant_components")
+def significant_components(spark, d):
+    """Variances of the leading components, and how many are larger than those of tables with each gene shuffled over cells."""
+    e = b.expr(spark, d)
+    norm, _ = features(e, b.n_cells(spark, d), 50)
+    n, real, null = components.significant(settle(norm), b.obs(spark, d), 5, rounds=2, tolerance=1e-2)
+    return spark.createDataFrame([(i, float(v), float(null.max()), i < n) for i, v in enumerate(real)], "component int, variance double, null_variance double, significant boolean")

@@ -114,13 +114,13 @@ def fisher_abundance(spark, d):
 ng AS (SELECT cell_state, count(*) AS ng FROM ch GROUP BY 1), ns AS (SELECT set_name, count(*) AS ns FROM st GROUP BY 1), o AS (SELECT cell_state, set_name, count(*) AS a FROM ch JOIN st USING (gene) GROUP BY 1, 2),
 x AS (SELECT cell_state, set_name, coalesce(a, 0) AS a, ng, ns, (SELECT count(*) FROM u) AS m FROM ng CROSS JOIN ns LEFT JOIN o USING (cell_state, set_name)), e AS (SELECT *, unnest(range(a, least(ng, ns) + 1)) AS i FROM x),
 p AS (SELECT cell_state, set_name, any_value(a) AS a, any_value(ng) - any_value(a) AS b, any_value(ns) - any_value(a) AS c, any_value(m) - any_value(ng) - any_value(ns) + any_value(a) AS d, least(1, sum(exp(lgamma(ng + 1) + lgamma(ns + 1) + lgamma(m - ng + 1) + lgamma(m - ns + 1) - lgamma(m + 1) - lgamma(i + 1) - lgamma(ng - i + 1) - lgamma(ns - i + 1) - lgamma(m - ng - ns + i + 1)))) AS p FROM e GROUP BY 1, 2)
-SELECT cell_state, set_name, a, b, c, d, round(p, 6) AS p FROM p""",
+SELECT cell_state, set_name, a, b, c, d, round(p, 6) AS p, round(least(1, min(p * m / r) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)), 6) AS fdr FROM (SELECT *, count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS r, count(*) OVER () AS m FROM p)""",
 )
 def geneset_overrep(spark, d):
     e = b.expr(spark, d)
     c = groups.centroids(e, b.obs(spark, d), "cell_state")
     top = ranks.top_n(c, ["cell_state"], [F.desc(F.round("mean", 9)), F.asc("gene")], 40)
-    return stats.over_representation(top, b.brand_sets(spark, d), e.select("gene"), "cell_state").drop("fdr")
+    return stats.over_representation(top, b.brand_sets(spark, d), e.select("gene"), "cell_state")
 
 
 @query(

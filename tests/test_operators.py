@@ -305,3 +305,39 @@ def test_coupled_genes(spark):
     assert got == {j for j in range(8) if ((np.abs(r[j]) > 0.6).sum() - 1) > 3}
     seed = spark.createDataFrame([(0,)], "gene bigint")
     assert {g.gene for g in matrix.correlated_genes(e, "count", seed, 60, 0.6).collect()} == {j for j in range(8) if abs(r[0, j]) > 0.6}
+
+
+def test_normal_tail_is_exact_far_out(spark):
+    """Against the C library: p of z up to 37, to a relative error that log10 p of real differential expression needs."""
+    z = [0.0, 1e-6, 0.3, 1.0, 2.0, 3.0, 3.5, 3.54, 5.0, 6.0, 10.0, 20.0, 37.0, -8.0]
+    rows = spark.createDataFrame([(x,) for x in z], "z double").select("z", tails.two_sided(F.col("z")).alias("p")).collect()
+    for r in rows:
+        want = math.erfc(abs(r.z) / math.sqrt(2))
+        assert abs(r.p / want - 1) < 1e-10
+    up = spark.createDataFrame([(-3.0,), (3.0,)], "z double").select(tails.upper(F.col("z")).alias("p")).collect()
+    assert abs(up[0].p + up[1].p - 1) < 1e-12
+
+
+def test_adjustment_reads_its_input_once(spark, tmp_path):
+    """The tests of one family are worked out once, however often the ranges need them."""
+    path = str(tmp_path / "p")
+    spark.range(500).select("id", (F.pmod(F.xxhash64("id"), F.lit(97)) / 97.0).alias("p")).write.parquet(path)
+    out = stats.bh(spark.read.parquet(path), "p")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert path not in plan
+    assert not any(path in f for f in out.inputFiles())
+    p = sorted((r.p, r.fdr) for r in out.collect())
+    best = 1.0
+    for i in range(len(p) - 1, -1, -1):
+        best = min(best, p[i][0] * len(p) / (i + 1))
+        assert abs(p[i][1] - best) < 1e-12
+
+
+def test_average_rank_in_ranges(spark):
+    rows = [(k, float(v) if v != 13 else None) for k in ("a", "b", None) for v in [1, 1, 2, 5, 5, 5, 9, 13] * 40 + list(range(20, 900))]
+    got = ranks.average_rank(spark.createDataFrame(rows, "k string, v double").where("v is not null"), ["k"], "v").collect()
+    for k in ("a", "b", None):
+        v = sorted(x for c, x in rows if c == k and x is not None)
+        want = {x: v.index(x) + (v.count(x) + 1) / 2 for x in set(v)}
+        mine = [r for r in got if r.k == k]
+        assert len(mine) == len(v) and all(r["rank"] == want[r.v] for r in mine)
