@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import draws, tails
+from ..functions import draws, exact, tails
 from . import groups, ranks
 from .settle import settle
 
@@ -143,16 +145,27 @@ def expressed_fold(df: DataFrame, least_mean: float = 10, least: float = 1.0) ->
     return df.where(((F.col("m1") > least_mean) | (F.col("m2") > least_mean)) & (F.abs("log2fc") > least))
 
 
-def mann_whitney(df: DataFrame, group: str, first, second, value: str, keys: list[str] = ()) -> DataFrame:
-    """keys, n1, n2, u, z, p of a plain column between two groups."""
+def mann_whitney(df: DataFrame, group: str, first, second, value: str, keys: list[str] = (), small: bool = False) -> DataFrame:
+    """keys, n1, n2, u, z, p of a plain column between two groups.
+
+    With small, p is exact where the samples are small and no values are
+    equal, and the deviation in z is corrected for ties elsewhere.
+    """
     keys = list(keys)
     d = df.where(F.col(group).isin(first, second) & F.col(value).isNotNull())
     d = ranks.average_rank(d, keys, value)
     one = (F.col(group) == first).cast("int")
-    g = d.groupBy(*keys).agg(F.sum(one).alias("n1"), F.sum(1 - one).alias("n2"), F.sum(F.col("rank") * one).alias("r"))
+    # rows and rank sums of each value first: what ties take from the variance is known from them
+    v = d.groupBy(*keys, value).agg(F.sum(one).alias("n1"), F.sum(1 - one).alias("n2"), F.sum(F.col("rank") * one).alias("r"), F.count("*").cast("double").alias("t"))
+    g = v.groupBy(*keys).agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2"), F.sum("r").alias("r"), F.sum(F.col("t") ** 3 - F.col("t")).alias("ties"))
     n = F.col("n1") + F.col("n2")
-    z = (F.col("r") - F.col("n1") * (n + 1) / 2.0) / F.sqrt(F.col("n1") * F.col("n2") * (n + 1) / 12.0)
-    return g.select(*keys, "n1", "n2", (F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2.0).alias("u"), z.alias("z")).withColumn("p", tails.two_sided(F.col("z")))
+    less = F.col("ties") / (n * (n - 1)) if small else F.lit(0.0)
+    z = (F.col("r") - F.col("n1") * (n + 1) / 2.0) / F.sqrt(F.col("n1") * F.col("n2") * (n + 1 - less) / 12.0)
+    g = g.withColumn("u", F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2.0).withColumn("z", z)
+    p = tails.two_sided(F.col("z"))
+    if small:
+        p = exact.rank_sum_p(F.col("n1"), F.col("n2"), F.col("u"), F.col("ties"), p)
+    return g.withColumn("p", p).select(*keys, "n1", "n2", "u", "z", "p")
 
 
 # ---------------------------------------------------------------- counts
@@ -255,16 +268,45 @@ def top_correlated(r: DataFrame, n: int | None = None, quantile: float | None =
     return x.crossJoin(F.broadcast(cut)).where(F.abs("r") >= F.col("cut")).drop("cut")
 
 
-def spearman_matrix(table: DataFrame, row: str, column: str, value: str) -> DataFrame:
-    """a, b, rho for every ordered pair of different rows of a full long table; null where a row is constant.
+#: Rows of a tile of a correlation matrix.
+TILE = 256
+
+
+def _products(batches, top: int | None):
+    """Sums of products of the rows of two tiles; with top, the largest partners of each row of the first tile only."""
+    for b in batches:
+        out = [[], [], []]
+        for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
+            left, right = (np.array([r["z"] for r in t], dtype=float) for t in (x, y))
+            names = [r["a"] for r in y]
+            m = left @ right.T / left.shape[1]
+            for r, row in zip(x, m, strict=True):
+                # equal ones go to the first name, as in the merge of tiles
+                order = range(len(names)) if top is None else np.lexsort((names, -np.round(np.nan_to_num(row, nan=-2.0), 9)))[: top + 1]
+                for i in order:
+                    if names[i] != r["a"]:
+                        for c, v in zip(out, (r["a"], names[i], None if np.isnan(row[i]) else float(row[i])), strict=True):
+                            c.append(v)
+        yield pa.record_batch([pa.array(out[0], b.schema.field("x").type.value_type.field("a").type), pa.array(out[1], b.schema.field("x").type.value_type.field("a").type), pa.array(out[2], pa.float64())], names=["a", "b", "rho"])
+
 
-    Rows are ranked once; pairs come from a join on the columns, summed as they meet.
+def spearman_matrix(table: DataFrame, row: str, column: str, value: str, top: int | None = None) -> DataFrame:
+    """a, b, rho for every ordered pair of different rows of a full long table, or for the top partners of each; null where a row is constant.
+
+    Rows are ranked once and standardised, TILE of them are a tile, and tiles
+    are multiplied with each other in numpy; with top a task keeps only the
+    best of a pair of tiles.  Columns are few: a row is one vector of them.
     """
-    r = ranks.average_rank(table, [row], value).select(F.col(row).alias("a"), F.col(column).alias("__c"), F.col("rank").alias("x"))
-    m = r.groupBy("a").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.count("*").alias("n"))
-    z = r.join(m, "a").select("a", "__c", "n", F.when(F.col("s") > 0, (F.col("x") - F.col("m")) / F.col("s")).alias("z"))
-    o = z.select(F.col("a").alias("b"), "__c", F.col("z").alias("zb"))
-    return z.join(o, "__c").where("a <> b").groupBy("a", "b").agg((F.sum(F.col("z") * F.col("zb")) / F.max("n")).alias("rho"))
+    r = ranks.average_rank(settle(table.select(row, column, value)), [row], value).select(F.col(row).alias("a"), F.col(column).alias("c"), F.col("rank").alias("x"))
+    v = r.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("c", "x"))).alias("v"), F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+    z = settle(v.select("a", F.transform("v", lambda e: F.when(F.col("s") > 0, (e["x"] - F.col("m")) / F.col("s")).otherwise(F.lit(float("nan")))).alias("z")))
+    tiles = max(1, -(-z.count() // TILE))
+    t = settle(z.groupBy(F.pmod(F.xxhash64("a"), F.lit(tiles)).alias("t")).agg(F.collect_list(F.struct("a", "z")).alias("x")))
+    kind = table.schema[row].dataType.simpleString()
+    # every pair of tiles once: the matrix itself is what is asked for
+    pairs = t.select(F.col("t").alias("i"), "x", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("j")).join(t.select(F.col("t").alias("j"), F.col("x").alias("y")), "j")
+    out = pairs.select("x", "y").mapInArrow(lambda it: _products(it, top), f"a {kind}, b {kind}, rho double")
+    return out if top is None else ranks.top_n(out, ["a"], [F.desc(F.round("rho", 9)), F.asc("b")], top, "__k").drop("__k")
 
 
 def coexpression_network(rho: DataFrame) -> DataFrame:
@@ -302,6 +344,26 @@ def partner_auroc(net_a: DataFrame, net_b: DataFrame, pairs: DataFrame, bridge:
     return x.join(y, ["gene_a", "gene_b"]).select("gene_a", "gene_b", ((F.col("x") + F.col("y")) / 2).alias("auroc"))
 
 
+def random_partners(genes_a: DataFrame, genes_b: DataFrame, forbidden: DataFrame, n: int = 100, seed: int = 0) -> DataFrame:
+    """gene_a, gene_b: n different genes of b for each gene of a, none of them its ortholog (forbidden: gene_a, gene_b); fewer where there are fewer.
+
+    Genes of b stand in the order of their digests; each gene of a draws
+    places among them, three for each partner it needs.
+    """
+    tag = draws.ticket(F.col("gene_b").cast("string"))
+    b = genes_b.select(F.col("gene").alias("gene_b")).distinct().withColumn("t", tag).withColumn("part", F.substring("t", 1, 2))
+    before = b.groupBy("part").agg(F.count("*").alias("k")).select("part", F.coalesce(F.sum("k").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("o"))
+    # at most 256 parts
+    b = settle(b.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy("t", "gene_b")) - 1).join(F.broadcast(before), "part").select("gene_b", (F.col("i") + F.col("o")).alias("place")))
+    many = b.count()
+    if not many:
+        return forbidden.select("gene_a", "gene_b").limit(0)
+    a = genes_a.select(F.col("gene").alias("gene_a")).distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(3 * n - 1))))
+    drawn = a.select("gene_a", "draw", (draws.number("gene_a", "draw", seed) % many).alias("place")).groupBy("gene_a", "place").agg(F.min("draw").alias("draw"))
+    pairs = drawn.join(b, "place").join(forbidden.select("gene_a", "gene_b").distinct(), ["gene_a", "gene_b"], "left_anti")
+    return ranks.top_n(pairs, ["gene_a"], [F.asc("draw")], n, "k").select("gene_a", "gene_b")
+
+
 def conservation(real: DataFrame, random: DataFrame) -> DataFrame:
     """Adds conservation to the real pairs: dense rank of auroc among real and random pairs over the largest rank."""
     both = real.withColumn("__real", F.lit(True)).unionByName(random.withColumn("__real", F.lit(False))).where("auroc is not null").withColumn("auroc", F.round("auroc", 9))

@@ -214,13 +214,28 @@ def coexpression_network(spark, d):
     return stats.coexpression_network(_spearman(spark, d))
 
 
-@query("coexpression_conservation")
+NET = f"""{M}, {SPEAR}, f AS (SELECT a, b, round(coalesce(rho, quantile_cont(rho, 0.5) OVER (PARTITION BY a), 0), 9) AS v FROM rho), net AS (SELECT a, b, (rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0) / count(*) OVER () AS w FROM f)"""
+#: AUROC of the partners of src in the network around dst.
+ONE_WAY = """SELECT gene_a, gene_b, (sum(CASE WHEN h THEN rk END) - sum(h::INT) * (sum(h::INT) + 1) / 2.0) / nullif(sum(h::INT) * sum((NOT h)::INT), 0) AS auroc FROM
+(SELECT *, rank() OVER (PARTITION BY gene_a, gene_b ORDER BY w) + (count(*) OVER (PARTITION BY gene_a, gene_b, w) - 1) / 2.0 AS rk FROM (SELECT p.gene_a, p.gene_b, n.b, n.w, EXISTS (FROM top t WHERE t.a = p.{src} AND t.b = n.b) AS h FROM pairs p JOIN net n ON n.a = p.{dst})) GROUP BY 1, 2"""
+
+
+@query(
+    "coexpression_conservation",
+    f"""{NET}, names AS (SELECT DISTINCT a AS gene FROM net), places AS (SELECT gene, row_number() OVER (ORDER BY md5(gene), gene) - 1 AS place, count(*) OVER () AS m FROM names),
+drawn AS (SELECT n.gene AS gene_a, p.gene AS gene_b, draw FROM names n, range(300) t(draw), places p WHERE p.place = ('0x' || substr(md5(n.gene || '|' || draw || '|0'), 1, 12))::BIGINT % p.m AND p.gene <> n.gene),
+pairs AS (SELECT gene AS gene_a, gene AS gene_b, true AS genuine FROM names UNION ALL SELECT gene_a, gene_b, false FROM (SELECT gene_a, gene_b, min(draw) AS draw FROM drawn GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY gene_a ORDER BY draw) <= 100),
+top AS (SELECT a, b FROM net QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(w, 9) DESC, b) <= 5), xw AS ({ONE_WAY.format(src="gene_a", dst="gene_b")}), yw AS ({ONE_WAY.format(src="gene_b", dst="gene_a")}),
+sc AS (SELECT gene_a, gene_b, genuine, round((xw.auroc + yw.auroc) / 2, 9) AS auroc FROM pairs JOIN xw USING (gene_a, gene_b) JOIN yw USING (gene_a, gene_b)), dr AS (SELECT *, dense_rank() OVER (ORDER BY auroc) AS d FROM sc WHERE auroc IS NOT NULL)
+SELECT gene_a, gene_b, round(auroc, 6) AS auroc, round(d / (SELECT max(d) FROM dr), 6) AS conservation FROM dr WHERE genuine""",
+)
 def coexpression_conservation(spark, d):
+    """Each brand stands for a gene and its ortholog; 100 random other partners a gene are the background."""
     net = settle(stats.coexpression_network(_spearman(spark, d)))
     same = net.select(F.col("a").alias("gene_a")).distinct().withColumn("gene_b", F.col("gene_a"))
-    other = same.select("gene_a", F.translate("gene_a", "12345", "23451").alias("gene_b"))
-    real = stats.partner_auroc(net, net, same, same, 5)
-    return stats.conservation(real, stats.partner_auroc(net, net, other, same, 5))
+    genes = same.select(F.col("gene_a").alias("gene"))
+    other = settle(stats.random_partners(genes, genes, same, 100))
+    return stats.conservation(stats.partner_auroc(net, net, same, same, 5), stats.partner_auroc(net, net, other, same, 5))
 
 
 @query("auroc_topn", "WITH d AS (SELECT l_returnflag AS k, l_extendedprice AS v, (l_discount >= 0.08)::INT AS p FROM lineitem), r AS (SELECT *, rank() OVER (PARTITION BY k ORDER BY v) + (count(*) OVER (PARTITION BY k, v) - 1) / 2.0 AS rk FROM d), g AS (SELECT k, sum(p) AS n1, sum(1 - p) AS n0, sum(rk * p) AS r FROM r GROUP BY 1) SELECT k, n1::BIGINT AS n_pos, n0::BIGINT AS n_neg, round((r - n1 * (n1 + 1) / 2.0) / (n1 * n0), 6) AS auroc FROM g")
@@ -288,6 +303,15 @@ def beta_binomial_abundance(spark, d):
     return stats.bh(linear.beta_binomial(n, "cell_state", "grp", "n", "total"), "p")
 
 
+@query("beta_binomial_paired")
+def beta_binomial_paired(spark, d):
+    """Orders of each segment by status, paired by priority; tests hold the operator against published p-values."""
+    o = b.order_obs(spark, d).where("condition in ('F', 'O')")
+    n = groups.tally(o, ["condition", "replicate", "cell_state"], o.select("cell_state").distinct())
+    n = n.join(o.groupBy("condition", "replicate").agg(F.count("*").alias("total")), ["condition", "replicate"]).withColumn("grp", F.when(F.col("condition") == "F", 1).otherwise(2))
+    return stats.bh(linear.paired_beta_binomial(n, "cell_state", "replicate", "grp", "n", "total"), "p").select("cell_state", F.round("fold", 4).alias("fold"), F.round("stat", 4).alias("stat"), F.round("p", 4).alias("p"), F.round("fdr", 4).alias("fdr"))
+
+
 # ---------------------------------------------------------------- gene sets
 
 TOP = f"{C}, top AS (SELECT cell_state, gene FROM centers QUALIFY row_number() OVER (PARTITION BY cell_state ORDER BY round(mean, 9) DESC, gene) <= 60)"
