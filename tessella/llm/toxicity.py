@@ -180,13 +180,18 @@ def _held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def _calibrating(doc_id):
+    """A quarter of the labelled rows, by hash: thresholds are set on them, the model never learns from them."""
+    return F.pmod(F.xxhash64(doc_id.cast("bigint"), F.lit("calibrate")), F.lit(4)) == 0
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list:
-    """At most 2 x rows labelled texts (bytes, label, weight, doc_id), from rows that are not held out.
+    """At most 2 x rows labelled texts (bytes, label, weight, doc_id), from rows that are neither held out nor kept for calibration.
 
     The ids are drawn from the labels first (the smallest hashes of each
     class), so one scan of the documents with a broadcast of those ids suffices.
     """
-    lab = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~_held_out(F.col("doc_id")))
+    lab = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~_held_out(F.col("doc_id")) & ~_calibrating(F.col("doc_id")))
     share = {r.toxic: r["count"] for r in lab.groupBy("toxic").count().collect()}
     picked = None
     for y in (0, 1):
@@ -261,7 +266,8 @@ def report(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataF
     The model learns from labels of rows that are not held out only; score
     depends on the text alone, so rows with equal texts, null ones being
     empty, get equal scores.  predicted is the verdict at 0.3, lang_predicted
-    that at the threshold calibrated for the row's language.  Rows with a null
+    that at the threshold calibrated for the row's language, on a quarter of
+    the labelled rows that the model doesn't learn from.  Rows with a null
     doc_id are not held out.  Repeated rows stay; other columns, whatever
     their names, are ignored; an empty table gives no rows.  Without labels of
     both classes every score is the same.
@@ -270,7 +276,7 @@ def report(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataF
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     scored = score_documents(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), lang.alias("lang"), "text"), model).select("doc_id", "lang", "score")
     scored = common.materialize(scored, "toxicity-scores")
-    limits = calibrate(scored, labels, learned).withColumnRenamed("lang", "__lang")
+    limits = calibrate(scored, labels.where(_calibrating(F.col("doc_id"))), learned).withColumnRenamed("lang", "__lang")
     both = scored.join(limits, F.col("lang").eqNullSafe(F.col("__lang")), "left")
     return both.select(
         "doc_id", _held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),

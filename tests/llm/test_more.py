@@ -387,6 +387,8 @@ def test_toxicity(spark):
     out["lang"] = out.doc_id.map(lang)
     assert set(out.lang.dropna()) == {"en", "fr", "de", "es"} and (out.groupby("lang").lang_threshold.nunique() == 1).all()
     assert (out.lang_predicted == (out.score >= out.lang_threshold)).all()
+    # learned, not the default: labels are kept for calibration at any size
+    assert (out.dropna(subset=["lang"]).groupby("lang").lang_threshold.first() != 0.3).sum() >= 3
     held = out[out.held_out & out.toxic.notna()]
     assert held[held.lang_predicted == 1].toxic.mean() > 0.8 and held[held.toxic == 1].lang_predicted.mean() > 0.6
 
