@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,6 +109,30 @@ def doublet_scores(neighbours: DataFrame, obs: DataFrame) -> DataFrame:
     return obs.select("id").join(s, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def valley(scores: DataFrame, score: str, bins: int = 50, spread: float = 1.5) -> float | None:
+    """The lowest place between the two highest modes of the smoothed histogram of a score from 0 to 1; None where there is one mode.
+
+    The driver sees the counts of the bins.  Of two modes the lower one must
+    stand out of the valley by a tenth of its height.
+    """
+    n = np.zeros(bins)
+    for r in scores.where(F.col(score).between(0, 1)).groupBy(F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("int").alias("b")).count().collect():
+        n[r.b] = r["count"]
+    at = np.arange(bins)
+    kernel = np.exp(-((at[:, None] - at[None, :]) ** 2) / (2 * spread**2))
+    smooth = (kernel / kernel.sum(1)[:, None]) @ n
+    edge = np.concatenate([[-1.0], smooth, [-1.0]])
+    modes = [i for i in range(bins) if edge[i + 1] > edge[i] and edge[i + 1] >= edge[i + 2] and smooth[i] > 0]
+    best = None
+    for i, left in enumerate(modes):
+        for right in modes[i + 1 :]:
+            low = left + int(smooth[left : right + 1].argmin())
+            height = min(smooth[left], smooth[right])
+            if smooth[low] < 0.9 * height and (best is None or height - smooth[low] > best[0]):
+                best = (height - smooth[low], low)
+    return None if best is None else (best[1] + 0.5) / bins
+
+
 def matched_score(expr: DataFrame, cells: DataFrame, genes: DataFrame, moments: DataFrame, value: str, bins: int = 25, controls: int = 50, seed: int = 0) -> DataFrame:
     """cell_id, score: mean of a gene list less the mean of control genes from the same bins of mean expression."""
     m = moments.withColumn("bin", F.ntile(bins).over(Window.orderBy("mean", "gene")))

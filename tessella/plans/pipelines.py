@@ -67,6 +67,27 @@ def label_query(reference: DataFrame, labels: DataFrame, label: str, target: Dat
     return classify.linear_classifier(train, x.where("not ref"), label, kind).select("cell_id", "predicted")
 
 
+def call_doublets(expr: DataFrame, obs: DataFrame, batch: str, n_cells: int, top: int = 100, n_components: int = 10, k: int = 15, ratio: float = 2.0, rounds: int = 12, tolerance: float = 1e-3, seed: int = 0) -> DataFrame:
+    """cell_id, score, threshold, doublet of every cell: the share of simulated doublets among its neighbours, and whether it is beyond the valley.
+
+    Doublets are sums of pairs of cells of a batch.  Features and components
+    come from the observed cells, all are projected, neighbours come by
+    descent; the threshold lies between the two modes of the simulated cells'
+    own scores, and is null, with no calls, where they have one mode only.
+    """
+    sim = settle(classify.simulate_doublets(expr, obs, batch, ratio, seed).select("cell_id", "gene", "count"))
+    _, genes = features(expr, n_cells, top)
+    both = expr.select("cell_id", "gene", F.col("count").cast("double").alias("count")).union(sim.withColumn("count", F.col("count").cast("double")))
+    norm = matrix.per_cell(both).select("cell_id", "gene", F.log1p("norm").alias("norm")).join(genes.select("gene"), "gene", "left_semi")
+    pcs = components.sparse_components(settle(norm), n_cells, n_components, base=obs.select("cell_id"), rounds=rounds, tolerance=tolerance)
+    emb = settle(pcs.scores.select(F.col("cell_id").alias("id"), F.array(*(f"v{i}" for i in range(n_components))).alias("vec")))
+    near = settle(descent.neighbours(emb, k, seed=seed))
+    score = settle(near.groupBy(F.col("src").alias("id")).agg(F.avg((F.col("dst") < 0).cast("double")).alias("score")))
+    cut = classify.valley(score.where("id < 0"), "score")
+    own = classify.doublet_scores(near, obs.select(F.col("cell_id").alias("id")))
+    return own.select(F.col("id").alias("cell_id"), "score", F.lit(cut).cast("double").alias("threshold"), F.coalesce(F.col("score") > F.lit(cut).cast("double"), F.lit(False)).alias("doublet"))
+
+
 @query("standard_pipeline")
 def standard_pipeline(spark, d):
     out = process_counts(b.expr(spark, d), b.n_cells(spark, d), top=50, n_components=5, k=5, rounds=4)
@@ -92,3 +113,9 @@ def significant_components(spark, d):
     norm, _ = features(e, b.n_cells(spark, d), 50)
     n, real, null = components.significant(settle(norm), b.obs(spark, d), 5, rounds=2, tolerance=1e-2)
     return spark.createDataFrame([(i, float(v), float(null.max()), i < n) for i, v in enumerate(real)], "component int, variance double, null_variance double, significant boolean")
+
+
+@query("doublet_calls")
+def doublet_calls(spark, d):
+    """Scores and calls of all cells; tests plant doublets and find them."""
+    return call_doublets(b.expr(spark, d), b.obs(spark, d), "donor", b.n_cells(spark, d), top=50, n_components=5, k=10, ratio=1.0, rounds=4)
