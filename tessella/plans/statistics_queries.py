@@ -499,3 +499,41 @@ def ribbon_bands(spark, d):
 def united_genes(spark, d):
     l = b.table(spark, d, "lineitem").select(F.col("l_partkey").alias("gene"), "l_returnflag")
     return sets.union_genes(l.where("l_returnflag = 'A'"), l.where("l_returnflag = 'R'")).agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- sets and folds by group
+
+
+@query(
+    "similar_sets",
+    f"""{TOP}, o AS (SELECT cell_state, brand, count(*) / (any_value(na) + any_value(nb) - count(*)) AS jaccard FROM top JOIN genes USING (gene) JOIN (SELECT cell_state, count(*) AS na FROM top GROUP BY 1) USING (cell_state) JOIN (SELECT brand, count(*) AS nb FROM genes GROUP BY 1) USING (brand) GROUP BY 1, 2)
+SELECT cell_state, brand, round(jaccard, 6) AS jaccard, row_number() OVER (PARTITION BY cell_state ORDER BY round(jaccard, 9) DESC, brand)::INT AS rank FROM o QUALIFY rank <= 5""",
+)
+def similar_sets(spark, d):
+    """The five gene sets most like the top genes of each state."""
+    o = sets.overlaps(_top(spark, d), b.genes(spark, d), "cell_state", "brand")
+    return ranks.top_n(o, ["cell_state"], [F.desc(F.round("jaccard", 9)), F.asc("brand")], 5).select("cell_state", "brand", "jaccard", "rank")
+
+
+@query(
+    "gene_pairs_within",
+    f"WITH {b.EXPR}, {b.OBS}, {b.BRIDGE}, e AS (SELECT DISTINCT cell_state, gene FROM expr JOIN obs USING (cell_id)) SELECT * FROM bridge WHERE gene_a IN (SELECT gene FROM e WHERE cell_state = 'BUILDING') AND gene_b IN (SELECT gene FROM e WHERE cell_state = 'MACHINERY')",
+)
+def gene_pairs_within(spark, d):
+    """Orthologous pairs of which one side's gene was measured in one state, the other's in another."""
+    e = b.expr(spark, d).join(b.obs(spark, d), "cell_id")
+    of = lambda s: e.where(F.col("cell_state") == s).select("gene").distinct()
+    return sets.pairs_within(b.bridge(spark, d), of("BUILDING"), of("MACHINERY"))
+
+
+@query(
+    "expressed_fold_by_state",
+    f"""WITH {b.EXPR}, {b.OBS}, lab AS (SELECT cell_id, cell_state, CASE WHEN donor < 13 THEN 1 ELSE 2 END AS grp FROM obs), n AS (SELECT cell_state, sum((grp = 1)::INT) AS n1, sum((grp = 2)::INT) AS n2 FROM lab GROUP BY 1),
+s AS (SELECT cell_state, gene, coalesce(sum(count) FILTER (grp = 1), 0) AS s1, coalesce(sum(count) FILTER (grp = 2), 0) AS s2 FROM expr JOIN lab USING (cell_id) GROUP BY 1, 2), m AS (SELECT cell_state, gene, s1 / n1 AS m1, s2 / n2 AS m2 FROM s JOIN n USING (cell_state))
+SELECT cell_state, gene, round(m1, 6) AS m1, round(m2, 6) AS m2, round(log2((m1 + 0.1) / (m2 + 0.1)), 6) AS log2fc FROM m WHERE (m1 > 0.5 OR m2 > 0.5) AND abs(log2((m1 + 0.1) / (m2 + 0.1))) > 1""",
+)
+def expressed_fold_by_state(spark, d):
+    """Genes with a large fold change between two groups of donors inside every state, whatever p says."""
+    lab = b.obs(spark, d).select("cell_id", "cell_state", F.when(F.col("donor") < 13, 1).otherwise(2).alias("grp"))
+    t = stats.rank_sum_test(b.expr(spark, d), lab, ["cell_state"])
+    return stats.expressed_fold(t, least_mean=0.5).select("cell_state", "gene", "m1", "m2", "log2fc")
