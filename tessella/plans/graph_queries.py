@@ -117,7 +117,12 @@ def state_graph_normindex(spark, d):
     return neighbors.state_graph(_graph(spark, d), _states(spark, d), "t")
 
 
-@query("state_graph_tree")
+@query(
+    "state_graph_tree",
+    # an edge is in the tree unless better ones already connect its ends
+    f"""{SG.replace('WITH', 'WITH RECURSIVE', 1)}, g AS (SELECT t1, t2, weight, row_number() OVER (ORDER BY weight DESC, t1, t2) AS p FROM w WHERE weight >= 0.3 * (SELECT max(weight) FROM w)), both_ways AS (SELECT t1 AS a, t2 AS b, p FROM g UNION ALL SELECT t2, t1, p FROM g),
+reach AS (SELECT p, t1 AS node FROM g UNION SELECT r.p, b.b FROM reach r JOIN both_ways b ON b.a = r.node AND b.p < r.p) SELECT t1, t2, round(weight, 6) AS weight FROM g WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.p = g.p AND r.node = g.t2)""",
+)
 def state_graph_tree(spark, d):
     return neighbors.maximum_spanning_tree(neighbors.state_graph(_graph(spark, d), _states(spark, d), "t"))
 
@@ -221,7 +226,12 @@ def project_components(spark, d):
     return classify.project(e, w, m, "count")
 
 
-@query("doublet_simulation")
+@query(
+    "doublet_simulation",
+    f"""WITH {b.EXPR}, {b.OBS}, k AS (SELECT donor, cell_id, row_number() OVER (PARTITION BY donor ORDER BY cell_id) - 1 AS k, count(*) OVER (PARTITION BY donor) AS n FROM obs), n AS (SELECT donor, any_value(n) AS n FROM k GROUP BY 1),
+sim AS (SELECT donor, n, unnest(range(1, greatest(1, n) + 1)) AS i FROM n), pick AS (SELECT donor, i, ('0x' || substr(md5(donor || '|' || i || '|0|' || s), 1, 12))::BIGINT % n AS k FROM sim, (VALUES (1), (2)) t(s)),
+x AS (SELECT donor, i, count FROM pick JOIN k USING (donor, k) JOIN expr USING (cell_id)) SELECT donor, count(DISTINCT ('0x' || substr(md5(donor || '|' || i || '|0'), 1, 12))::BIGINT) AS n, sum(count) AS total FROM x GROUP BY 1""",
+)
 def doublet_simulation(spark, d):
     s = classify.simulate_doublets(b.expr(spark, d), b.obs(spark, d), "donor", 1.0)
     return s.groupBy("donor").agg(F.countDistinct("cell_id").alias("n"), F.sum("count").alias("total"))
