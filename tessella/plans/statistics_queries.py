@@ -35,7 +35,16 @@ def ranksum_dge(spark, d):
     return stats.differential(b.expr(spark, d), _two_groups(spark, d))
 
 
-@query("ranksum_by_donor_pairs")
+@query(
+    "ranksum_by_donor_pairs",
+    f"""{M}, dn AS (SELECT donor, count(*) AS n FROM obs GROUP BY 1), pr AS (SELECT a.donor AS rep1, c.donor AS rep2, a.n AS n1, c.n AS n2 FROM dn a JOIN dn c ON a.donor < c.donor),
+d AS (SELECT rep1, rep2, gene, (donor = rep1) AS one, count AS x, n1, n2 FROM expr JOIN obs USING (cell_id) JOIN pr ON donor = rep1 OR donor = rep2),
+r AS (SELECT *, rank() OVER (PARTITION BY rep1, rep2, gene ORDER BY x) + (count(*) OVER (PARTITION BY rep1, rep2, gene, x) - 1) / 2.0 AS rk FROM d),
+g AS (SELECT rep1, rep2, gene, any_value(n1) AS n1, any_value(n2) AS n2, coalesce(sum(rk) FILTER (one), 0) AS r1, count(*) FILTER (one) AS k1, count(*) FILTER (NOT one) AS k2 FROM r GROUP BY 1, 2, 3),
+t AS (SELECT rep1, rep2, (r1 + k1 * (n1 + n2 - k1 - k2) + (n1 - k1) * (n1 + n2 - k1 - k2 + 1) / 2.0 - n1 * (n1 + n2 + 1) / 2.0) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12.0) AS z FROM g WHERE k1 > 0.01 * n1 OR k2 > 0.01 * n2),
+p AS (SELECT rep1, rep2, round({b.two_sided_sql('z')}, 12) AS p FROM t), q AS (SELECT *, count(*) OVER (PARTITION BY rep1, rep2 ORDER BY p RANGE UNBOUNDED PRECEDING) AS k, count(*) OVER (PARTITION BY rep1, rep2) AS m FROM p),
+f AS (SELECT rep1, rep2, least(1, min(p * m / k) OVER (PARTITION BY rep1, rep2 ORDER BY p DESC RANGE UNBOUNDED PRECEDING)) AS fdr FROM q) SELECT rep1, rep2, count(*) AS tested, sum((fdr < 0.05)::INT) AS significant FROM f GROUP BY 1, 2""",
+)
 def ranksum_by_donor_pairs(spark, d):
     lab = b.obs(spark, d).select("cell_id", "donor")
     donors = lab.select("donor").distinct()
