@@ -272,26 +272,45 @@ def top_correlated(r: DataFrame, n: int | None = None, quantile: float | None =
 TILE = 256
 
 
+def _dense(rows: list, at: dict) -> np.ndarray:
+    m = np.zeros((len(rows), len(at)))
+    for i, r in enumerate(rows):
+        for v in r["z"]:
+            m[i, at[v["c"]]] = v["z"]
+    return m
+
+
+def _present(rows: list, at: dict) -> np.ndarray:
+    m = np.zeros((len(rows), len(at)))
+    for i, r in enumerate(rows):
+        m[i, [at[v["c"]] for v in r["z"]]] = 1
+    return m
+
+
 def _products(batches, top: int | None):
     """Sums of products of the rows of two tiles; with top, the largest partners of each row of the first tile only."""
     for b in batches:
         out = [[], [], []]
         for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-            left, right = (np.array([r["z"] for r in t], dtype=float) for t in (x, y))
+            # a row may lack columns: they add nothing, and rows without a common one are no pair
+            at = {c: i for i, c in enumerate(sorted({v["c"] for r in (*x, *y) for v in r["z"]}))}
+            left, right = _dense(x, at), _dense(y, at)
+            common = _present(x, at) @ _present(y, at).T
             names = [r["a"] for r in y]
-            m = left @ right.T / left.shape[1]
-            for r, row in zip(x, m, strict=True):
+            m = left @ right.T / np.array([[len(r["z"])] for r in x])
+            for r, row, shared in zip(x, m, common, strict=True):
                 # equal ones go to the first name, as in the merge of tiles
-                order = range(len(names)) if top is None else np.lexsort((names, -np.round(np.nan_to_num(row, nan=-2.0), 9)))[: top + 1]
+                score = np.where(shared > 0, np.nan_to_num(row, nan=-2.0), -3.0)
+                order = range(len(names)) if top is None else np.lexsort((names, -np.round(score, 9)))[: top + 1]
                 for i in order:
-                    if names[i] != r["a"]:
+                    if names[i] != r["a"] and shared[i]:
                         for c, v in zip(out, (r["a"], names[i], None if np.isnan(row[i]) else float(row[i])), strict=True):
                             c.append(v)
         yield pa.record_batch([pa.array(out[0], b.schema.field("x").type.value_type.field("a").type), pa.array(out[1], b.schema.field("x").type.value_type.field("a").type), pa.array(out[2], pa.float64())], names=["a", "b", "rho"])
 
 
 def spearman_matrix(table: DataFrame, row: str, column: str, value: str, top: int | None = None) -> DataFrame:
-    """a, b, rho for every ordered pair of different rows of a full long table, or for the top partners of each; null where a row is constant.
+    """a, b, rho for every ordered pair of different rows of a long table that share a column, or for the top partners of each; null where a row is constant.
 
     Rows are ranked once and standardised, TILE of them are a tile, and tiles
     are multiplied with each other in numpy; with top a task keeps only the
@@ -299,7 +318,7 @@ def spearman_matrix(table: DataFrame, row: str, column: str, value: str, top: in
     """
     r = ranks.average_rank(settle(table.select(row, column, value)), [row], value).select(F.col(row).alias("a"), F.col(column).alias("c"), F.col("rank").alias("x"))
     v = r.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("c", "x"))).alias("v"), F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-    z = settle(v.select("a", F.transform("v", lambda e: F.when(F.col("s") > 0, (e["x"] - F.col("m")) / F.col("s")).otherwise(F.lit(float("nan")))).alias("z")))
+    z = settle(v.select("a", F.transform("v", lambda e: F.struct(e["c"].alias("c"), F.when(F.col("s") > 0, (e["x"] - F.col("m")) / F.col("s")).otherwise(F.lit(float("nan"))).alias("z"))).alias("z")))
     tiles = max(1, -(-z.count() // TILE))
     t = settle(z.groupBy(F.pmod(F.xxhash64("a"), F.lit(tiles)).alias("t")).agg(F.collect_list(F.struct("a", "z")).alias("x")))
     kind = table.schema[row].dataType.simpleString()
