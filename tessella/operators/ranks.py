@@ -42,9 +42,9 @@ def _offsets(sums: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
 
 
 def _with_offsets(df: DataFrame, off: DataFrame, keys: list[str]) -> DataFrame:
-    on = F.col("__b") == F.col("__r")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"__key{i}"))
+    # keys and range are compared as one value (nulls within are equal): from an equality with the
+    # computed range alone Catalyst infers a filter on columns that the other side doesn't have
+    on = F.struct(*keys, "__b") == F.struct(*[f"__key{i}" for i in range(len(keys))], "__r")
     # without keys there is one row for each range
     return df.join(off if keys else F.broadcast(off), on).drop("__r", *[f"__key{i}" for i in range(len(keys))])
 
