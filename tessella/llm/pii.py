@@ -3,9 +3,11 @@
 Fixed patterns find e-mail addresses, IP addresses, card and phone numbers.
 These entities are the seeds of the bootstrap: the two words before a seed are
 a lexical pattern if seeds are a fair share of what follows it, and every word
-that follows such a pattern anywhere is an instance of it.  Scores flow from seeds to patterns and back over the graph of
-patterns and instances for a few rounds, as joins and grouped sums; patterns
-of high confidence mark the unseen identifiers that follow them.
+that follows such a pattern anywhere is an instance of it.  Scores flow from
+seeds to patterns and back over the graph of patterns and instances for a few
+rounds, as joins and grouped sums; patterns of high confidence mark the unseen
+identifiers that follow them, and these are seeds of further patterns, pass by
+pass.
 
 Regular expressions are written so that Java matches them without recursion
 or backtracking over long runs; each finds what its plain form in the comments
@@ -39,6 +41,8 @@ SPANS = "array<struct<s:int,e:int>>"
 ROUNDS, SUPPORT, SHARE, CONFIDENCE = 3, 5, 0.2, 0.8
 #: Score of an instance over all patterns it follows, from which a good pattern marks it.
 PLAUSIBLE = 0.5
+#: Passes of the bootstrap at most: patterns, instances behind them, patterns of these instances, and so on.
+PASSES = 4
 
 
 def _found(text: Column, pattern: str, when: Column) -> Column:
@@ -157,7 +161,7 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, D
     """
     inst = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("fixed"))
     e = edges.groupBy("pattern", "instance").agg(F.sum("n").alias("n")).join(inst, "instance")
-    e = e.withColumn("score", F.col("fixed"))
+    e, last = e.withColumn("score", F.col("fixed")), None
     for k in range(rounds):
         pat = e.groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / (F.sum("n") + 1)).alias("p"), F.sum((F.col("score") > 0.5).cast("int")).alias("support"))
         met = e.join(pat, "pattern").groupBy("instance").agg((F.sum(F.col("n") * F.col("p")) / F.sum("n")).alias("q"), F.max("fixed").alias("own"), F.count("*").alias("patterns"))
@@ -165,6 +169,93 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, D
             return pat.select("pattern", F.col("p").alias("score"), "support"), met.select("instance", (F.col("own") == 1).alias("seed"), F.greatest("own", "q").alias("score"))
         up = met.select("instance", F.greatest("own", F.col("q") * F.col("patterns") / (F.col("patterns") + 1)).alias("score"))
         e = common.materialize(e.drop("score").join(up, "instance"), "pii-scores")
+        if last is not None:
+            common.drop_table(last)
+        last = e
+
+
+def _instance(word: Column) -> Column:
+    return F.lower(_core(word))
+
+
+def _uses(marked: DataFrame, instances: DataFrame) -> DataFrame:
+    """pattern, instance, n: how often each of the instances follows each pair of words."""
+    keys = instances.select(F.xxhash64("instance").alias("h"))
+    rows = follows(marked).where(~F.contains("word", F.lit(MARK))).withColumn("instance", _instance(F.col("word")))
+    rows = common.might_match(rows.withColumn("__h", F.xxhash64("instance")), "__h", keys)
+    return rows.join(instances, "instance", "left_semi").groupBy("pattern", "instance").agg(F.count("*").alias("n"))
+
+
+def _promote(edges: DataFrame, promoted: DataFrame) -> DataFrame:
+    """edges (pattern, instance, seed, n) in which promoted instances count as seeds."""
+    flagged = edges.join(promoted.withColumn("__p", F.lit(True)), "instance", "left")
+    return flagged.select("pattern", "instance", (F.col("seed") | F.coalesce("__p", F.lit(False))).alias("seed"), "n")
+
+
+def _induced(marked: DataFrame, seeds: DataFrame, tried: DataFrame | None, promoted: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """Patterns that enough seeds follow and that weren't tried, and the edges (pattern, instance, seed, n) of those with a fair share of seeds."""
+    known = seeds.groupBy("pattern").agg(F.countDistinct("instance").alias("n")).where(F.col("n") >= SUPPORT).select("pattern")
+    if tried is not None:
+        known = known.join(tried, "pattern", "left_anti")
+    known = common.materialize(known, "pii-known")
+    if tried is not None and known.isEmpty():
+        return known, None
+    words = follows(marked, known.select("pattern")).groupBy("pattern", "word").agg(F.count("*").alias("n")).join(known, "pattern", "left_semi")
+    seen = words.select("pattern", _instance(F.col("word")).alias("instance"), F.contains("word", F.lit(MARK)).alias("seed"), "n")
+    seen = common.materialize(seen if promoted is None else _promote(seen, promoted), "pii-seen")
+    shares = seen.groupBy("pattern").agg((F.sum(F.when(F.col("seed"), F.col("n")).otherwise(0)) / F.sum("n")).alias("share"))
+    edges = seen.where("instance <> ''").join(shares.where(F.col("share") >= SHARE).select("pattern"), "pattern")
+    edges = common.materialize(edges.groupBy("pattern", "instance", "seed").agg(F.sum("n").alias("n")), "pii-edges")
+    common.drop_table(seen)
+    return known, edges
+
+
+def bootstrap(marked: DataFrame, passes: int = PASSES) -> tuple[DataFrame, DataFrame]:
+    """Good patterns (pattern), and the identifiers (instance) that they may mark, of texts with marked seeds.
+
+    A pass induces patterns from the seeds, scores them, and takes the
+    plausible instances behind those of high confidence.  Of these, the ones
+    that follow good patterns in a share SHARE of all their places become
+    seeds of the next pass; a common word that stands behind a pattern now and
+    then doesn't.  Passes end when no instance becomes a seed, when no new
+    pattern is followed by enough seeds, or after so many of them.
+    """
+    base = follows(marked.where(F.contains("marked", F.lit(MARK)))).where(F.contains("word", F.lit(MARK)))
+    base = base.select("pattern", _instance(F.col("word")).alias("instance"))
+    seeds, tried, edges, good, fit, promoted, old = base, None, None, None, None, None, []
+    for k in range(passes):
+        known, found = _induced(marked, seeds, tried, promoted)
+        old.append(known)
+        if found is None:
+            break
+        old.append(found)
+        tried = known if tried is None else tried.union(known)
+        edges = found if edges is None else common.materialize(_promote(edges, promoted).union(found), "pii-edges")
+        old.append(edges)
+        patterns, instances = score_patterns(edges)
+        strong = patterns.where((F.col("score") >= CONFIDENCE) & (F.col("support") >= SUPPORT)).select("pattern")
+        good = common.materialize(strong if good is None else strong.union(good).distinct(), "pii-good")
+        plausible = instances.where(~F.col("seed") & (F.col("score") >= PLAUSIBLE)).select("instance")
+        new = edges.join(good, "pattern", "left_semi").select("instance").distinct().join(plausible, "instance", "left_semi")
+        fit = common.materialize(new if fit is None else new.union(fit).distinct(), "pii-fit")
+        old += [good, fit]
+        common.drop_table(instances)
+        if k == passes - 1 or fit.isEmpty():
+            break
+        uses = common.materialize(_uses(marked, fit), "pii-uses")
+        behind = uses.join(good.withColumn("__g", F.lit(1)), "pattern", "left")
+        shares = behind.groupBy("instance").agg((F.sum(F.col("n") * F.coalesce("__g", F.lit(0))) / F.sum("n")).alias("share"))
+        now = shares.where(F.col("share") >= SHARE).select("instance")
+        now = common.materialize(now if promoted is None else now.union(promoted).distinct(), "pii-seeds")
+        old += [uses, now]
+        if now.count() == (0 if promoted is None else promoted.count()):
+            break
+        promoted = now
+        seeds = base.union(uses.join(promoted, "instance", "left_semi").select("pattern", "instance"))
+    for table in old:
+        if table is not good and table is not fit:
+            common.drop_table(table)
+    return good, fit
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -174,28 +265,16 @@ def find_pii(docs: DataFrame) -> DataFrame:
     email, ip, card, phone, ident: arrays of (s, e), code points, end
     exclusive, each in order.  ident are words, without the punctuation around
     them, that follow a pattern of high confidence, are plausible by all
-    patterns they follow, and overlap none of the others.  A null text counts
-    as empty and has no spans.  Equal texts get equal spans; repeated rows
-    stay; other columns are ignored; an empty table gives no rows.
+    patterns they follow, and overlap none of the others; see bootstrap().  A
+    null text counts as empty and has no spans.  Equal texts get equal spans;
+    repeated rows stay; other columns are ignored; an empty table gives no rows.
     """
     one = common.materialize(first_pass(docs), "pii-spans")
-    seeds = follows(one.select("marked").where(F.contains("marked", F.lit(MARK)))).where(F.contains("word", F.lit(MARK)))
-    known = seeds.groupBy("pattern").agg(F.countDistinct("word").alias("n")).where(F.col("n") >= SUPPORT).select("pattern")
-    known = common.materialize(known, "pii-known")
-    seen = follows(one.select("marked"), known.select("pattern")).groupBy("pattern", "word").agg(F.count("*").alias("n"))
-    seen = common.materialize(seen.withColumn("seed", F.contains("word", F.lit(MARK))), "pii-seen")
-    shares = seen.groupBy("pattern").agg((F.sum(F.when(F.col("seed"), F.col("n")).otherwise(0)) / F.sum("n")).alias("share"))
-    induced = common.materialize(shares.where(F.col("share") >= SHARE).select("pattern").join(known, "pattern"), "pii-induced")
-    edges = seen.join(induced, "pattern").select("pattern", F.lower(_core(F.col("word"))).alias("instance"), "seed", "n").where("instance <> ''")
-    edges = common.materialize(edges.groupBy("pattern", "instance", "seed").agg(F.sum("n").alias("n")), "pii-edges")
-    patterns, instances = score_patterns(edges)
-    good = common.materialize(patterns.where((F.col("score") >= CONFIDENCE) & (F.col("support") >= SUPPORT)).select("pattern"), "pii-good")
-    fit = edges.join(good, "pattern", "left_semi").select("instance").distinct().join(instances.where(~F.col("seed") & (F.col("score") >= PLAUSIBLE)).select("instance"), "instance", "left_semi")
-    fit = common.materialize(fit, "pii-fit")
+    good, fit = bootstrap(one.select("marked"))
     hit = follows(one.select("doc_id", "text_hash", "marked"), good.select("pattern")).where(~F.contains("word", F.lit(MARK)))
-    hit = hit.join(good, "pattern", "left_semi").withColumn("instance", F.lower(_core(F.col("word")))).join(fit, "instance", "left_semi")
+    hit = hit.join(good, "pattern", "left_semi").withColumn("instance", _instance(F.col("word"))).join(fit, "instance", "left_semi")
     places = common.materialize(hit.groupBy("doc_id", "text_hash").agg(F.collect_set("i").alias("places")), "pii-places")
-    for table in (known, seen, induced, edges, good, fit):
+    for table in (good, fit):
         common.drop_table(table)
     o, m = one.alias("o"), places.alias("m")
     both = o.join(m, F.col("o.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("o.text_hash") == F.col("m.text_hash")), "left").select("o.*", "places")

@@ -105,6 +105,72 @@ def test_pii_bootstrap(spark):
     assert masked[100] == "you can call the number\n<PHONE> at noon" and masked[90] is None
 
 
+def bootstrapped(texts, passes):
+    """Brute force: (text, place) of the words that the bootstrap marks, and the pass that found each word."""
+    core = lambda w: re.sub(r"^[\W_]+|[\W_]+$", "", w).lower()
+    at = [(" ".join(t[i - 2 : i]).lower(), core(t[i]), "@" in t[i], d, i) for d, t in enumerate(x.split() for x in texts) for i in range(2, len(t))]
+    promoted, tried, edges, good, fit, first = set(), set(), Counter(), set(), set(), {}
+    for k in range(passes):
+        seed = lambda w, s: s or w in promoted
+        behind = {}
+        for p, w, s, *_ in at:
+            if seed(w, s):
+                behind.setdefault(p, set()).add(w)
+        known = {p for p, v in behind.items() if len(v) >= pii.SUPPORT} - tried
+        if k and not known:
+            break
+        tried |= known
+        for p in known:
+            rows = [(w, s) for q, w, s, *_ in at if q == p]
+            if sum(seed(*x) for x in rows) >= pii.SHARE * len(rows):
+                edges.update((p, w, s) for w, s in rows if w)
+        by = Counter()
+        for (p, w, _), n in edges.items():
+            by[p, w] += n
+        fixed = {w: 0.0 for _, w, _ in edges} | {w: 1.0 for _, w, s in edges if seed(w, s)}
+        score = dict(fixed)
+        for _ in range(pii.ROUNDS):
+            pat = {q: sum(n * score[w] for (p, w), n in by.items() if p == q) / (sum(n for (p, _), n in by.items() if p == q) + 1) for q in {p for p, _ in by}}
+            support = Counter(p for p, w in by if score[w] > 0.5)
+            mean = {w: sum(n * pat[p] for (p, v), n in by.items() if v == w) / sum(n for (_, v), n in by.items() if v == w) for w in fixed}
+            deg = Counter(w for _, w in by)
+            score = {w: max(fixed[w], mean[w] * deg[w] / (deg[w] + 1)) for w in fixed}
+        good |= {p for p in pat if pat[p] >= pii.CONFIDENCE and support[p] >= pii.SUPPORT}
+        new = {w for p, w in by if p in good and not fixed[w] and mean[w] >= pii.PLAUSIBLE}
+        first |= {w: k for w in new}
+        fit |= new
+        places = Counter((w, p in good) for p, w, s, *_ in at if not s and w in fit)
+        now = {w for w in fit if places[w, True] >= pii.SHARE * (places[w, True] + places[w, False])} | promoted
+        if now == promoted:
+            break
+        promoted = now
+    return {(d, i) for p, w, s, d, i in at if not s and p in good and w in fit}, first
+
+
+def test_pii_bootstrap_in_passes(spark):
+    """Words found behind a pattern seed another one; a common word that stands there now and then doesn't."""
+    r = random.Random(4)
+    name = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
+    users, far, last = [name(7) for _ in range(8)], [name(8) for _ in range(2)], name(9)
+    rows = [f"please mail user account {name(6)}@mail.example.com today" for _ in range(60)]
+    rows += [f"the user account {u}, is open" for u in users for _ in range(2)] + ["the user account is open"] * 2
+    rows += [f"he did login as ({u}) again" for u in users for _ in range(3)] + [f"she did login as {u}" for u in far]
+    rows += [f"message sent by {u} {'.' * (i % 3)}" for i in range(2) for u in users + far] + [f"message sent by {last}"]
+    rows += [f"what is said of it is not {name(4)}" for _ in range(80)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").repartition(3)
+    got = set()
+    for x in pii.find_pii(df).collect():
+        places = [m.start() for m in re.finditer(r"\S+", rows[x.doc_id])]
+        got |= {(x.doc_id, max(i for i, p in enumerate(places) if p <= s.s)) for s in x.ident}
+    want, first = bootstrapped(rows, pii.PASSES)
+    assert got == want
+    assert {first[u] for u in users} == {0} and {first[u] for u in far} == {1} and first[last] == 1
+    assert all("said of" not in rows[d] for d, _ in got)
+    once = bootstrapped(rows, 1)[0]
+    assert once < want
+
+
 def test_pii_scores_by_hand(spark):
     e = spark.createDataFrame([("p", "s1", True, 3), ("p", "x", False, 1), ("q", "x", False, 1), ("q", "y", False, 4)], "pattern string, instance string, seed boolean, n bigint")
     fixed = {"s1": 1.0, "x": 0.0, "y": 0.0}
