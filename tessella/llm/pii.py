@@ -200,13 +200,16 @@ def _induced(marked: DataFrame, seeds: DataFrame, tried: DataFrame | None, promo
     known = common.materialize(known, "pii-known")
     if tried is not None and known.isEmpty():
         return known, None
-    words = follows(marked, known.select("pattern")).groupBy("pattern", "word").agg(F.count("*").alias("n")).join(known, "pattern", "left_semi")
+    words = follows(marked, known.select("pattern")).groupBy("pattern", "word").agg(F.count("*").alias("n"))
     seen = words.select("pattern", _instance(F.col("word")).alias("instance"), F.contains("word", F.lit(MARK)).alias("seed"), "n")
     seen = common.materialize(seen if promoted is None else _promote(seen, promoted), "pii-seen")
     shares = seen.groupBy("pattern").agg((F.sum(F.when(F.col("seed"), F.col("n")).otherwise(0)) / F.sum("n")).alias("share"))
-    edges = seen.where("instance <> ''").join(shares.where(F.col("share") >= SHARE).select("pattern"), "pattern")
+    # summed before they meet what is known: rows that the bit filter let pass go with their pattern
+    fair = common.materialize(shares.where(F.col("share") >= SHARE).select("pattern").join(known, "pattern", "left_semi"), "pii-fair")
+    edges = seen.where("instance <> ''").join(fair, "pattern")
     edges = common.materialize(edges.groupBy("pattern", "instance", "seed").agg(F.sum("n").alias("n")), "pii-edges")
-    common.drop_table(seen)
+    for table in (seen, fair):
+        common.drop_table(table)
     return known, edges
 
 
