@@ -60,3 +60,22 @@ def test_queries_in_several_deals(spark, monkeypatch):
     got = neighbors.knn(df, df, 3).collect()
     assert {(x.src, x.dst, x.dist, x["rank"], None) for x in got} == brute(exact, exact, 3, "euclidean", False, False)
     assert neighbors.knn(df.where("id < 0"), df, 3).collect() == [] and neighbors.knn(df, df.where("id < 0"), 3).collect() == []
+
+
+def test_buckets_against_the_similarity_join(spark, monkeypatch):
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    monkeypatch.setattr(neighbors, "TILE_R", 32)
+    r = np.random.default_rng(7)
+    df = spark.createDataFrame([(i, r.normal(size=DIM).tolist()) for i in range(120)], "id bigint, vec array<double>")
+    for width, reach in ((0.4, None), (3.0, 2.0)):
+        v = df.select("id", array_to_vector("vec").alias("features"))
+        model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=3, seed=2).fit(v)
+        near = {}
+        for x in model.approxSimilarityJoin(v, v, reach or 1e9, distCol="dist").selectExpr("datasetA.id src", "datasetB.id dst", "dist").where("src <> dst").collect():
+            near.setdefault(x.src, []).append((x.dist, x.dst))
+        want = {(s, d, n + 1) for s, l in near.items() for n, (_, d) in enumerate(sorted(l)[:4])}
+        got = neighbors.knn_approximate(df, 4, width, 3, reach, 2)
+        assert {(x.src, x.dst, x["rank"]) for x in got.collect()} == want
+        assert "Generate explode(buckets" not in got._jdf.queryExecution().toString() and "datasetA" not in got._jdf.queryExecution().toString()
