@@ -277,6 +277,27 @@ def test_passages_behind_earlier_pieces(spark):
     assert got[len(rows) - 1].n_dup_words >= 2900 and got[len(rows) - 1].sources == [len(rows) - 2]
 
 
+@pytest.mark.parametrize("size", [50, 55, 60])
+def test_no_link_is_lost_behind_earlier_pieces(spark, size):
+    """Short exact passages that earlier pieces of them hide from the seeds: every word and every class as brute force has them."""
+    r = random.Random(size)
+    words = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    rows = []
+    for k in range(40):
+        p = words(size)
+        for at in range(0, size - 44, 5):
+            rows.append((len(rows), words(30) + p[at : at + 45] + words(25)))
+        rows += [(len(rows), words(20) + p + words(20)), (len(rows) + 1, words(35) + p + words(10) + p)]
+    rows = [(d, " ".join(t)) for d, t in rows]
+    got = {x.doc_id: x for x in substring.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()}
+    want = shared_words(rows, substring.MIN_WORDS)
+    for d, hit in want.items():
+        assert not hit - {i for s in got[d].spans for i in range(s.start, s.end)}
+    linked = sorted(d for d, hit in want.items() if hit)
+    assert len(linked) == 40 and all(got[d].class_id == d - 1 == got[d - 1].class_id and got[d].sources == [d - 1] for d in linked)
+    assert all(x.class_id == d for d, x in got.items() if not x.shares)
+
+
 @pytest.mark.parametrize(("every", "least"), [(40, 0.99), (20, 0.95), (12, 0.8)])
 def test_passages_with_changed_words(spark, every, least):
     """Recall of passages of 60 to 150 words in which one word in some is another."""
