@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,14 +12,35 @@ from pyspark.sql import functions as F
 
 from ..functions import draws as draws_of
 from ..functions import tails
+from .settle import settle
 
 
 def draws(items: DataFrame, keys: list[str], item: str, rounds: int, size: int, seed: int = 0) -> DataFrame:
-    """keys, draw, item: size items of each key without replacement, for each round, all in one job."""
+    """keys, draw, item: size items of each key without replacement, for each round, all in one job.
+
+    Only tickets under a share of all that some 60 more than size items of a
+    key have are sorted; keys and rounds in which fewer than size are under
+    it are drawn from all items of the key.
+    """
     it = items.sparkSession.range(rounds).select(F.col("id").alias("draw"))
-    x = items.select(*keys, item).distinct().crossJoin(it)
-    w = Window.partitionBy(*keys, "draw").orderBy(draws_of.ticket(item, "draw", seed), item)
-    return x.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= size).drop("__k")
+    one = items.select(*keys, item).distinct()
+    n = one.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count("*").alias("__n"))
+    same = lambda a, b: reduce(and_, (F.col(x).eqNullSafe(F.col(y)) for x, y in zip(a, b, strict=True)))
+    named = [f"__{k}" for k in keys]
+    x = one.join(n, same(keys, named)).drop(*named).crossJoin(it).withColumn("__t", draws_of.ticket(item, "draw", seed))
+    share = F.lpad(F.lower(F.hex(F.floor(F.lit(size + 60) / F.col("__n") * 16**8).cast("bigint"))), 8, "0")
+    under = x.where((F.col("__n") <= size + 60) | (F.substring("__t", 1, 8) < share))
+    w = Window.partitionBy(*keys, "draw").orderBy("__t", item)
+    first = lambda df: df.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= size)
+    some = settle(first(under))
+    full = some.groupBy(*[F.col(k).alias(f"__{k}") for k in keys], F.col("draw").alias("__draw")).agg(F.count("*").alias("__m")).where(F.col("__m") >= size)
+    short = n.where(F.col("__n") > size + 60).crossJoin(it.withColumnRenamed("draw", "__draw")).join(full.select(*[F.col(c).alias(f"_{c}") for c in (*named, "__draw")]), same([*named, "__draw"], [f"_{c}" for c in (*named, "__draw")]), "left_anti")
+    out = some.select(*keys, item, "draw")
+    if not short.limit(1).count():
+        return out
+    of = same([*keys, "draw"], [*named, "__draw"])
+    short = short.drop("__n")
+    return out.join(short, of, "left_anti").union(first(x.join(short, of, "left_semi")).select(*keys, item, "draw"))
 
 
 def split(df: DataFrame, key: str, fraction: float, seed: int = 0) -> DataFrame:
