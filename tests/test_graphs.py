@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessella.operators import communities, descent, neighbors
+from tessella.plans import graph_queries
 
 
 def vectors(spark, x):
@@ -87,6 +88,24 @@ def test_batch_balanced_weights(spark):
     assert all(abs(got[a, b] - got[b, a]) < 1e-12 for a, b in got)
 
 
+def test_balanced_weights_of_all_vectors(spark):
+    """The query against brute force: every vector has neighbours of its own, not each hundredth alone."""
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    ids, label = np.array([row.vec_id for row in rows]), np.array([row.label for row in rows])
+    x = np.array([row.embedding for row in rows], dtype=float)
+    near = []
+    for i in range(len(ids)):
+        d = np.round(np.sqrt(((x - x[i]) ** 2).sum(1)), 9)
+        for t in np.unique(label):
+            at = [j for j in np.flatnonzero(label == t) if j != i]
+            near += [(ids[i], ids[j], d[j]) for j in sorted(at, key=lambda j: (d[j], ids[j]))[:2]]
+    want = brute_weights(near)
+    got = {(row.src, row.dst): row.weight for row in graph_queries.balanced_weights(spark, sf).collect()}
+    assert {s for s, _ in got} == set(ids)
+    assert got.keys() == want.keys() and max(abs(got[p] - want[p]) for p in got) < 1e-6
+
+
 def planted_graph(seed, groups=8, size=25, inside=0.35, outside=0.01):
     r = np.random.default_rng(seed)
     n = groups * size
