@@ -499,3 +499,31 @@ def test_calibration_by_hand(spark):
     got = {r.lang: r.threshold for r in toxicity.calibrate(scored, labels).collect()}
     assert got == {"en": 0.52, None: 0.3, "fr": 0.3}  # above 0.5 all are toxic; the others have too few rows
     assert {r.lang: r.threshold for r in toxicity.calibrate(scored, labels, [ids[0]]).collect()}["en"] == 0.3
+
+
+def _probed(spark, kind, seed):
+    """How many of 60 passages with changed words name their source, how many pieces link, and the rows: every n-th word changed, or one in n behind earlier pieces of the passage."""
+    r = random.Random(seed)
+    words = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    rows, pairs = [], []
+    for _ in range(60):
+        p = words(r.randrange(60, 150))
+        if kind == "hidden":
+            for at in range(0, len(p) - 44, 15):
+                rows.append((len(rows), " ".join(words(30) + p[at : at + 45] + words(25))))
+            v = [f"z{r.randrange(10**6)}" if r.randrange(20) == 0 else x for x in p]
+        else:
+            v = [f"z{r.randrange(10**6)}" if i % kind == kind - 1 else x for i, x in enumerate(p)]
+        pairs.append((len(rows), len(rows) + 1))
+        rows += [(len(rows), " ".join(words(40) + p + words(30))), (len(rows) + 1, " ".join(words(25) + v + words(50)))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = {x.doc_id: x for x in substring.repeated_passages(df).collect()}
+    found = sum(a in got[b].sources and got[b].class_id == got[a].class_id for a, b in pairs)
+    return found, sum(x.shares for d, x in got.items() if not any(d in p for p in pairs))
+
+
+@pytest.mark.parametrize("kind", [8, 6, 5, "hidden"])
+def test_changed_passages_without_long_runs_or_behind_pieces(spark, kind):
+    """Every 8th, 6th or 5th word of a passage is another, so no 8 words in a row are left; or one in 20, and documents before it hold pieces of 45 words."""
+    found, pieces = _probed(spark, kind, 77)
+    assert found >= 54 and not pieces
